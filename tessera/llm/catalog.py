@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact_dedup, mixing
+from tessera.llm import bpe, exact_dedup, mixing, simhash, token_files, url_filter
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op6_url_filter": url_filter.op6_url_filter,
+    "op7_bpe": bpe.op7_bpe,
+    "op9_simhash": simhash.op9_simhash,
+    "op10_token_files": token_files.op10_token_files,
 }
 
+#: Queries that SQL cannot express are tested against brute force instead.
 SQL = {
     "op1_mixing": mixing.OP1_SQL,
     "op2_exact_dedup": exact_dedup.OP2_SQL,
+    "op6_url_filter": url_filter.OP6_SQL,
 }
