@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, exact_dedup, mixing, simhash, token_files, url_filter
+from tessera.llm import bpe, exact_dedup, line_templates, mixing, pii, quality, simhash, token_files, url_filter, vector_dedup
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op3_quality": quality.op3_quality,
+    "op4_line_templates": line_templates.op4_line_templates,
+    "op5_pii": pii.op5_pii,
     "op6_url_filter": url_filter.op6_url_filter,
     "op7_bpe": bpe.op7_bpe,
+    "op8_vectors": vector_dedup.op8_vectors,
     "op9_simhash": simhash.op9_simhash,
     "op10_token_files": token_files.op10_token_files,
 }
@@ -17,5 +21,6 @@ QUERIES = {
 SQL = {
     "op1_mixing": mixing.OP1_SQL,
     "op2_exact_dedup": exact_dedup.OP2_SQL,
+    "op4_line_templates": line_templates.OP4_SQL,
     "op6_url_filter": url_filter.OP6_SQL,
 }

@@ -85,6 +85,21 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``exact_dedup`` keeps, with all their columns.
+
+    Rows are fetched back by id and digest; of rows that share both, one stays.
+    """
+    key = lambda ident, digest: F.concat_ws(":", digest, F.coalesce(ident.cast("string"), F.lit("null")))
+    found = exact_dedup(docs, id_col, text_col)
+    keep = found.where("kept").select(key(F.col(id_col), F.col("text_sha256")).alias("kept_key"))
+    # One string key serves the join and the window with one shuffle.
+    keyed = docs.withColumn("kept_key", key(F.col(id_col), F.sha2(single_spaced(whole(F.col(text_col))), 256)))
+    one = Window.partitionBy("kept_key").orderBy("kept_key")
+    kept = keyed.join(keep, "kept_key").withColumn("kept_place", F.row_number().over(one)).where("kept_place = 1")
+    return kept.select(*docs.columns)
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents"))
 

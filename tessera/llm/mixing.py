@@ -128,6 +128,17 @@ def mix_sources(
     )
 
 
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """The rows of ``docs``, each as often as ``mix_sources`` takes it.
+
+    Rows that share an id take the largest number of copies of any of them.
+    """
+    copies = mix_sources(docs, id_col=id_col, **options).groupBy(F.col(id_col).alias("mixed_id")).agg(F.max("copies").alias("mixed_copies"))
+    taken = docs.join(copies.where("mixed_copies > 0"), F.col(id_col).eqNullSafe(F.col("mixed_id")))
+    repeated = taken.withColumn("mixed_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mixed_copies"))))
+    return repeated.select(*docs.columns)
+
+
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read(spark, sf_dir, "documents"))
 
