@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.operators import analytics, joins, predicates, upserts  # noqa: F401
+from tessera.operators import analytics, joins, predicates, upserts, windows  # noqa: F401
 from tessera.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
