@@ -2,15 +2,17 @@
 
 Documents are cut into blocks. A block explodes its texts into pre-tokens with
 positions, keeps each distinct word once, and writes every document as the
-sequence of its words' numbers, so a position costs about a byte. The words
-leave the block grouped by a hash of the word: equal words of all blocks meet
-in one bucket, where each is encoded once. The buckets' ids are joined back by
-block, and every document is put together again by position.
+sequence of its words' ranks by frequency, so a position costs little over a
+byte. The words leave the block grouped by a hash of the word: equal words of
+all blocks meet in one bucket, where each is encoded once. The buckets' ids
+are joined back by block, and every document is put together again by
+position.
 
 Words travel packed, a row for each block and bucket, since a row for each
-word or position would move several times the text. Buckets grow in number
-with the blocks, so that one stays small; blocks hold a bounded number of
-characters, or one longer document.
+word or position would move several times the text. Sequences and words come
+from two readings of the documents: reading twice is cheaper than a copy of
+the sequences in the shared folder. A block is named after its content, and
+putting it together fails if the two readings disagree.
 """
 
 from __future__ import annotations
@@ -28,13 +30,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import read, shuffle_partitions, stored
+from tessera.llm.shared import read, shuffle_partitions
 
 #: A block ends after so many characters or documents.
 BLOCK_CHARS = 6_000_000
 BLOCK_DOCS = 20_000
-#: Distinct words of all blocks that a bucket shall hold at most, about.
-BUCKET_WORDS = 1_000_000
 LEVEL = 3
 
 
@@ -86,65 +86,83 @@ def _unpack(frame: bytes) -> list[bytes]:
 
 
 def _pack_numbers(numbers: np.ndarray) -> bytes:
-    """Numbers as a frame of their low and high halves, which compress better apart."""
-    numbers = numbers.astype("<u4")
-    halves = numbers.view("<u2").reshape(-1, 2)
-    return zstandard.ZstdCompressor(level=LEVEL).compress(np.ascontiguousarray(halves.T).tobytes())
+    """Numbers as a frame of their four bytes, each byte's plane by itself, since low planes alone carry much."""
+    planes = np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return zstandard.ZstdCompressor(level=LEVEL).compress(planes.tobytes())
 
 
 def _unpack_numbers(frame: bytes) -> np.ndarray:
-    halves = np.frombuffer(zstandard.ZstdDecompressor().decompress(frame), dtype="<u2").reshape(2, -1)
-    return halves[0].astype(np.int64) | halves[1].astype(np.int64) << 16
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(frame), dtype=np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1).astype(np.int64)
 
 
-def _blocks(pattern: str, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    schema = pa.schema(
-        [
-            ("block", pa.string()),
-            ("ids", pa.list_(pa.int64())),
-            ("codes", pa.list_(pa.binary())),
-            ("words", pa.list_(pa.struct([("bucket", pa.int32()), ("words", pa.binary())]))),
-        ]
-    )
+class _Block:
+    """Documents, their pre-tokens numbered as first seen, and a checksum of it all."""
 
+    def __init__(self) -> None:
+        self.ids: list[int | None] = []
+        self.codes: list[np.ndarray] = []
+        self.numbers: dict[str, int] = {}
+        self.chars = self.check = 0
+
+    def add(self, ident: int | None, text: str, found: list[str]) -> None:
+        numbers = self.numbers
+        self.ids.append(ident)
+        self.codes.append(np.fromiter((numbers.setdefault(w, len(numbers)) for w in found), dtype=np.int32, count=len(found)))
+        self.chars += len(text)
+        self.check = crc32(text.encode(), crc32(str(ident).encode(), self.check))
+
+    def ranked(self) -> tuple[np.ndarray, np.ndarray]:
+        """All codes as ranks by frequency, and each number's rank."""
+        codes = np.concatenate(self.codes)
+        order = np.argsort(-np.bincount(codes, minlength=len(self.numbers)), kind="stable")
+        rank = np.empty(len(order), dtype=np.int64)
+        rank[order] = np.arange(len(order))
+        return rank[codes], rank
+
+
+def _blocks(pattern: str, make: Callable[[str, _Block], pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = regex.compile(pattern).findall
-        part, number = TaskContext.get().partitionId(), 0
-        held = 0
-        ids: list[int | None] = []
-        codes: list[np.ndarray] = []
-        numbers: dict[str, int] = {}
-
-        def block() -> pa.RecordBatch:
-            raw = [w.encode() for w in numbers]
-            bucket = np.fromiter((crc32(w) % buckets for w in raw), dtype=np.int64, count=len(raw))
-            order = np.argsort(bucket, kind="stable")
-            place = np.empty(len(raw), dtype=np.int64)
-            place[order] = np.arange(len(raw))
-            cuts = np.flatnonzero(np.diff(bucket[order])) + 1
-            words = [
-                {"bucket": int(bucket[group[0]]), "words": _pack([raw[i] for i in group.tolist()])} for group in np.split(order, cuts) if len(group)
-            ]
-            coded = [_pack_numbers(place[c]) for c in codes]
-            row = {"block": f"{part}-{number}", "ids": ids, "codes": coded, "words": words}
-            return pa.RecordBatch.from_pylist([row], schema=schema)
-
+        part, number, block = TaskContext.get().partitionId(), 0, _Block()
         for batch in batches:
             for ident, text in zip(batch.column(0), batch.column(1), strict=True):
                 whole = text.as_py() or ""
-                found = find(whole)
-                ids.append(ident.as_py())
-                codes.append(np.fromiter((numbers.setdefault(w, len(numbers)) for w in found), dtype=np.int32, count=len(found)))
-                held += len(whole)
-                if held >= BLOCK_CHARS or len(ids) >= BLOCK_DOCS:
-                    yield block()
-                    ids, codes, numbers, held, number = [], [], {}, 0, number + 1
-        if ids:
-            yield block()
+                block.add(ident.as_py(), whole, find(whole))
+                if block.chars >= BLOCK_CHARS or len(block.ids) >= BLOCK_DOCS:
+                    yield make(f"{part}-{number}-{block.check}", block)
+                    number, block = number + 1, _Block()
+        if block.ids:
+            yield make(f"{part}-{number}-{block.check}", block)
 
     return run
 
 
+def _sequences(name: str, block: _Block) -> pa.RecordBatch:
+    """The block's documents as ranks of words."""
+    schema = pa.schema([("block", pa.string()), ("ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("codes", pa.binary())])
+    row = {"block": name, "ids": block.ids, "lengths": [len(c) for c in block.codes], "codes": _pack_numbers(block.ranked()[0])}
+    return pa.RecordBatch.from_pylist([row], schema=schema)
+
+
+def _words(buckets: int) -> Callable[[str, _Block], pa.RecordBatch]:
+    """The block's distinct words with their ranks, a row for each bucket."""
+    schema = pa.schema([("block", pa.string()), ("bucket", pa.int32()), ("ranks", pa.binary()), ("words", pa.binary())])
+
+    def make(name: str, block: _Block) -> pa.RecordBatch:
+        rank = block.ranked()[1]
+        groups: dict[int, list[tuple[bytes, int]]] = {}
+        for raw, r in zip((w.encode() for w in block.numbers), rank.tolist(), strict=True):
+            groups.setdefault(crc32(raw) % buckets, []).append((raw, r))
+        rows = []
+        for bucket, group in groups.items():
+            group.sort()  # neighbours alike compress well
+            rows.append({"block": name, "bucket": bucket, "ranks": _pack_numbers(np.array([r for _, r in group])), "words": _pack([w for w, _ in group])})
+        return pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    return make
+
+
 def _encode_bucket(path: str) -> Callable[[pa.Table], pa.Table]:
     """Encodes each distinct word of a bucket once; gives every block's words' ids in the block's order."""
 
@@ -158,27 +176,34 @@ def _encode_bucket(path: str) -> Callable[[pa.Table], pa.Table]:
                 if w not in known:
                     known[w] = np.array(encode(w.decode()), dtype="<u4").tobytes()
             packed.append(_pack([known[w] for w in words]))
-        return pa.table({"block": rows.column("block"), "bucket": rows.column("bucket"), "coded": pa.array(packed, pa.binary())})
+        return pa.table({"block": rows.column("block"), "ranks": rows.column("ranks"), "coded": pa.array(packed, pa.binary())})
 
     return run
 
 
 def _reassemble(path: str) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    schema = pa.schema([("id", pa.int64()), ("n_tokens", pa.int64()), ("token_ids", pa.binary()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+
     def run(blocks: pa.Table, coded: pa.Table) -> pa.Table:
+        if blocks.num_rows != 1:
+            raise RuntimeError("the documents were read differently the second time")
         bytes_of = coder(path).bytes_of.__getitem__
-        by_bucket = sorted(zip(coded.column("bucket").to_pylist(), coded.column("coded").to_pylist(), strict=True))
-        of_word = [ids for _, frame in by_bucket for ids in _unpack(frame)]
-        out: dict[str, list] = {"id": [], "n_tokens": [], "token_ids": [], "ids_sha256": [], "decoded_sha256": []}
-        for row in range(blocks.num_rows):
-            for ident, codes in zip(blocks.column("ids")[row], blocks.column("codes")[row], strict=True):
-                packed = b"".join(map(of_word.__getitem__, _unpack_numbers(codes.as_py()).tolist()))
-                ids = np.frombuffer(packed, dtype="<u4")
-                out["id"].append(ident.as_py())
-                out["n_tokens"].append(len(ids))
-                out["token_ids"].append(packed)
-                out["ids_sha256"].append(hashlib.sha256(packed).hexdigest())
-                out["decoded_sha256"].append(hashlib.sha256(b"".join(map(bytes_of, ids.tolist()))).hexdigest())
-        return pa.table(out, schema=pa.schema([("id", pa.int64()), ("n_tokens", pa.int64()), ("token_ids", pa.binary()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]))
+        of_word: dict[int, bytes] = {}
+        for ranks, frame in zip(coded.column("ranks"), coded.column("coded"), strict=True):
+            of_word.update(zip(_unpack_numbers(ranks.as_py()).tolist(), _unpack(frame.as_py()), strict=True))
+        codes = _unpack_numbers(blocks.column("codes")[0].as_py())
+        out: dict[str, list] = {name: [] for name in schema.names}
+        at = 0
+        for ident, length in zip(blocks.column("ids")[0], blocks.column("lengths")[0].as_py(), strict=True):
+            packed = b"".join(map(of_word.__getitem__, codes[at : at + length].tolist()))
+            at += length
+            ids = np.frombuffer(packed, dtype="<u4")
+            out["id"].append(ident.as_py())
+            out["n_tokens"].append(len(ids))
+            out["token_ids"].append(packed)
+            out["ids_sha256"].append(hashlib.sha256(packed).hexdigest())
+            out["decoded_sha256"].append(hashlib.sha256(b"".join(map(bytes_of, ids.tolist()))).hexdigest())
+        return pa.table(out, schema=schema)
 
     return run
 
@@ -186,19 +211,20 @@ def _reassemble(path: str) -> Callable[[pa.Table, pa.Table], pa.Table]:
 def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_tokens, token_ids (little-endian unsigned 32-bit numbers), ids_sha256, decoded_sha256 of each row.
 
-    decoded_sha256 is that of the bytes that the ids decode to, which are the
-    text's. A null or empty text has no tokens. Null ids and repeated rows are
-    returned as they come; no rows give no rows; other columns are ignored.
+    ``docs`` is read twice and must come alike both times, as files do; a
+    block that does not match fails. decoded_sha256 is that of the bytes that
+    the ids decode to, which are the text's. A null or empty text has no
+    tokens. Null ids and repeated rows are returned as they come; no rows give
+    no rows; other columns are ignored.
     """
     texts = docs.select(F.col(id_col).cast("long"), text_col)
-    # About as many characters as the scan has bytes, so a bucket stays near BUCKET_WORDS.
+    # A bucket gets a share of every block; one for each piece of the scan keeps it near a block's size.
     buckets = max(shuffle_partitions(docs.sparkSession), texts.rdd.getNumPartitions())
-    blocks = stored(texts.mapInArrow(_blocks(pattern, buckets), "block string, ids array<long>, codes array<binary>, words array<struct<bucket:int,words:binary>>"))
-    words = blocks.select("block", F.explode("words").alias("w")).select("block", "w.bucket", "w.words")
-    coded = words.groupBy("bucket").applyInArrow(_encode_bucket(path), "block string, bucket int, coded binary")
-    documents = blocks.select("block", "ids", "codes").groupBy("block").cogroup(coded.groupBy("block"))
+    sequences = texts.mapInArrow(_blocks(pattern, _sequences), "block string, ids array<long>, lengths array<int>, codes binary")
+    words = texts.mapInArrow(_blocks(pattern, _words(buckets)), "block string, bucket int, ranks binary, words binary")
+    coded = words.groupBy("bucket").applyInArrow(_encode_bucket(path), "block string, ranks binary, coded binary")
     out = "id long, n_tokens long, token_ids binary, ids_sha256 string, decoded_sha256 string"
-    return documents.applyInArrow(_reassemble(path), out).withColumnRenamed("id", id_col)
+    return sequences.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(_reassemble(path), out).withColumnRenamed("id", id_col)
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
