@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tessera.operators import analytics, joins, predicates, upserts, windows  # noqa: F401
-from tessera.plans import anchor, retrieval, text_queries  # noqa: F401
+from tessera.plans import anchor, conflicts, evidence, ledger, retrieval, scores, text_queries  # noqa: F401
 from tessera.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
