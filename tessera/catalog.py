@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from tessera.operators import analytics, joins, predicates, upserts, windows  # noqa: F401
-from tessera.plans import anchor, conflicts, evidence, ledger, retrieval, scores, text_queries  # noqa: F401
+from tessera.plans import anchor, conflicts, evidence, ledger, retrieval, scores, text_queries, trees  # noqa: F401
 from tessera.registry import QUERIES, SQL
+from tessera.sources import readers  # noqa: F401
+from tessera.streaming import jobs  # noqa: F401
 
 __all__ = ["QUERIES", "SQL"]

@@ -48,7 +48,7 @@ def content_words(text: Column) -> Column:
 def content_tokens(text: Column) -> Column:
     """Content words over all scripts, with amounts of money and percentages as single tokens.
 
-    ``$1,234.50`` is money1234.5 and ``5 percent`` pct5; letters count in
+    ``$1,234.50`` is money1234 (marks part words) and ``5 percent`` pct5; letters count in
     every script, so SQL without Unicode classes cannot follow.
     """
     digits = lambda n: F.regexp_replace(n, ",", "")

@@ -108,8 +108,8 @@ PRICES = {"N": (3.0, 0.3, 15.0), "R": (0.25, 0.03, 1.25)}
 
 @query("""
 SELECT l_orderkey AS run, l_linenumber AS step, round(CASE l_returnflag WHEN 'N' THEN (l_quantity * 1000 * 3.0::DOUBLE + l_suppkey * 0.3::DOUBLE + l_extendedprice * 15.0::DOUBLE) / 1e6::DOUBLE
-  WHEN 'R' THEN (l_quantity * 1000 * 0.25::DOUBLE + l_suppkey * 0.03::DOUBLE + l_extendedprice * 1.25::DOUBLE) / 1e6::DOUBLE END, 9) AS usd FROM lineitem
+  WHEN 'R' THEN (l_quantity * 1000 * 0.25::DOUBLE + l_suppkey * 0.03::DOUBLE + l_extendedprice * 1.25::DOUBLE) / 1e6::DOUBLE END, 12) AS usd FROM lineitem
 """)
 def c_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     usd = cost_usd(F.col("l_returnflag"), F.col("l_quantity") * 1000, F.col("l_suppkey"), F.col("l_extendedprice"), PRICES)
-    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("run"), F.col("l_linenumber").alias("step"), F.round(usd, 9).alias("usd"))
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("run"), F.col("l_linenumber").alias("step"), F.round(usd, 12).alias("usd"))
