@@ -23,7 +23,7 @@ HOT_SHARE = 8
 PREFIX = 64
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_hot: int = 16) -> DataFrame:
     """One row per row of ``docs``: id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after each run of white space became one
@@ -38,7 +38,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     texts = docs.select(F.col(id_col).alias("id"), single_spaced(whole(F.col(text_col))).alias("norm")).withColumn(
         "digest", F.sha2("norm", 256)
     )
-    limit = max(16, -(-docs.count() // (HOT_SHARE * parts)))
+    limit = max(least_hot, -(-docs.count() // (HOT_SHARE * parts)))
     counts = texts.groupBy("digest").agg(F.count("*").alias("n"))
     hot = stored(counts.where(F.col("n") > limit).select("digest", F.ceil(F.col("n") / limit).cast("int").alias("runs")))
 

@@ -18,7 +18,7 @@ from tessera.llm.shared import bounded, read, stored, whole, word_count
 
 #: Largest number of hexadecimal digits of a digest that a double holds exactly.
 DIGITS = 13
-ROWS_PER_SLICE = 50_000
+ROWS_PER_SLICE = 4_000
 MAX_BROADCAST_ROWS = 100_000
 
 
@@ -56,7 +56,8 @@ def source_targets(sizes: DataFrame, weights: Sequence[int], share: float, cap:
     after = by_level.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     left = F.lit(share) * F.sum("source_size").over(everything) - F.lit(cap) * F.coalesce(F.sum("source_size").over(before), F.lit(0))
     leveled = ranked.withColumn("level", left / F.sum("weight").over(after))
-    level = F.min(F.when(F.col("level") <= F.col("full_at"), F.col("level"))).over(everything)
+    fits = F.when(F.col("level") <= F.col("full_at"), F.struct("full_at", "place", "level"))
+    level = F.min(fits).over(everything)["level"]
     target = F.least(F.lit(cap) * F.col("source_size"), F.coalesce(level, F.col("full_at")) * F.col("weight"))
     return leveled.select("source", "source_size", "place", target.alias("target"))
 
@@ -171,7 +172,8 @@ WITH d AS (
 ), t AS (
   SELECT source, source_size,
          least(2::DOUBLE * source_size,
-               coalesce(min(CASE WHEN lvl <= full_at THEN lvl END) OVER (), full_at) * weight) AS target
+               coalesce(first_value(CASE WHEN lvl <= full_at THEN lvl END IGNORE NULLS) OVER (
+                 ORDER BY full_at, place ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), full_at) * weight) AS target
   FROM l
 ), e AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 1 END AS epochs FROM t

@@ -206,7 +206,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col:
     pool = ids.orderBy(F.xxhash64("l_id", F.lit("pool")), "l_id").limit(POOL).distinct().select("l_id", F.lit(None).cast("double").alias("label"))
     wanted = stored(some.unionByName(pool).groupBy("l_id").agg(F.max("label").alias("label")))
     columns = [F.col(c) for c in ("text", "lang", "source", "n_chars")]
-    found = docs.join(F.broadcast(wanted), F.col(id_col) == F.col("l_id")).select("l_id", "label", *columns).dropDuplicates(["l_id"])
+    found = docs.select(F.col(id_col).alias("l_id"), *columns).join(F.broadcast(wanted), "l_id").dropDuplicates(["l_id"])
     rows = found.select("l_id", "label", _features(*columns).alias("f")).collect()
     rows.sort(key=lambda r: (crc32(str(r.l_id).encode()), r.l_id))
     made = [(_row(r.f.text_slots, r.f.text_values), _row(r.f.meta_slots, [1.0] * len(r.f.meta_slots))) for r in rows]

@@ -16,6 +16,7 @@ trained on the id arrays of a bounded sample and lies beside the shards.
 from __future__ import annotations
 
 import hashlib
+import os
 import posixpath
 import re
 import uuid
@@ -43,11 +44,23 @@ SAMPLE_IDS = 4096
 LEVEL = 3
 MAX_BROADCAST_ROWS = 100_000
 #: Distinct words that a Python worker remembers the ids of; the memory starts anew beyond it.
-REMEMBERED = 400_000
+REMEMBERED = 1_500_000
 REMEMBERED_CHARS = 64
 
 _SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
-_UNSAFE_SPACE = re.compile(r" \s|\s ")
+#: White space beside the space and the line feed.
+_RARE_SPACE = re.compile(r"[^\S \n]")
+_PARTED = re.compile(r" ?\S(?:[^\n]*\S)?")
+_CHARS_AT_ONCE = 100_000
+#: Texts that are encoded at once: so many, or so many characters.
+_TEXTS_AT_ONCE, _TEXT_CHARS_AT_ONCE = 256, 2_000_000
+
+
+def _pieces(text: str) -> list[str]:
+    """The text between the spaces that have no white space beside them."""
+    if "  " in text or " \n" in text or "\n " in text or _RARE_SPACE.search(text):
+        return _SAFE_SPACE.split(text)
+    return text.split(" ")
 
 
 class WordEncoder:
@@ -59,33 +72,68 @@ class WordEncoder:
     """
 
     def __init__(self, path: str) -> None:
+        # A task has one core; threads of the library's own would compete with other tasks.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
+        self.line_feed = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
         self.known: dict[str, bytes] = {}
 
     def pack(self, ids: list[int]) -> bytes:
         return np.array(ids, dtype=f"<u{self.width}").tobytes()
 
-    def _encode(self, words: list[str]) -> list[bytes]:
-        return [self.pack(e.ids) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-
-    def encode(self, text: str) -> bytes:
-        """The ids of ``text``, packed."""
-        first, *rest = _SAFE_SPACE.split(text) if _UNSAFE_SPACE.search(text) else text.split(" ")
+    def _encode(self, units: list[str]) -> dict[str, bytes]:
+        """Ids of pieces of text, each encoded by itself.
+
+        A line feed between two characters that aren't white space, or before
+        a single space, is a pre-token of its own; pieces that such line feeds
+        can part are encoded together.
+        """
+        found = {}
+        alone = []
+        joined: list[str] = []
+        chars = 0
+        for unit in units:
+            if not _PARTED.fullmatch(unit):
+                alone.append(unit)
+                continue
+            joined.append(unit)
+            chars += len(unit)
+            if chars >= _CHARS_AT_ONCE:
+                self._encode_joined(joined, found)
+                joined, chars = [], 0
+        if joined:
+            self._encode_joined(joined, found)
+        for unit, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True):
+            found[unit] = self.pack(e.ids)
+        return found
+
+    def _encode_joined(self, units: list[str], found: dict[str, bytes]) -> None:
+        ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(units)], add_special_tokens=False)[0].ids, dtype=f"<u{self.width}")
+        ends = np.append(np.flatnonzero(ids == self.line_feed), len(ids)) * self.width
+        data = ids.tobytes()
+        start = 0
+        for unit, end in zip(units, ends.tolist(), strict=True):
+            found[unit] = data[start:end]
+            start = end + self.width
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, packed."""
+        parts = [_pieces(t) for t in texts]
+        firsts = self._encode(list({p[0] for p in parts}))
         known = self.known
-        new = [w for w in set(rest) if w not in known]
-        if new:
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                new = list(set(rest))
-            found = dict(zip(new, self._encode([" " + w for w in new]), strict=True))
-            known.update((w, ids) for w, ids in found.items() if len(w) <= REMEMBERED_CHARS)
-        else:
-            found = {}
-        lookup = known if all(len(w) <= REMEMBERED_CHARS for w in new) else {**known, **found}
-        return self._encode([first])[0] + b"".join(map(lookup.__getitem__, rest))
+        wanted = set().union(*(p[1:] for p in parts))
+        new = [w for w in wanted if w not in known]
+        if len(known) + len(new) > REMEMBERED:
+            known.clear()
+            new = list(wanted)
+        found = self._encode([" " + w for w in new])
+        long = {w: found[" " + w] for w in new if len(w) > REMEMBERED_CHARS}
+        known.update((w, found[" " + w]) for w in new if w not in long)
+        lookup = (lambda w: known[w] if w in known else long[w]) if long else known.__getitem__
+        return [firsts[p[0]] + b"".join(map(lookup, p[1:])) for p in parts]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -98,6 +146,20 @@ def encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
+def _groups(column: pa.Array) -> Iterator[list[str]]:
+    """The texts in groups, null as the empty text."""
+    group: list[str] = []
+    chars = 0
+    for text in column:
+        group.append(text.as_py() or "")
+        chars += len(group[-1])
+        if len(group) >= _TEXTS_AT_ONCE or chars >= _TEXT_CHARS_AT_ONCE:
+            yield group
+            group, chars = [], 0
+    if group:
+        yield group
+
+
 def _encode_docs(path: str, end_id: int, dictionary: bytes) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
@@ -105,10 +167,11 @@ def _encode_docs(path: str, end_id: int, dictionary: bytes) -> Callable[[Iterato
         squeeze = _compressor(dictionary)
         for batch in batches:
             frames, counts = [], []
-            for text in batch.column(1):
-                ids = enc.encode(text.as_py() or "") + end
-                counts.append(len(ids) // enc.width)
-                frames.append(squeeze.compress(ids))
+            for texts in _groups(batch.column(1)):
+                for ids in enc.encode(texts):
+                    ids += end
+                    counts.append(len(ids) // enc.width)
+                    frames.append(squeeze.compress(ids))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(frames, pa.binary())], names=["id", "n", "frame"])
 
     return run
@@ -126,12 +189,13 @@ def _decompressor(dictionary: bytes) -> zstandard.ZstdDecompressor:
 
 def _train(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str) -> bytes:
     """A dictionary from a bounded sample; none if there is too little to learn from."""
-    order = [F.xxhash64(id_col), F.col(id_col)]
-    some = docs.select(F.col(id_col).alias("some_id")).orderBy(F.xxhash64("some_id"), "some_id").limit(SAMPLE_DOCS)
-    texts = docs.join(F.broadcast(some.distinct()), F.col(id_col) == F.col("some_id"), "left_semi").orderBy(*order).limit(SAMPLE_DOCS)
+    rows = docs.select(F.col(id_col).alias("some_id"), F.substring(text_col, 1, SAMPLE_IDS * 8).alias("head"))
+    order = [F.xxhash64("some_id"), "some_id"]
+    some = rows.select("some_id").orderBy(*order).limit(SAMPLE_DOCS)
+    texts = rows.join(F.broadcast(some.distinct()), "some_id", "left_semi").orderBy(*order).limit(SAMPLE_DOCS)
     enc = encoder(path)
     most = SAMPLE_IDS * enc.width
-    ids = texts.select(F.col(id_col), F.substring(text_col, 1, SAMPLE_IDS * 8).alias("head")).mapInArrow(_encode_docs(path, end_id, b""), "id long, n long, frame binary")
+    ids = texts.mapInArrow(_encode_docs(path, end_id, b""), "id long, n long, frame binary")
     plain = zstandard.ZstdDecompressor()
     samples = [plain.decompress(r.frame)[:most] for r in ids.select("frame").collect()]
     try:
