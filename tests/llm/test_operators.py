@@ -129,9 +129,9 @@ def test_quality_on_odd_rows(spark, odd):
 
 
 def test_recurring_templates_go(spark, odd):
-    rows = [(i, f"own line {'abcdefghij'[i]} here\nUser {i} logged in at {i}:00 from host{i}\nfooter\n\n") for i in range(8)]
+    rows = [(i, f"{'abcdefghij'[i]} line of its own\nUser {i} logged in at {i}:00 from host{i}\nfooter\n\n") for i in range(8)]
     cleaned = {r.doc_id: r for r in line_templates.recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert all(r.text == f"own line {'abcdefghij'[i]} here\n\n" and r.n_dropped == 2 and r.n_lines == 5 for i, r in cleaned.items())
+    assert all(r.text == f"{'abcdefghij'[i]} line of its own\n\n" and r.n_dropped == 2 and r.n_lines == 5 for i, r in cleaned.items())
 
 
 def test_templates_need_documents(spark):
