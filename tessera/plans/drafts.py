@@ -268,8 +268,8 @@ def u8_findings_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH l AS (SELECT o_orderkey AS run, o_orderdate AS at, unnest([o_custkey, o_custkey % 100]) AS lock FROM orders)
-SELECT sha256(lock::VARCHAR)[1:16] AS lock_hash, lock, run FROM l QUALIFY row_number() OVER (PARTITION BY lock ORDER BY at, run) = 1
+WITH l AS (SELECT o_orderkey AS run, o_orderdate AS since, unnest([o_custkey, o_custkey % 100]) AS lock FROM orders)
+SELECT sha256(lock::VARCHAR)[1:16] AS lock_hash, lock, run FROM l QUALIFY row_number() OVER (PARTITION BY lock ORDER BY since, run) = 1
 """)
 def u9_lock_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The locks of all runs, each with the first run that has it."""
