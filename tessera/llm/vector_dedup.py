@@ -5,11 +5,11 @@ bounded sample; every vector is then indexed in the list of its nearest
 centroid, apart for each label and dimension. A query looks into its own list
 and those whose cell may hold a vector within the threshold: if q's nearest
 centroid is h, a vector nearer to c than to h is at least
-``(|q-c|^2 - |q-h|^2) / (2 |c-h|)`` away from q. Of such lists the nearest
-``MAX_PROBES`` are searched. Inside a list, distances are sums of table
-look-ups (asymmetric: exact query, coded member); a member is passed over only
-if its distance exceeds the threshold by more than its own coding error, and
-what is left is ranked by the exact cosine in double precision.
+``(|q-c|^2 - |q-h|^2) / (2 |c-h|)`` away from q. All such lists are searched,
+so no link is lost. Inside a list, distances are sums of table look-ups
+(asymmetric: exact query, coded member); a member is passed over only if its
+distance exceeds the threshold by more than its own coding error, and what is
+left is ranked by the exact cosine in double precision.
 
 Identical vectors of a label are one class with a size. Each list's task
 returns sums and spanning links, never the pairs of a group; a crowded list is
@@ -36,7 +36,6 @@ SAMPLE = 20_000
 #: Classes of one label that a list shall hold, about, and the most centroids.
 LIST_SIZE = 512
 MAX_LISTS = 1024
-MAX_PROBES = 48
 SUBSPACES = 8
 CODES = 256
 BLOCK = 1024
@@ -91,10 +90,7 @@ class Index:
             margin = (squared - squared[np.arange(len(unit)), home][:, None]) / (2 * apart)
         margin[np.arange(len(unit)), home] = -1
         margin = np.where(np.isnan(margin), -1, margin)
-        probes = []
-        for row, near in zip(margin, squared, strict=True):
-            lists = np.flatnonzero(row <= reach)
-            probes.append(lists[np.argsort(near[lists], kind="stable")][:MAX_PROBES].tolist())
+        probes = [np.flatnonzero(row <= reach).tolist() for row in margin]
         residuals = self._split(unit - self.centroids[home])
         codes = np.stack([_nearest(residuals[:, s], self.books[s]) for s in range(SUBSPACES)], axis=1)
         decoded = np.stack([self.books[s][codes[:, s]] for s in range(SUBSPACES)], axis=1)

@@ -249,6 +249,21 @@ def test_vector_blocks(spark, monkeypatch):
     assert got == brute.vector_rows(rows)[0]
 
 
+def test_vectors_with_many_lists_in_reach(spark, monkeypatch):
+    monkeypatch.setattr(vector_dedup, "LIST_SIZE", 3)
+    rng = np.random.default_rng(11)
+    units = np.ones(16) + rng.normal(size=(900, 16)) * 0.27
+    index = vector_dedup.Index(units / np.linalg.norm(units, axis=1, keepdims=True), 300)
+    reach = (2 - 2 * vector_dedup.LEAST_COSINE) ** 0.5
+    probes = index.place(units / np.linalg.norm(units, axis=1, keepdims=True), reach)[1]
+    assert len(index.centroids) == 300 and np.median([len(p) for p in probes]) > 48
+    rows = [(n, v.tolist(), 0) for n, v in enumerate(units)]
+    got = {tuple(r) for r in vector_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    want, links = brute.vector_rows(rows)
+    assert len(links) > 1000
+    assert got == want
+
+
 def test_vectors_with_null_ids_and_repeats(spark):
     rows = [(1, [1.0, 0.0], 0), (1, [1.0, 0.0], 0), (None, [1.0, 0.0], 0), (2, [0.0, 1.0], 0)]
     got = Counter(tuple(r) for r in vector_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
