@@ -304,15 +304,29 @@ def p8_eligible_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", (F.size(X.content_words(F.col("text"))) >= 4).alias("eligible"))
 
 
-@query("""
-WITH y AS (SELECT o_custkey AS run, list_sort(list_distinct(list(year(o_orderdate)::INT))) AS years FROM orders WHERE o_custkey < 400 GROUP BY 1), c AS (SELECT years, min(run) AS run, count(*) AS runs FROM y GROUP BY 1)
-SELECT a.run AS run_a, b.run AS run_b, a.runs AS runs_a, b.runs AS runs_b FROM c a JOIN c b ON a.run < b.run WHERE len(list_filter(a.years, lambda x: NOT list_contains(b.years, x))) > 0 AND len(list_filter(b.years, lambda x: NOT list_contains(a.years, x))) > 0
-""")
-def j9_year_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def year_conflicts(orders: DataFrame) -> DataFrame:
     """Runs whose years disagree, by classes of runs with the same years: a year set is one of few, so pairs are few."""
-    years = table(spark, sf_dir, "orders").where("o_custkey < 400").groupBy(F.col("o_custkey").alias("run")).agg(F.array_sort(F.collect_set(F.year("o_orderdate"))).alias("years"))
+    years = orders.groupBy(F.col("o_custkey").alias("run")).agg(F.array_sort(F.collect_set(F.year("o_orderdate"))).alias("years"))
     classes = years.groupBy("years").agg(F.min("run").alias("run"), F.count("*").alias("runs")).withColumn("all", F.lit(1))
     a = classes.select("all", F.col("years").alias("ya"), F.col("run").alias("run_a"), F.col("runs").alias("runs_a"))
     b = classes.select("all", F.col("years").alias("yb"), F.col("run").alias("run_b"), F.col("runs").alias("runs_b"))
     pairs = a.join(b, "all").where("run_a < run_b AND size(array_except(ya, yb)) > 0 AND size(array_except(yb, ya)) > 0")
     return pairs.select("run_a", "run_b", "runs_a", "runs_b")
+
+
+@query("""
+WITH y AS (SELECT o_custkey AS run, list_sort(list_distinct(list(year(o_orderdate)::INT))) AS years FROM orders WHERE o_custkey < 400 GROUP BY 1), c AS (SELECT years, min(run) AS run, count(*) AS runs FROM y GROUP BY 1)
+SELECT a.run AS run_a, b.run AS run_b, a.runs AS runs_a, b.runs AS runs_b FROM c a JOIN c b ON a.run < b.run WHERE len(list_filter(a.years, lambda x: NOT list_contains(b.years, x))) > 0 AND len(list_filter(b.years, lambda x: NOT list_contains(a.years, x))) > 0
+""")
+def j9_year_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Year conflicts of the first 400 runs, as its SQL has them; ``j9_all_year_conflicts`` has all runs."""
+    return year_conflicts(table(spark, sf_dir, "orders").where("o_custkey < 400"))
+
+
+@query("""
+WITH y AS (SELECT o_custkey AS run, list_sort(list_distinct(list(year(o_orderdate)::INT))) AS years FROM orders GROUP BY 1), c AS (SELECT years, min(run) AS run, count(*) AS runs FROM y GROUP BY 1)
+SELECT a.run AS run_a, b.run AS run_b, a.runs AS runs_a, b.runs AS runs_b FROM c a JOIN c b ON a.run < b.run WHERE len(list_filter(a.years, lambda x: NOT list_contains(b.years, x))) > 0 AND len(list_filter(b.years, lambda x: NOT list_contains(a.years, x))) > 0
+""")
+def j9_all_year_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Year conflicts of all runs."""
+    return year_conflicts(table(spark, sf_dir, "orders"))
