@@ -82,24 +82,39 @@ def w3_source_carry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_carry(table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"), "source", [F.asc("doc_id")], "n_chars", total=40_000)
 
 
-@query(f"""
-WITH s AS (SELECT source, doc_id, unnest(range(len(ss))) AS position, unnest(ss) AS sentence FROM (
-  SELECT source, doc_id, {SENTENCES_SQL.format(text="text")} AS ss FROM documents WHERE n_chars < 600))
-SELECT source, doc_id, position::INT AS position, 'S' || row_number() OVER (PARTITION BY source ORDER BY doc_id, position) AS sid, length(sentence) AS chars FROM s
-""")
-def w4_sentence_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentences of short documents, numbered S1 to Sn over each source's documents.
+def sentence_numbers(docs: DataFrame) -> DataFrame:
+    """Sentences of documents, numbered S1 to Sn over each source's documents.
 
     Documents are numbered by a running sum of their sentence counts, so only
     a row for each document is sorted, not one for each sentence.
     """
-    docs = table(spark, sf_dir, "documents").where("n_chars < 600").select("source", "doc_id", sentences(F.col("text")).alias("ss"))
+    docs = docs.select("source", "doc_id", sentences(F.col("text")).alias("ss"))
     ahead = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
     counted = docs.withColumn("ahead", F.coalesce(F.sum(F.size("ss")).over(ahead), F.lit(0)))
     each = counted.select("source", "doc_id", "ahead", F.posexplode("ss").alias("position", "sentence"))
     return each.select("source", "doc_id", "position", F.concat(F.lit("S"), F.col("ahead") + F.col("position") + 1).alias("sid"), F.length("sentence").alias("chars"))
 
 
+@query(f"""
+WITH s AS (SELECT source, doc_id, unnest(range(len(ss))) AS position, unnest(ss) AS sentence FROM (
+  SELECT source, doc_id, {SENTENCES_SQL.format(text="text")} AS ss FROM documents WHERE n_chars < 600))
+SELECT source, doc_id, position::INT AS position, 'S' || row_number() OVER (PARTITION BY source ORDER BY doc_id, position) AS sid, length(sentence) AS chars FROM s
+""")
+def w4_sentence_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of short documents' sentences, as its SQL has them; ``w4_all_sentence_numbers`` has all documents."""
+    return sentence_numbers(table(spark, sf_dir, "documents").where("n_chars < 600"))
+
+
+@query(f"""
+WITH s AS (SELECT source, doc_id, unnest(range(len(ss))) AS position, unnest(ss) AS sentence FROM (
+  SELECT source, doc_id, {SENTENCES_SQL.format(text="text")} AS ss FROM documents))
+SELECT source, doc_id, position::INT AS position, 'S' || row_number() OVER (PARTITION BY source ORDER BY doc_id, position) AS sid, length(sentence) AS chars FROM s
+""")
+def w4_all_sentence_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of all documents' sentences."""
+    return sentence_numbers(table(spark, sf_dir, "documents"))
+
+
 @query("""
 SELECT conv_id, turn, role, lag(left(text, 60)) OVER w AS before, left(text, 60) AS here, lead(left(text, 60)) OVER w AS after FROM conversations
 WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)

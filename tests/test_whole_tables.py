@@ -37,3 +37,12 @@ def test_lineage_of_all_artifacts(spark, save):
             at, depth = at // 3, depth + 1
             want.append((node, at, depth))
     assert rows(spark, folder, "v24_whole_lineage") == sorted(want)
+
+
+def test_sentence_numbers_of_long_documents(spark, save):
+    docs = [(1, "a", "One more here. Two more here.", 29), (2, "a", "Long one here. " * 60, 900), (3, "a", "Last one here.", None), (4, "b", "Own one here.", 13)]
+    folder = save("documents", docs, "doc_id long, source string, text string, n_chars long")
+    got = rows(spark, folder, "w4_all_sentence_numbers")
+    ids = {(r[0], r[1], r[2]): r[3] for r in got}
+    assert len(got) == 64
+    assert [ids["a", 1, 1], ids["a", 2, 0], ids["a", 2, 59], ids["a", 3, 0], ids["b", 4, 0]] == ["S2", "S3", "S62", "S63", "S1"]
