@@ -384,18 +384,33 @@ LINT = {
 }
 
 
+def rule_lint(docs: DataFrame, text: Column) -> DataFrame:
+    """Contradictions and unbalanced tags of prompts."""
+    head = F.element_at(F.array(*[F.lit(s) for s in ("Act as an expert. Be concise. <role>", "Formal, no slang. <role></role> ", "")]), (F.col("doc_id") % 3 + 1).cast("int"))
+    p = F.concat(head, text)
+    both = [(p.rlike(a) & p.rlike(b)).alias(name) for name, (a, b) in LINT.items()]
+    count = lambda tag: F.regexp_count(p, F.lit(tag)).cast("long")
+    return docs.select("doc_id", *both, p.rlike(r"\bit\b").alias("ambiguous_it"), count("<role>").alias("role_opens"), count("</role>").alias("role_closes"))
+
+
 @query(r"""
 SELECT doc_id, regexp_matches(p, '(?i)act as.*expert') AND regexp_matches(p, '(?i)be concise|brief') AS expert_but_concise, regexp_matches(p, '(?i)formal|professional') AND regexp_matches(p, '(?i)slang|casual|colloquial') AS formal_and_casual,
        regexp_matches(p, '\bit\b') AS ambiguous_it, len(regexp_extract_all(p, '<role>')) AS role_opens, len(regexp_extract_all(p, '</role>')) AS role_closes
 FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'Act as an expert. Be concise. <role>' WHEN 1 THEN 'Formal, no slang. <role></role> ' ELSE '' END || left(text, 200) AS p FROM documents)
 """)
 def t29_rule_lint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contradictions and unbalanced tags of prompts."""
-    head = F.element_at(F.array(*[F.lit(s) for s in ("Act as an expert. Be concise. <role>", "Formal, no slang. <role></role> ", "")]), (F.col("doc_id") % 3 + 1).cast("int"))
-    p = F.concat(head, F.substring("text", 1, 200))
-    both = [(p.rlike(a) & p.rlike(b)).alias(name) for name, (a, b) in LINT.items()]
-    count = lambda tag: F.regexp_count(p, F.lit(tag)).cast("long")
-    return table(spark, sf_dir, "documents").select("doc_id", *both, p.rlike(r"\bit\b").alias("ambiguous_it"), count("<role>").alias("role_opens"), count("</role>").alias("role_closes"))
+    """The lint of the first 200 characters, as its SQL has it; ``t29_whole_lint`` has whole texts."""
+    return rule_lint(table(spark, sf_dir, "documents"), F.substring("text", 1, 200))
+
+
+@query(r"""
+SELECT doc_id, regexp_matches(p, '(?i)act as.*expert') AND regexp_matches(p, '(?i)be concise|brief') AS expert_but_concise, regexp_matches(p, '(?i)formal|professional') AND regexp_matches(p, '(?i)slang|casual|colloquial') AS formal_and_casual,
+       regexp_matches(p, '\bit\b') AS ambiguous_it, len(regexp_extract_all(p, '<role>')) AS role_opens, len(regexp_extract_all(p, '</role>')) AS role_closes
+FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'Act as an expert. Be concise. <role>' WHEN 1 THEN 'Formal, no slang. <role></role> ' ELSE '' END || text AS p FROM documents)
+""")
+def t29_whole_lint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lint of whole texts."""
+    return rule_lint(table(spark, sf_dir, "documents"), F.col("text"))
 
 
 @query(r"""

@@ -46,3 +46,18 @@ def test_sentence_numbers_of_long_documents(spark, save):
     ids = {(r[0], r[1], r[2]): r[3] for r in got}
     assert len(got) == 64
     assert [ids["a", 1, 1], ids["a", 2, 0], ids["a", 2, 59], ids["a", 3, 0], ids["b", 4, 0]] == ["S2", "S3", "S62", "S63", "S1"]
+
+
+def test_lint_after_the_head(spark, save):
+    folder = save("documents", [(2, "word " * 100 + "formal slang it </role>")], "doc_id long, text string")
+    assert rows(spark, folder, "t29_rule_lint") == [(2, False, False, False, 0, 0)]
+    assert rows(spark, folder, "t29_whole_lint") == [(2, False, True, True, 0, 1)]
+
+
+def test_verdict_of_whole_passages(spark, save):
+    claim = "The policy covers water damage. " * 10 + "The deductible is 25,000 USD and never 90,000 USD."
+    save("benchmark", [(1, claim)], "item_id long, text string")
+    folder = save("documents", [(7, "src1", "The policy covers water damage.")], "doc_id long, source string, text string")
+    verdict = lambda name: catalog.QUERIES[name](spark, folder).first().verdict
+    assert verdict("v3_evidence_verdict") == "supported"
+    assert verdict("v3_whole_verdict") != "supported"
