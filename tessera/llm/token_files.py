@@ -25,6 +25,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 import zstandard
 from pyspark import TaskContext
@@ -47,28 +48,26 @@ MAX_BROADCAST_ROWS = 100_000
 REMEMBERED = 1_500_000
 REMEMBERED_CHARS = 64
 
+#: A space between two characters that aren't white space.
 _SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
-#: White space beside the space and the line feed.
-_RARE_SPACE = re.compile(r"[^\S \n]")
-_PARTED = re.compile(r" ?\S(?:[^\n]*\S)?")
-_CHARS_AT_ONCE = 100_000
-#: Texts that are encoded at once: so many, or so many characters.
-_TEXTS_AT_ONCE, _TEXT_CHARS_AT_ONCE = 256, 2_000_000
-
-
-def _pieces(text: str) -> list[str]:
-    """The text between the spaces that have no white space beside them."""
-    if "  " in text or " \n" in text or "\n " in text or _RARE_SPACE.search(text):
-        return _SAFE_SPACE.split(text)
-    return text.split(" ")
+#: White space other than the space and the line feed, at its widest.
+_RARE = r"\t\x0b-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+#: Texts that need the pattern above, and words that are encoded by themselves.
+_CROWDED = rf"  | \n|\n |[{_RARE}]"
+_ALONE = rf"^$|^\n|\n$|[ {_RARE}]"
+_CHARS_AT_ONCE = 200_000
+#: Texts are encoded together up to about so many bytes.
+_BYTES_AT_ONCE = 16 << 20
 
 
 class WordEncoder:
     """Encodes texts with a byte-level BPE of the tokenizers library, each distinct word about once.
 
     A space between two characters that aren't white space always begins a
-    new pre-token, so the text between two such spaces is encoded alike
-    wherever it stands, and its ids are remembered.
+    new pre-token, so the text between two such spaces (a word, here) is
+    encoded alike wherever it stands, and its ids are remembered. Words are
+    split, told apart and put together again as arrays; only distinct new
+    words reach the library.
     """
 
     def __init__(self, path: str) -> None:
@@ -77,64 +76,96 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
-        self.line_feed = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
+        self.kind = np.dtype(f"<u{self.width}")
+        #: Which tokens begin with a space, which the byte-level alphabet writes U+0120.
+        self.spaced = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.spaced[[n for token, n in vocabulary.items() if token[0] == "\u0120"]] = True
         self.known: dict[str, bytes] = {}
 
-    def pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, dtype=f"<u{self.width}").tobytes()
+    def _plain(self, units: list[str]) -> list[bytes]:
+        """The ids of each unit by itself."""
+        return [np.array(e.ids, dtype=self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
 
-    def _encode(self, units: list[str]) -> dict[str, bytes]:
-        """Ids of pieces of text, each encoded by itself.
+    def _after_space(self, words: list[str]) -> list[bytes]:
+        """The ids of each word with a space before it.
 
-        A line feed between two characters that aren't white space, or before
-        a single space, is a pre-token of its own; pieces that such line feeds
-        can part are encoded together.
+        Words without white space at their ends or a space inside are encoded
+        in one text, in which a token that begins with a space begins a word.
         """
-        found = {}
-        alone = []
-        joined: list[str] = []
-        chars = 0
-        for unit in units:
-            if not _PARTED.fullmatch(unit):
-                alone.append(unit)
+        found: list[bytes] = [b""] * len(words)
+        alone, joined, chars = [], [], 0
+
+        def encode_joined() -> None:
+            text = " " + " ".join([words[i] for i in joined])
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.kind)
+            cuts = np.append(np.flatnonzero(self.spaced[ids]), len(ids)) * self.width
+            data = ids.tobytes()
+            for i, start, end in zip(joined, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                found[i] = data[start:end]
+
+        odd = pc.match_substring_regex(pa.array(words, pa.large_string()), _ALONE).to_pylist()
+        for i, word in enumerate(words):
+            if odd[i]:
+                alone.append(i)
                 continue
-            joined.append(unit)
-            chars += len(unit)
+            joined.append(i)
+            chars += len(word) + 1
             if chars >= _CHARS_AT_ONCE:
-                self._encode_joined(joined, found)
+                encode_joined()
                 joined, chars = [], 0
         if joined:
-            self._encode_joined(joined, found)
-        for unit, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True):
-            found[unit] = self.pack(e.ids)
+            encode_joined()
+        for i, ids in zip(alone, self._plain([" " + words[i] for i in alone]), strict=True):
+            found[i] = ids
         return found
 
-    def _encode_joined(self, units: list[str], found: dict[str, bytes]) -> None:
-        ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(units)], add_special_tokens=False)[0].ids, dtype=f"<u{self.width}")
-        ends = np.append(np.flatnonzero(ids == self.line_feed), len(ids)) * self.width
-        data = ids.tobytes()
-        start = 0
-        for unit, end in zip(units, ends.tolist(), strict=True):
-            found[unit] = data[start:end]
-            start = end + self.width
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, packed."""
-        parts = [_pieces(t) for t in texts]
-        firsts = self._encode(list({p[0] for p in parts}))
+    def _ids_of(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct words with a space before them, from memory where they are known."""
         known = self.known
-        wanted = set().union(*(p[1:] for p in parts))
-        new = [w for w in wanted if w not in known]
+        found = list(map(known.get, words))
+        new = [i for i, ids in enumerate(found) if ids is None]
         if len(known) + len(new) > REMEMBERED:
             known.clear()
-            new = list(wanted)
-        found = self._encode([" " + w for w in new])
-        long = {w: found[" " + w] for w in new if len(w) > REMEMBERED_CHARS}
-        known.update((w, found[" " + w]) for w in new if w not in long)
-        lookup = (lambda w: known[w] if w in known else long[w]) if long else known.__getitem__
-        return [firsts[p[0]] + b"".join(map(lookup, p[1:])) for p in parts]
+        coded = self._after_space([words[i] for i in new])
+        for i, ids in zip(new, coded, strict=True):
+            found[i] = ids
+        known.update((words[i], ids) for i, ids in zip(new, coded, strict=True) if len(words[i]) <= REMEMBERED_CHARS)
+        return found
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text of a string array without nulls, packed."""
+        crowded = pc.match_substring_regex(texts, _CROWDED)
+        order = np.concatenate([np.flatnonzero(~np.asarray(crowded)), np.flatnonzero(np.asarray(crowded))])
+        split = [_SAFE_SPACE.split(t.as_py()) for t in texts.filter(crowded)]
+        pieces = pa.chunked_array([pc.split_pattern(texts.filter(pc.invert(crowded)), " ").cast(_PIECES), pa.array(split, _PIECES)]).combine_chunks()
+        starts = np.asarray(pieces.offsets)
+        told = pieces.flatten().dictionary_encode()
+        codes = np.asarray(told.indices).copy()
+        words = told.dictionary.to_pylist()
+        # A text's first word has no space before it: such words are further entries.
+        heads, which = np.unique(codes[starts[:-1]], return_inverse=True)
+        codes[starts[:-1]] = len(words) + which
+        table = self._ids_of(words) + self._plain([words[i] for i in heads.tolist()])
+
+        flat = np.frombuffer(b"".join(table), dtype=self.kind)
+        sizes = np.fromiter(map(len, table), dtype=np.int64, count=len(table)) // self.width
+        lengths = sizes[codes]
+        ends = np.cumsum(lengths)
+        # The place in ``flat`` of each id of the output.
+        shift = (np.cumsum(sizes) - sizes)[codes] - (ends - lengths)
+        data = flat[np.repeat(shift, lengths) + np.arange(int(ends[-1]) if len(ends) else 0)].tobytes()
+        text_ends = ends[starts[1:] - 1] * self.width
+        out: list[bytes] = [b""] * len(texts)
+        start = 0
+        for row, end in zip(order.tolist(), text_ends.tolist(), strict=True):
+            out[row] = data[start:end]
+            start = end
+        return out
+
 
+_PIECES = pa.large_list(pa.large_string())
 
 _encoders: dict[str, WordEncoder] = {}
 
@@ -146,33 +177,32 @@ def encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
-def _groups(column: pa.Array) -> Iterator[list[str]]:
-    """The texts in groups, null as the empty text."""
-    group: list[str] = []
-    chars = 0
-    for text in column:
-        group.append(text.as_py() or "")
-        chars += len(group[-1])
-        if len(group) >= _TEXTS_AT_ONCE or chars >= _TEXT_CHARS_AT_ONCE:
-            yield group
-            group, chars = [], 0
-    if group:
-        yield group
+def _groups(column: pa.Array) -> Iterator[pa.Array]:
+    """The texts in groups of about ``_BYTES_AT_ONCE``, null as the empty text."""
+    texts = pc.fill_null(column.cast(pa.large_string()), "")
+    ends = np.cumsum(np.asarray(pc.binary_length(texts)))
+    start = 0
+    while start < len(texts):
+        before = int(ends[start - 1]) if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + _BYTES_AT_ONCE, "right")))
+        yield texts.slice(start, stop - start)
+        start = stop
 
 
 def _encode_docs(path: str, end_id: int, dictionary: bytes) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        end = enc.pack([end_id])
+        end = np.array([end_id], dtype=enc.kind).tobytes()
         squeeze = _compressor(dictionary)
         for batch in batches:
-            frames, counts = [], []
+            at = 0
             for texts in _groups(batch.column(1)):
+                frames, counts = [], []
                 for ids in enc.encode(texts):
-                    ids += end
-                    counts.append(len(ids) // enc.width)
-                    frames.append(squeeze.compress(ids))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(frames, pa.binary())], names=["id", "n", "frame"])
+                    counts.append(len(ids) // enc.width + 1)
+                    frames.append(squeeze.compress(ids + end))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(counts, pa.int64()), pa.array(frames, pa.binary())], names=["id", "n", "frame"])
+                at += len(texts)
 
     return run
 
@@ -188,7 +218,7 @@ def _decompressor(dictionary: bytes) -> zstandard.ZstdDecompressor:
 
 
 def _train(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str) -> bytes:
-    """A dictionary from a bounded sample; none if there is too little to learn from."""
+    """A dictionary from a bounded sample; none if the library finds too little in it to learn from, as with few or tiny documents."""
     rows = docs.select(F.col(id_col).alias("some_id"), F.substring(text_col, 1, SAMPLE_IDS * 8).alias("head"))
     order = [F.xxhash64("some_id"), "some_id"]
     some = rows.select("some_id").orderBy(*order).limit(SAMPLE_DOCS)

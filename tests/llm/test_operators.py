@@ -6,6 +6,7 @@ from collections import Counter
 import brute
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from odd_rows import TEXTS
 
@@ -346,10 +347,10 @@ def test_word_encoder_equals_the_library():
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(JSON)
-    texts = ["", " ", "  a", "a  b", "a \n b\n\n c", "x\t y", "\n", " \n", "a\n", "\u00a0b c\u00a0", "a\u3000b  ", "don't it's  'll", "<|endoftext|> a <|endoftext|>b", "é" * 200 + " b", "a\r\nb \r\n c", "1 2 3\n4 5", *(t or "" for _, t in TEXTS)]
+    texts = ["", " ", "  a", "a  b", "a \n b\n\n c", "x\t y", "\n", " \n", "a\n", "\u00a0b c\u00a0", "a\u3000b  ", "don't it's  'll", "<|endoftext|> a <|endoftext|>b", "é" * 200 + " b", "a\r\nb \r\n c", "1 2 3\n4 5", "\nab cd\nef\n", "a \u180eb c\x1cd \x85 e", "x <|endoftext|>y z<|endoftext|> w", "\u0120a b\u0120", *(t or "" for _, t in TEXTS)]
     enc = token_files.WordEncoder(JSON)
     for _ in range(2):
-        assert [np.frombuffer(b, "<u2").tolist() for b in enc.encode(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+        assert [np.frombuffer(b, "<u2").tolist() for b in enc.encode(pa.array(texts, pa.large_string()))] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_checkpoint_dir_is_the_sessions(spark):
