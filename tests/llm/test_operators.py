@@ -141,6 +141,24 @@ def test_templates_need_documents(spark):
     assert sum(r.n_dropped for r in got) == 0
 
 
+def test_long_lines_recur_in_two_texts(spark):
+    long, short = " ".join(f"w{chr(97 + n % 26)}{chr(97 + n // 26)}" for n in range(51)), "just a short line here"
+    numbers = "1 22 333\t4444  55555"
+    rows = [(1, f"one\n{long}\n{short}"), (2, f"{long}\ntwo\n{short}"), (3, f"three\n{long} more"), (4, f"three\n{long} more")]
+    rows += [(10 + i, f"{numbers}\n{i} 22 333 4444 {i}\nown{'abcdefg'[i]} tail") for i in range(5)]
+    got = {r.doc_id: (r.text, r.n_dropped) for r in line_templates.recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == (f"one\n{short}", 1) and got[2] == (f"two\n{short}", 1)
+    assert got[3] == (f"three\n{long} more", 0)  # copies are one text
+    assert all(got[10 + i] == (f"{i} 22 333 4444 {i}\nown{'abcdefg'[i]} tail", 1) for i in range(5))
+
+
+@pytest.mark.parametrize("setting", [{"LEAST_HOT": 0}, {"LEAST_HOT": 0, "MAX_BROADCAST_ROWS": 0}])
+def test_hot_leaves_and_lines_change_nothing(spark, sf_dir, monkeypatch, setting):
+    for name, value in setting.items():
+        monkeypatch.setattr(line_templates, name, value)
+    assert_same(catalog.QUERIES["op4_line_templates"](spark, sf_dir), connect(sf_dir), catalog.SQL["op4_line_templates"])
+
+
 def test_line_templates_on_odd_rows(odd):
     got = line_templates.recurring_lines(odd, min_docs=2).collect()
     assert len(got) == len(TEXTS)
