@@ -44,8 +44,8 @@ SAMPLE_DOCS = 2000
 SAMPLE_IDS = 4096
 LEVEL = 3
 MAX_BROADCAST_ROWS = 100_000
-#: Distinct words that a Python worker remembers the ids of; the memory starts anew beyond it.
-REMEMBERED = 1_500_000
+#: Distinct words that a Python worker remembers the ids of: so many of the latest, and as many of those before them.
+REMEMBERED = 450_000
 REMEMBERED_CHARS = 64
 
 #: A space between two characters that aren't white space.
@@ -57,7 +57,7 @@ _CROWDED = rf"  | \n|\n |[{_RARE}]"
 _ALONE = rf"^$|^\n|\n$|[ {_RARE}]"
 _CHARS_AT_ONCE = 200_000
 #: Texts are encoded together up to about so many bytes.
-_BYTES_AT_ONCE = 16 << 20
+_BYTES_AT_ONCE = 4 << 20
 
 
 class WordEncoder:
@@ -83,6 +83,7 @@ class WordEncoder:
         self.spaced = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.spaced[[n for token, n in vocabulary.items() if token[0] == "\u0120"]] = True
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def _plain(self, units: list[str]) -> list[bytes]:
         """The ids of each unit by itself."""
@@ -123,15 +124,16 @@ class WordEncoder:
 
     def _ids_of(self, words: list[str]) -> list[bytes]:
         """The ids of distinct words with a space before them, from memory where they are known."""
-        known = self.known
-        found = list(map(known.get, words))
-        new = [i for i, ids in enumerate(found) if ids is None]
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-        coded = self._after_space([words[i] for i in new])
-        for i, ids in zip(new, coded, strict=True):
+        found = list(map(self.known.get, words))
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        for i in missing:
+            found[i] = self.before.get(words[i])
+        new = [i for i in missing if found[i] is None]
+        for i, ids in zip(new, self._after_space([words[i] for i in new]), strict=True):
             found[i] = ids
-        known.update((words[i], ids) for i, ids in zip(new, coded, strict=True) if len(words[i]) <= REMEMBERED_CHARS)
+        if len(self.known) >= REMEMBERED:
+            self.known, self.before = {}, self.known
+        self.known.update((words[i], found[i]) for i in missing if len(words[i]) <= REMEMBERED_CHARS)
         return found
 
     def encode(self, texts: pa.Array) -> list[bytes]:
@@ -153,6 +155,7 @@ class WordEncoder:
         sizes = np.fromiter(map(len, table), dtype=np.int64, count=len(table)) // self.width
         lengths = sizes[codes]
         ends = np.cumsum(lengths)
+        del pieces, told, words, table
         # The place in ``flat`` of each id of the output.
         shift = (np.cumsum(sizes) - sizes)[codes] - (ends - lengths)
         data = flat[np.repeat(shift, lengths) + np.arange(int(ends[-1]) if len(ends) else 0)].tobytes()
