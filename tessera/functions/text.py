@@ -181,16 +181,16 @@ def weighted_match(claim: Column, excerpt: Column) -> Column:
 
 #: Pairs of opposites.
 ANTONYMS = [
-    tuple(pair.split("/"))
-    for pair in (
-        "increase/decrease increase/decline increase/fall increase/fell increased/decreased increased/declined increased/fell "
-        "increasing/decreasing increasing/declining increasing/falling growth/decline growth/decrease profit/loss gain/loss "
-        "increase/reduce increased/reduced rise/fall up/down higher/lower exceed/below above/below profit/deficit surplus/deficit "
-        "approve/reject accept/reject yes/no true/false include/exclude includes/excludes included/excluded including/excluding "
-        "cover/exclude covers/excludes covered/excluded coverage/exclusion affirm/deny affirmed/denied grant/deny granted/denied "
-        "permit/prohibit permitted/prohibited allow/disallow allowed/disallowed applicable/inapplicable eligible/ineligible "
-        "valid/invalid within/outside mandatory/optional admitted/denied"
-    ).split()
+    ("increase", "decrease"), ("increase", "decline"), ("increase", "fall"), ("increase", "fell"), ("increased", "decreased"),
+    ("increased", "declined"), ("increased", "fell"), ("increasing", "decreasing"), ("increasing", "declining"),
+    ("increasing", "falling"), ("growth", "decline"), ("growth", "decrease"), ("profit", "loss"), ("gain", "loss"),
+    ("increase", "reduce"), ("increased", "reduced"), ("rise", "fall"), ("up", "down"), ("higher", "lower"), ("exceed", "below"),
+    ("above", "below"), ("profit", "deficit"), ("surplus", "deficit"), ("approve", "reject"), ("accept", "reject"), ("yes", "no"),
+    ("true", "false"), ("include", "exclude"), ("includes", "excludes"), ("included", "excluded"), ("including", "excluding"),
+    ("cover", "exclude"), ("covers", "excludes"), ("covered", "excluded"), ("coverage", "exclusion"), ("affirm", "deny"),
+    ("affirmed", "denied"), ("grant", "deny"), ("granted", "denied"), ("permit", "prohibit"), ("permitted", "prohibited"),
+    ("allow", "disallow"), ("allowed", "disallowed"), ("applicable", "inapplicable"), ("eligible", "ineligible"),
+    ("valid", "invalid"), ("within", "outside"), ("mandatory", "optional"), ("admitted", "denied"),
 ]
 
 #: Negations that opposition looks at, in order; the last decides what is taken out of the claim.

@@ -196,23 +196,36 @@ def first_fallback(asked: DataFrame, lookups: Sequence[tuple[DataFrame, Sequence
 
 
 @query("""
-WITH a AS (SELECT c_custkey AS asked, c_mktsegment AS intent, c_nationkey AS target FROM customer),
-     v AS (SELECT o_orderkey AS id, c_mktsegment AS intent, c_nationkey AS target FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey % 40 = 0)
+WITH a AS (SELECT c_custkey AS asked, c_mktsegment AS intent, 'n' || c_nationkey AS domain, 'm' || c_custkey % 7 AS model FROM customer),
+     v AS (SELECT o_orderkey AS id, c_mktsegment AS intent, CASE WHEN o_orderkey % 3 = 0 THEN 'general' ELSE 'n' || c_nationkey END AS domain, CASE WHEN o_orderkey % 5 = 0 THEN '*' ELSE 'm' || o_orderkey % 11 END AS model FROM orders JOIN customer ON c_custkey = o_custkey)
 SELECT asked, priority, id FROM (
   SELECT asked, priority, id, row_number() OVER (PARTITION BY asked ORDER BY priority, id) AS place FROM (
-    SELECT asked, 0 AS priority, v.id FROM a JOIN v USING (intent, target)
-    UNION ALL SELECT asked, 1, v.id FROM a JOIN v USING (intent))) WHERE place = 1
+    SELECT asked, 0 AS priority, v.id FROM a JOIN v USING (intent, domain, model)
+    UNION ALL SELECT asked, 1, v.id FROM a JOIN v ON a.intent = v.intent AND v.domain = 'general' AND a.model = v.model
+    UNION ALL SELECT asked, 2, v.id FROM a JOIN v ON a.intent = v.intent AND a.domain = v.domain AND v.model = '*'
+    UNION ALL SELECT asked, 3, v.id FROM a JOIN v ON a.intent = v.intent AND v.domain = 'general' AND v.model = '*'
+    UNION ALL SELECT asked, 4, v.id FROM a JOIN (SELECT intent, min(id) AS id FROM v GROUP BY 1) v ON a.intent = v.intent)) WHERE place = 1
 """)
 def j17_fallback_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A variation for intent and target, else for the intent."""
+    """A variation for intent, domain and model, else with the general domain, any model, both, and at last any of the intent."""
     customers = table(spark, sf_dir, "customer")
-    asked = customers.select(F.col("c_custkey").alias("asked"), F.col("c_mktsegment").alias("intent"), F.col("c_nationkey").alias("target"))
-    orders = table(spark, sf_dir, "orders").where("o_orderkey % 40 = 0")
-    known = orders.join(customers, orders.o_custkey == customers.c_custkey).select(F.col("o_orderkey").alias("id"), F.col("c_mktsegment").alias("intent"), F.col("c_nationkey").alias("target"))
+    asked = customers.select(F.col("c_custkey").alias("asked"), F.col("c_mktsegment").alias("intent"), F.concat(F.lit("n"), "c_nationkey").alias("domain"), F.concat(F.lit("m"), F.col("c_custkey") % 7).alias("model"))
+    orders = table(spark, sf_dir, "orders")
+    key = F.col("o_orderkey")
+    domain = F.when(key % 3 == 0, "general").otherwise(F.concat(F.lit("n"), "c_nationkey"))
+    model = F.when(key % 5 == 0, "*").otherwise(F.concat(F.lit("m"), key % 11))
+    known = orders.join(customers, orders.o_custkey == customers.c_custkey).select(key.alias("id"), F.col("c_mktsegment").alias("intent"), domain.alias("domain"), model.alias("model"))
     # Only the smallest id of each key can win, so the fallback joins stay one to one.
-    exact = known.groupBy("intent", "target").agg(F.min("id").alias("id"))
-    general = known.groupBy("intent").agg(F.min("id").alias("id"))
-    return first_fallback(asked, [(exact, ("intent", "target")), (general, ("intent",))], "asked")
+    best = known.groupBy("intent", "domain", "model").agg(F.min("id").alias("id"))
+    general, anywhere = F.col("domain") == "general", F.col("model") == "*"
+    levels = [
+        (best, ("intent", "domain", "model")),
+        (best.where(general).drop("domain"), ("intent", "model")),
+        (best.where(anywhere).drop("model"), ("intent", "domain")),
+        (best.where(general & anywhere).drop("domain", "model"), ("intent",)),
+        (best.groupBy("intent").agg(F.min("id").alias("id")), ("intent",)),
+    ]
+    return first_fallback(asked, levels, "asked")
 
 
 @query("""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions.text import sentences, words
 from tessera.registry import query
 from tessera.sources.tables import table
+from tessera.storage import stored
 
 PER_FILE_CHARS = 4_000
 TOTAL_CHARS = 16_000
@@ -82,47 +83,63 @@ def w3_source_carry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_carry(table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"), "source", [F.asc("doc_id")], "n_chars", total=40_000)
 
 
+def running_totals(rows: DataFrame, group: str, key: str, value: str) -> DataFrame:
+    """``rows`` with ``ahead``, the sum of ``value`` over the rows of the group before each one in order of ``key``.
+
+    Rows are dealt by ranges of group and key, so a group may span many
+    partitions: each is summed in order by itself, and the sums of those
+    before it are added. Only one row for each group and partition meets in a
+    window over a group.
+    """
+    ranged = stored(rows.repartitionByRange(group, key).withColumn("slice", F.spark_partition_id()))
+    totals = ranged.groupBy(group, "slice").agg(F.sum(value).alias("slice_sum"))
+    before = Window.partitionBy(group).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(F.col(group).alias("of"), F.col("slice").alias("of_slice"), F.coalesce(F.sum("slice_sum").over(before), F.lit(0)).alias("offset"))
+    within = Window.partitionBy(group, "slice").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    summed = ranged.withColumn("within", F.coalesce(F.sum(value).over(within), F.lit(0)))
+    met = summed.join(offsets, F.col(group).eqNullSafe(F.col("of")) & (F.col("slice") == F.col("of_slice")))
+    return met.withColumn("ahead", F.col("offset") + F.col("within")).drop("of", "of_slice", "offset", "within", "slice")
+
+
 def sentence_numbers(docs: DataFrame) -> DataFrame:
     """Sentences of documents, numbered S1 to Sn over each source's documents.
 
-    Documents are numbered by a running sum of their sentence counts, so only
-    a row for each document is sorted, not one for each sentence.
+    Documents are numbered by a running sum of their sentence counts over ids
+    and counts alone; texts are split again where the numbers are given out.
     """
-    docs = docs.select("source", "doc_id", sentences(F.col("text")).alias("ss"))
-    ahead = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    counted = docs.withColumn("ahead", F.coalesce(F.sum(F.size("ss")).over(ahead), F.lit(0)))
-    each = counted.select("source", "doc_id", "ahead", F.posexplode("ss").alias("position", "sentence"))
+    split = docs.select("source", "doc_id", sentences(F.col("text")).alias("ss"))
+    ahead = running_totals(split.select("source", "doc_id", F.size("ss").alias("n")), "source", "doc_id", "n").select("doc_id", "ahead")
+    each = split.join(ahead, "doc_id").select("source", "doc_id", "ahead", F.posexplode("ss").alias("position", "sentence"))
     return each.select("source", "doc_id", "position", F.concat(F.lit("S"), F.col("ahead") + F.col("position") + 1).alias("sid"), F.length("sentence").alias("chars"))
 
 
-@query(f"""
+NUMBERS_SQL = f"""
 WITH s AS (SELECT source, doc_id, unnest(range(len(ss))) AS position, unnest(ss) AS sentence FROM (
-  SELECT source, doc_id, {SENTENCES_SQL.format(text="text")} AS ss FROM documents WHERE n_chars < 600))
+  SELECT source, doc_id, {SENTENCES_SQL.format(text="text")} AS ss FROM documents))
 SELECT source, doc_id, position::INT AS position, 'S' || row_number() OVER (PARTITION BY source ORDER BY doc_id, position) AS sid, length(sentence) AS chars FROM s
-""")
-def w4_sentence_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbers of short documents' sentences, as its SQL has them; ``w4_all_sentence_numbers`` has all documents."""
-    return sentence_numbers(table(spark, sf_dir, "documents").where("n_chars < 600"))
+"""
 
 
-@query(f"""
-WITH s AS (SELECT source, doc_id, unnest(range(len(ss))) AS position, unnest(ss) AS sentence FROM (
-  SELECT source, doc_id, {SENTENCES_SQL.format(text="text")} AS ss FROM documents))
-SELECT source, doc_id, position::INT AS position, 'S' || row_number() OVER (PARTITION BY source ORDER BY doc_id, position) AS sid, length(sentence) AS chars FROM s
-""")
-def w4_all_sentence_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(NUMBERS_SQL)
+def w4_sentence_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers of all documents' sentences."""
     return sentence_numbers(table(spark, sf_dir, "documents"))
 
 
+@query(NUMBERS_SQL)
+def w4_all_sentence_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same under its second name."""
+    return w4_sentence_numbers(spark, sf_dir)
+
+
 @query("""
-SELECT conv_id, turn, role, lag(left(text, 60)) OVER w AS before, left(text, 60) AS here, lead(left(text, 60)) OVER w AS after FROM conversations
+SELECT conv_id, turn, role, lag(text) OVER w AS before, text AS here, lead(text) OVER w AS after FROM conversations
 WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)
 """)
 def w5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each turn with the one before and the one after."""
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    here = F.substring("text", 1, 60)
+    here = F.col("text")
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.lag(here).over(order).alias("before"), here.alias("here"), F.lead(here).over(order).alias("after"))
 
 

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
 from tessera.registry import query
 from tessera.sources.tables import table
+from tessera.storage import stored
 
 
 def source_conflicts(sources: DataFrame, project: str, key: str, text) -> DataFrame:
@@ -95,51 +94,37 @@ def v16_document_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return issues.select("doc_id", F.concat(F.lit("issue-"), F.lpad((F.col("i") + 1).cast("string"), 2, "0")).alias("id"), "category")
 
 
-def _stored(df: DataFrame) -> DataFrame:
-    """``df`` computed once, in the shared folder that ``spark.checkpoint.dir`` names."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
-    return df.checkpoint()
-
-
 def ancestors(links: DataFrame) -> DataFrame:
     """All ancestors of each node, with their depth, by a join for each level; ``links`` (node, parent) has no cycles.
 
     A recursive query would stop at its row limit.
     """
-    links = _stored(links.select("node", "parent"))
+    links = stored(links.select("node", "parent"))
     level = found = links.select("node", F.col("parent").alias("ancestor"), F.lit(1).alias("depth"))
     up = links.select(F.col("node").alias("ancestor"), "parent")
     while not level.isEmpty():
-        level = _stored(level.join(up, "ancestor").select("node", F.col("parent").alias("ancestor"), (F.col("depth") + 1).alias("depth")))
+        level = stored(level.join(up, "ancestor").select("node", F.col("parent").alias("ancestor"), (F.col("depth") + 1).alias("depth")))
         found = found.unionByName(level)
     return found
 
 
-@query("""
-WITH RECURSIVE e AS (SELECT p_partkey AS node, p_partkey // 3 AS parent FROM part WHERE p_partkey < 2000 AND p_partkey > 0),
+LINEAGE_SQL = """
+WITH RECURSIVE e AS (SELECT p_partkey AS node, p_partkey // 3 AS parent FROM part WHERE p_partkey > 0),
 c AS (SELECT node, parent AS ancestor, 1 AS depth FROM e UNION ALL SELECT c.node, e.parent, depth + 1 FROM c JOIN e ON e.node = c.ancestor)
 SELECT node, ancestor, depth FROM c
-""")
+"""
+
+
+@query(LINEAGE_SQL)
 def v24_lineage_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All ancestors of each artifact over its links, by a recursive query."""
-    table(spark, sf_dir, "part").where("p_partkey < 2000 AND p_partkey > 0").selectExpr("p_partkey AS node", "p_partkey DIV 3 AS parent").createOrReplaceTempView("tessera_lineage")
-    return spark.sql("""
-        WITH RECURSIVE c AS (
-          SELECT node, parent AS ancestor, 1 AS depth FROM tessera_lineage
-          UNION ALL SELECT c.node, e.parent, c.depth + 1 FROM c JOIN tessera_lineage e ON e.node = c.ancestor)
-        SELECT node, ancestor, depth FROM c""")
+    """All ancestors of each artifact over its links."""
+    return ancestors(table(spark, sf_dir, "part").where("p_partkey > 0").selectExpr("p_partkey AS node", "p_partkey DIV 3 AS parent"))
 
 
-@query("""
-WITH RECURSIVE e AS (SELECT p_partkey AS node, p_partkey // 3 AS parent FROM part WHERE p_partkey > 0),
-c AS (SELECT node, parent AS ancestor, 1 AS depth FROM e UNION ALL SELECT c.node, e.parent, depth + 1 FROM c JOIN e ON e.node = c.ancestor)
-SELECT node, ancestor, depth FROM c
-""")
+@query(LINEAGE_SQL)
 def v24_whole_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All ancestors of every artifact over its links; ``v24_lineage_closure`` has the first 2,000 only, as its SQL does."""
-    return ancestors(table(spark, sf_dir, "part").where("p_partkey > 0").selectExpr("p_partkey AS node", "p_partkey DIV 3 AS parent"))
+    """The same under its second name."""
+    return v24_lineage_closure(spark, sf_dir)
 
 
 @query("""

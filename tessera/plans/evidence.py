@@ -14,12 +14,22 @@ from tessera.sources.tables import table
 SUPPORTED, NUMBERS, PARTIAL = 0.7, 0.8, 0.4
 
 
-def excerpts(sources: DataFrame, group: str, order: list[Column], text: str) -> DataFrame:
-    """The sources' texts as far as the budget carries them, with their rank in the group and their trust."""
-    trimmed = sources.withColumn("excerpt", F.trim(text)).withColumn("chars", F.length("excerpt")).where("chars > 0")
-    kept = source_budget(trimmed, group, order, "chars", PER_FILE_CHARS, TOTAL_CHARS).where("carried > 0")
-    ranked = kept.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
-    return ranked.withColumn("excerpt", F.col("excerpt").substr(F.lit(1), F.col("carried").cast("int"))).withColumn("trust", X.trust(F.col("excerpt")))
+def excerpts(sources: DataFrame, group: str, key: str, text: str) -> DataFrame:
+    """The sources' texts as far as the budget carries them, in order of ``key``, with their rank in the group and their trust.
+
+    ``key`` tells the rows of a group apart. Every carried row takes a
+    character at least, so only as many rows of a group as the budget has
+    characters take part, cut before the shuffle; texts are fetched for
+    carried rows.
+    """
+    order = [F.asc(key)]
+    trimmed = sources.withColumn("excerpt", F.trim(text)).where("excerpt <> ''")
+    slim = trimmed.select(group, key, F.length("excerpt").alias("chars"))
+    first = slim.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("place") <= TOTAL_CHARS)
+    kept = source_budget(first, group, order, "chars", PER_FILE_CHARS, TOTAL_CHARS).where("carried > 0")
+    ranked = kept.select(group, key, "carried", F.row_number().over(Window.partitionBy(group).orderBy(*order)).alias("rank"))
+    carried = trimmed.join(ranked, [group, key])
+    return carried.withColumn("excerpt", F.col("excerpt").substr(F.lit(1), F.col("carried").cast("int"))).withColumn("trust", X.trust(F.col("excerpt")))
 
 
 def verdict(claim: Column, excerpt: Column) -> Column:
@@ -55,41 +65,35 @@ _VERDICT_SQL = rf"""CASE WHEN len(list_filter(string_split_regex(lower(claim), '
   WHEN {sql.weighted_match("claim", "excerpt")} >= 0.4 THEN 'partial' ELSE 'not_supported' END"""
 
 
-def passage_verdicts(spark: SparkSession, sf_dir: str, claim: Column) -> DataFrame:
+def passage_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts of the benchmark's passages by the documents of a source; five of 25 sources have none."""
-    claims = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("claim_id"), F.concat(F.lit("src"), F.col("item_id") % 25).alias("source"), claim.alias("claim"))
-    kept = excerpts(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "source", [F.asc("doc_id")], "text")
+    claims = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("claim_id"), F.concat(F.lit("src"), F.col("item_id") % 25).alias("source"), F.col("text").alias("claim"))
+    kept = excerpts(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "source", "doc_id", "text")
     return judge(claims, kept, "source", "doc_id")
 
 
-@query(rf"""
+WHOLE_SQL = rf"""
 WITH x AS (SELECT doc_id, source, text AS full_text, trim(text) AS t, length(trim(text)) AS chars FROM documents WHERE length(trim(text)) > 0),
 b AS (SELECT *, row_number() OVER w AS rk, greatest(0, least(least(chars, 4000), 16000 - coalesce(sum(least(chars, 4000)) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)))::INT AS carried FROM x WINDOW w AS (PARTITION BY source ORDER BY doc_id)),
 k AS (SELECT source, doc_id, rk, left(t, carried) AS excerpt FROM b WHERE carried > 0),
-c AS (SELECT item_id AS claim_id, 'src' || item_id % 25 AS source, left(text, 300) AS claim FROM benchmark),
+c AS (SELECT item_id AS claim_id, 'src' || item_id % 25 AS source, text AS claim FROM benchmark),
 m AS (SELECT claim_id, claim, doc_id, rk, excerpt, {sql.boosted_overlap("claim", "excerpt")} AS percent FROM c JOIN k USING (source)),
 n AS (SELECT *, count(CASE WHEN percent > 0 THEN 1 END) OVER (PARTITION BY claim_id) AS candidates FROM m QUALIFY row_number() OVER (PARTITION BY claim_id ORDER BY percent DESC, CASE WHEN percent > 0 THEN 0 ELSE rk END, doc_id) = 1)
 SELECT c.claim_id, n.doc_id AS source_id, CASE WHEN n.excerpt IS NULL THEN NULL WHEN regexp_matches(lower(n.excerpt), '{"|".join(X.INSTRUCTIONS)}') THEN 'untrusted' ELSE 'trusted' END AS trust, round(percent, 6) AS percent, candidates,
   CASE WHEN n.claim_id IS NULL THEN 'unanchored' ELSE v END AS verdict FROM c LEFT JOIN (SELECT *, {_VERDICT_SQL} AS v FROM n) n ON n.claim_id = c.claim_id
-""")
+"""
+
+
+@query(WHOLE_SQL)
 def v3_evidence_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verdicts of the passages' first 300 characters, as its SQL has them; ``v3_whole_verdict`` has whole passages."""
-    return passage_verdicts(spark, sf_dir, F.substring("text", 1, 300))
+    """Verdicts of whole passages."""
+    return passage_verdicts(spark, sf_dir)
 
 
-@query(rf"""
-WITH x AS (SELECT doc_id, source, text AS full_text, trim(text) AS t, length(trim(text)) AS chars FROM documents WHERE length(trim(text)) > 0),
-b AS (SELECT *, row_number() OVER w AS rk, greatest(0, least(least(chars, 4000), 16000 - coalesce(sum(least(chars, 4000)) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)))::INT AS carried FROM x WINDOW w AS (PARTITION BY source ORDER BY doc_id)),
-k AS (SELECT source, doc_id, rk, left(t, carried) AS excerpt FROM b WHERE carried > 0),
-c AS (SELECT item_id AS claim_id, 'src' || item_id % 25 AS source, text AS claim FROM benchmark),
-m AS (SELECT claim_id, claim, doc_id, rk, excerpt, {sql.boosted_overlap("claim", "excerpt")} AS percent FROM c JOIN k USING (source)),
-n AS (SELECT *, count(CASE WHEN percent > 0 THEN 1 END) OVER (PARTITION BY claim_id) AS candidates FROM m QUALIFY row_number() OVER (PARTITION BY claim_id ORDER BY percent DESC, CASE WHEN percent > 0 THEN 0 ELSE rk END, doc_id) = 1)
-SELECT c.claim_id, n.doc_id AS source_id, CASE WHEN n.excerpt IS NULL THEN NULL WHEN regexp_matches(lower(n.excerpt), '{"|".join(X.INSTRUCTIONS)}') THEN 'untrusted' ELSE 'trusted' END AS trust, round(percent, 6) AS percent, candidates,
-  CASE WHEN n.claim_id IS NULL THEN 'unanchored' ELSE v END AS verdict FROM c LEFT JOIN (SELECT *, {_VERDICT_SQL} AS v FROM n) n ON n.claim_id = c.claim_id
-""")
+@query(WHOLE_SQL)
 def v3_whole_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verdicts of whole passages."""
-    return passage_verdicts(spark, sf_dir, F.col("text"))
+    """The same under its second name."""
+    return v3_evidence_verdict(spark, sf_dir)
 
 
 @query(rf"""

@@ -311,6 +311,7 @@ def t25_injection_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", flag_phrases(text, FLAG_PHRASES).alias("hits"), flag_phrases(text, PROSE_PHRASES).alias("prose_hits"), X.trust(text).alias("trust"))
 
 
+#: Patterns of personal data.
 PII = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
     "phone": r"\(?[0-9]{3}\)?[-. ]?[0-9]{3}[-. ]?[0-9]{4}",
@@ -328,6 +329,7 @@ def t25_pii_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: What replaces a line with an invented source.
 REPLACEMENT = "Data not available in current context."
+#: Patterns of invented sources.
 BANNED = [
     r"[0-9]{1,3}%.*?(?:revised|retracted|issued|published)",
     r"(?:September|Sept|January|Jan|February|Feb|March|Mar|April|Apr|May|June|Jun|July|Jul|August|Aug|October|Oct|November|Nov|December|Dec)[\x20\x09-\x0D]+20[0-9]{2}",
@@ -393,26 +395,25 @@ def rule_lint(docs: DataFrame, text: Column) -> DataFrame:
     return docs.select("doc_id", *both, p.rlike(r"\bit\b").alias("ambiguous_it"), count("<role>").alias("role_opens"), count("</role>").alias("role_closes"))
 
 
-@query(r"""
+LINT_SQL = r"""
 SELECT doc_id, regexp_matches(p, '(?i)act as.*expert') AND regexp_matches(p, '(?i)be concise|brief') AS expert_but_concise, regexp_matches(p, '(?i)formal|professional') AND regexp_matches(p, '(?i)slang|casual|colloquial') AS formal_and_casual,
        regexp_matches(p, '\bit\b') AS ambiguous_it, len(regexp_extract_all(p, '<role>')) AS role_opens, len(regexp_extract_all(p, '</role>')) AS role_closes
-FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'Act as an expert. Be concise. <role>' WHEN 1 THEN 'Formal, no slang. <role></role> ' ELSE '' END || left(text, 200) AS p FROM documents)
-""")
-def t29_rule_lint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lint of the first 200 characters, as its SQL has it; ``t29_whole_lint`` has whole texts."""
-    return rule_lint(table(spark, sf_dir, "documents"), F.substring("text", 1, 200))
+FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'Act as an expert. Be concise. <role>' WHEN 1 THEN 'Formal, no slang. <role></role> ' ELSE '' END || text AS p FROM documents)
+"""
 
 
-@query(r"""
-SELECT doc_id, regexp_matches(p, '(?i)act as.*expert') AND regexp_matches(p, '(?i)be concise|brief') AS expert_but_concise, regexp_matches(p, '(?i)formal|professional') AND regexp_matches(p, '(?i)slang|casual|colloquial') AS formal_and_casual,
-       regexp_matches(p, '\bit\b') AS ambiguous_it, len(regexp_extract_all(p, '<role>')) AS role_opens, len(regexp_extract_all(p, '</role>')) AS role_closes
-FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'Act as an expert. Be concise. <role>' WHEN 1 THEN 'Formal, no slang. <role></role> ' ELSE '' END || text AS p FROM documents)
-""")
-def t29_whole_lint(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(LINT_SQL)
+def t29_rule_lint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lint of whole texts."""
     return rule_lint(table(spark, sf_dir, "documents"), F.col("text"))
 
 
+@query(LINT_SQL)
+def t29_whole_lint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same under its second name."""
+    return t29_rule_lint(spark, sf_dir)
+
+
 @query(r"""
 SELECT p_partkey, trim(regexp_replace(lower(p_name || ' ' || p_type), '[^a-z0-9]+', '_', 'g'), '_') AS slug, left(sha256(p_name || chr(31) || p_type), 16) AS digest FROM part
 """)

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
-from html.parser import HTMLParser
+from html import unescape
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -16,7 +17,12 @@ from tessera.sources.tables import table
 #: Extensions of files that are text as they are.
 TEXT_EXTENSIONS = "txt md json csv rst yaml yml".split()
 #: Elements whose text is not the page's.
-SKIPPED = set("script style noscript template svg nav header footer aside form button select option iframe".split())
+SKIPPED = {
+    "script", "style", "noscript", "template", "svg", "iframe",
+    "nav", "footer", "header", "aside", "form", "button", "select", "option",
+}
+#: Elements without an end tag.
+VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 MIN_PAGE_CHARS = 200
 
 
@@ -74,43 +80,40 @@ def s8_ocr_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.groupBy("page").agg(F.round(F.avg("b.confidence"), 6).alias("confidence"), F.count("b.confidence").alias("blocks"))
 
 
-class _Page(HTMLParser):
-    """Collects a page's title, its text, and the text of its main part."""
+#: One piece of a page: a comment or declaration, an element of raw text whole, or a tag.
+_PIECE = re.compile(r"<!--.*?-->|<[!?][^>]*>|<(?P<raw>script|style)\b[^>]*>.*?(?:</(?P=raw)\s*>|$)|<(?P<end>/?)(?P<name>[a-z][a-z0-9-]*)(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>", re.S | re.I)
 
-    def __init__(self) -> None:
-        super().__init__()
-        self.skipping = self.inside = 0
-        self.in_title = False
-        self.title: list[str] = []
-        self.body: list[str] = []
-        self.main: list[str] = []
 
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        self.skipping += tag in SKIPPED
-        self.inside += tag in ("main", "article")
-        self.in_title |= tag == "title"
+def _texts(html: str) -> Iterator[tuple[list[str], str]]:
+    """The path of open elements above each run of text, and the run.
 
-    def handle_endtag(self, tag: str) -> None:
-        self.skipping -= tag in SKIPPED and self.skipping > 0
-        self.inside -= tag in ("main", "article") and self.inside > 0
-        self.in_title &= tag != "title"
-
-    def handle_data(self, data: str) -> None:
-        if self.in_title:
-            self.title.append(data)
-        elif not self.skipping:
-            self.body.append(data)
-            if self.inside:
-                self.main.append(data)
+    An end tag closes the nearest open element of its name and all inside it;
+    without one it counts for nothing.
+    """
+    path: list[str] = []
+    at = 0
+    for piece in _PIECE.finditer(html):
+        yield path, html[at : piece.start()]
+        at = piece.end()
+        name = (piece["name"] or "").lower()
+        if not name or name in VOID:
+            continue
+        if not piece["end"]:
+            if not piece[0].endswith("/>"):
+                path = [*path, name]
+        elif name in path:
+            path = path[: len(path) - 1 - path[::-1].index(name)]
+    yield path, html[at:]
 
 
 def page_text(html: str | None) -> tuple[str, str]:
-    """A page's title and text: that of its main part if it is long enough, else its body's; white space collapsed."""
-    page = _Page()
-    page.feed(html or "")
-    page.close()
-    joined = [" ".join(" ".join(parts).split()) for parts in (page.title, page.main, page.body)]
-    return joined[0], joined[1] if len(joined[1]) >= MIN_PAGE_CHARS else joined[2]
+    """A page's title and text: that of its main part if it is long enough, else all that isn't skipped; white space collapsed."""
+    runs = [(set(path), unescape(run)) for path, run in _texts(html or "")]
+    shown = [(path, run) for path, run in runs if not path & SKIPPED and "title" not in path]
+    collapsed = lambda chosen: " ".join(" ".join(chosen).split())
+    main = collapsed(run for path, run in shown if path & {"main", "article"})
+    title = collapsed(run for path, run in runs if "title" in path)
+    return title, main if len(main) >= MIN_PAGE_CHARS else collapsed(run for _, run in shown)
 
 
 def main_text(pages: DataFrame, key: str, html: str) -> DataFrame:

@@ -7,7 +7,6 @@ shared folder, and return that table.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -16,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tessera.registry import query
 from tessera.sources.tables import table
+from tessera.storage import checkpoint_dir
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,8 +26,7 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    named = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    return f"{named or tempfile.mkdtemp(prefix='tessera-')}/stream-{uuid.uuid4().hex}"
+    return f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def drained(stream: DataFrame, mode: str = "append", each: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
@@ -55,9 +54,13 @@ def first_seen(stream: DataFrame, key: str, delay: str) -> DataFrame:
 
 @query("SELECT lower(event_type) || '-' || user_id AS claim FROM events GROUP BY 1")
 def r1_distinct_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Claims verified once each while they stream in, whatever the case of their letters."""
+    """Claims verified once each while they stream in, whatever the case of their letters.
+
+    The stream forgets keys after 90 days; keys that come again later are told
+    apart where its output is read.
+    """
     claims = event_stream(spark, sf_dir).select(F.concat_ws("-", F.lower("event_type"), "user_id").alias("claim"), "ts")
-    return drained(first_seen(claims, "claim", "90 days").select("claim")).select("claim")
+    return drained(first_seen(claims, "claim", "90 days").select("claim")).select("claim").distinct()
 
 
 def quiet_periods(events: DataFrame, key: str, gap: str) -> DataFrame:
@@ -97,16 +100,22 @@ def r3_generation_fence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def job_history(events: DataFrame) -> DataFrame:
-    """Each job's stages in order, its last one, and the time from start to end."""
-    stage = F.struct("ts", "event_id", "event_type")
-    jobs = events.groupBy("user_id").agg(F.array_sort(F.collect_list(stage)).alias("stages"))
-    first, last = F.get("stages", F.lit(0)), F.element_at("stages", -1)
-    return jobs.select(
-        "user_id",
-        F.array_join(F.transform("stages", lambda s: s["event_type"]), ">").alias("history"),
-        last["event_type"].alias("status"),
-        (F.unix_micros(last["ts"].cast("timestamp")) - F.unix_micros(first["ts"].cast("timestamp"))).alias("duration_us"),
+    """Each job's stages in order, its last one, and the time from start to end.
+
+    Status and duration are partial aggregates. Stages are put in order within
+    days first and days within the job, so no task sorts all of a job's
+    events; the history itself is as long as the job.
+    """
+    order = F.struct("ts", "event_id")
+    days = events.groupBy("user_id", F.to_date("ts").alias("day")).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))), lambda s: s["event_type"]), ">").alias("part"),
+        F.max_by("event_type", order).alias("status"),
+        F.min("ts").alias("first"),
+        F.max("ts").alias("last"),
     )
+    jobs = days.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("day", "part"))).alias("days"), F.max_by("status", "day").alias("status"), F.min("first").alias("first"), F.max("last").alias("last"))
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    return jobs.select("user_id", F.array_join(F.transform("days", lambda d: d["part"]), ">").alias("history"), "status", (micros("last") - micros("first")).alias("duration_us"))
 
 
 @query("""
