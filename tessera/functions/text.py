@@ -42,7 +42,7 @@ def quality_words(text: Column) -> Column:
 
 def content_words(text: Column) -> Column:
     """Distinct words of the text with more than two characters that aren't stop words."""
-    return F.array_distinct(F.filter(words(text), lambda t: (F.length(t) > 2) & ~t.isin(STOPWORDS)))
+    return F.array_except(all_matches(F.lower(text), "[a-z0-9]{3,}"), F.array(*[F.lit(w) for w in STOPWORDS]))
 
 
 def content_tokens(text: Column) -> Column:
@@ -70,7 +70,7 @@ def content_tokens(text: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Pieces between runs of ``. ! ?`` and line ends, trimmed, without empty ones."""
-    pieces = F.transform(F.split(F.coalesce(text, F.lit("")), r"[.!?\n]+"), lambda s: F.trim(F.regexp_replace(F.regexp_replace(s, r"^[\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+$", "")))
+    pieces = F.transform(F.split(F.coalesce(text, F.lit("")), r"[.!?\n]+"), lambda s: F.btrim(s, F.lit(" \t\n\x0b\x0c\r")))
     return F.filter(pieces, lambda s: s != "")
 
 
