@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from tessera.llm.shared import read, stored, whole
 
 CONTEXT = 40
+#: Matches whose places are summed up at once.
+PIECE = 256
 LEAST_PROBABILITY = 0.8
 EM_ROUNDS = 50
 FIT_ROUNDS = 400
@@ -46,12 +48,30 @@ EXTRA = {
         r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?(?:\[at\]|\(at\)) ?[A-Za-z0-9-]{1,63}(?: ?(?:\[dot\]|\(dot\)|\.) ?[A-Za-z0-9-]{1,63}){1,5}",
         r"[\[(]at[\])]",
     ),
+    # Keys, tokens and passwords: long runs of both letters and digits.
+    "secret": (r"(?<![A-Za-z0-9+/_.=-])(?=[A-Za-z+/_-]{0,200}[0-9])(?=[0-9+/_-]{0,200}[A-Za-z])[A-Za-z0-9+/_-]{16,}+=*+(?![.@])", "[A-Za-z0-9+/_-]{16}"),
 }
 KINDS = [*BASE, *EXTRA]
 
-GIVEN_NAMES = "anna carlos claire david elena emma hans ingrid james jean john juan julia karl laura luis maria marie mary michael paul peter pierre robert sarah sophie thomas".split()
+#: Common given names and top-level domains; callers may pass names of their own.
+GIVEN_NAMES = (
+    "adam agnes ahmed alan albert alexander alice amelia ana andrea andrew angela anna anne antonio arthur barbara ben benjamin bernard "
+    "brian camille carla carlos caroline catherine charles charlotte chiara christian christine claire clara daniel david diana diego "
+    "dominique edward elena elisabeth elizabeth ella emily emma enrique eric erik eva fatima felix fernando francesca francois frank "
+    "frederic gabriel george giulia hannah hans heinrich helen helena henri henry hugo ines ingrid irene isabel jack jacques james jan "
+    "jane javier jean jennifer jessica joan johann john jonas jorge jose joseph juan julia julie karin karl kate katharina kevin klaus "
+    "laura leo linda lisa louis louise lucas lucia luis luisa lukas manuel marco margaret maria marie marion mark markus marta martin "
+    "mary matthew max michael miguel mohammed monika nadia nicolas nina olivia oscar pablo patricia patrick paul peter petra philip "
+    "pierre rachel richard robert rosa ruth samuel sandra sara sarah sebastian simon sofia sophie stefan stephen susan teresa thomas "
+    "ursula victor victoria werner william wolfgang yusuf"
+).split()
 IBAN_COUNTRIES = "AD AT BE CH CY CZ DE DK EE ES FI FR GB GR HR HU IE IS IT LI LT LU LV MC MT NL NO PL PT RO SE SI SK SM".split()
-TOP_DOMAINS = "at ch com de edu es eu fr gov info io it net nl org uk us".split()
+TOP_DOMAINS = (
+    "ae app ar at au be biz br ca cat ch cl cn co com cz de dev dk edu ee es eu fi fr gov gr hk hr hu id ie il in info int io ir is it jp ke "
+    "kr lt lu lv me mil mx my name net ng nl no nz online org pe ph pk pl pro pt ro rs ru sa se sg si site sk store tech th tr tv tw ua uk us "
+    "uy ve vn xyz za"
+).split()
+SECRET_PREFIXES = "^(?:sk|pk|rk)[-_]|^gh[opsu]_|^github_pat_|^glpat-|^xox[abps]-|^AKIA|^ASIA|^AIza|^eyJ"
 #: Words that speak for a kind or against it when they stand shortly before.
 FOR = {
     "email": "mail contact write",
@@ -63,6 +83,7 @@ FOR = {
     "iban": "iban account bank konto",
     "person": "name contact signed patient dear",
     "email_hidden": "mail contact write",
+    "secret": "token secret key password passwd pwd credential bearer",
 }
 AGAINST = "version isbn invoice figure section chapter model article page"
 
@@ -70,20 +91,31 @@ OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 
 
 def spans(text: Column, pattern: str, present: str) -> Column:
-    """The non-overlapping matches of ``pattern`` from the left: start, end (exclusive, code points), match."""
+    """The non-overlapping matches of ``pattern`` from the left: start, end (exclusive, code points), the end of the text between it and the match before, match."""
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matches))
-    steps = F.zip_with(gaps, matches, lambda gap, match: F.struct(F.length(gap).alias("gap"), match.alias("match")))
-    kind = "array<struct<start:int,end:int,match:string>>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
+    steps = F.zip_with(gaps, matches, lambda gap, match: F.struct(F.length(gap).alias("gap"), F.length(match).alias("size"), F.right(gap, F.lit(CONTEXT)).alias("before"), match.alias("match")))
+    kind = "array<struct<start:int,end:int,before:string,match:string>>"
+    none = F.array().cast(kind)
 
     def step(so_far: Column, x: Column) -> Column:
         begin = so_far["at"] + x["gap"]
-        end = begin + F.length(x["match"])
-        return F.struct(end.alias("at"), F.concat(so_far["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), x["match"].alias("match")))).alias("out"))
+        found = F.struct(begin.alias("start"), (begin + x["size"]).alias("end"), x["before"].alias("before"), x["match"].alias("match"))
+        return F.struct((begin + x["size"]).alias("at"), F.array_append(so_far["out"], found).alias("out"))
 
-    found = F.aggregate(steps, start, step, lambda s: s["out"])
-    return F.when(text.rlike(present), found).otherwise(F.array().cast(kind))
+    # A fold copies what it has gathered at each step, so places are summed up within pieces of the list, and the pieces' lengths over the list.
+    def whole_list(parts: Column) -> Column:
+        ends = F.aggregate(parts, F.array(F.lit(0)), lambda so_far, p: F.array_append(so_far, F.element_at(so_far, -1) + p["at"]))
+        moved = F.zip_with(parts, F.slice(ends, F.lit(1), F.size(parts)), lambda p, base: F.transform(p["out"], lambda x: F.struct((x["start"] + base).alias("start"), (x["end"] + base).alias("end"), x["before"].alias("before"), x["match"].alias("match"))))
+        return F.flatten(moved)
+
+    def summed(all_steps: Column) -> Column:
+        pieces = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_steps) - 1) / PIECE).cast("int")), lambda n: F.slice(all_steps, n * PIECE + 1, F.lit(PIECE)))
+        parts = F.transform(pieces, lambda piece: F.aggregate(piece, F.struct(F.lit(0).alias("at"), none.alias("out")), step))
+        return F.get(F.transform(F.array(parts), whole_list), F.lit(0))
+
+    found = F.get(F.transform(F.array(steps), lambda all_steps: F.when(F.size(all_steps) > 0, summed(all_steps)).otherwise(none)), F.lit(0))
+    return F.when(text.rlike(present), found).otherwise(none)
 
 
 def _digits(match: Column) -> Column:
@@ -122,16 +154,22 @@ def _shape(kind: str, match: Column) -> Column:
         good = F.length(F.replace(match, F.lit(" "), F.lit(""))).between(15, 34)
     elif kind == "person":
         return F.when(match.rlike(r"\p{Ll} \p{Lu}\p{Ll}+$"), 1).otherwise(0)
+    elif kind == "secret":
+        # As many digits as random letters and digits have, or a digest's length of hexadecimal digits.
+        share = F.length(_digits(match)) / F.length(match)
+        good = share.between(0.08, 0.9) & (F.length(match) >= 20) & ~match.rlike("^[0-9+-]+$") & (match.rlike("^(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64})$") | match.rlike("[A-Z].*[0-9].*[a-z]|[0-9].*[A-Za-z].*[0-9].*[A-Za-z]"))
     else:
         good = match.rlike("[A-Za-z]{2,6}$")
     return F.when(good, 1).otherwise(-1)
 
 
-def _gazetteer(kind: str, match: Column) -> Column:
+def _gazetteer(kind: str, match: Column, names: list[str]) -> Column:
+    if kind == "secret":
+        return F.when(match.rlike(SECRET_PREFIXES), 1).otherwise(0)
     if kind == "iban":
         return F.when(_one_of(F.substring(match, 1, 2), IBAN_COUNTRIES), 1).otherwise(-1)
     if kind == "person":
-        return F.when(_one_of(F.lower(F.regexp_extract(match, r" (\p{L}+)", 1)), GIVEN_NAMES), 1).otherwise(0)
+        return F.when(_one_of(F.lower(F.regexp_extract(match, r" (\p{L}+)", 1)), names), 1).otherwise(0)
     if kind in ("email", "email_hidden"):
         return F.when(_one_of(F.lower(F.regexp_extract(match, "[A-Za-z]+$", 0)), TOP_DOMAINS), 1).otherwise(0)
     return F.lit(0)
@@ -141,12 +179,12 @@ def _words(words: str) -> str:
     return rf"(?i)\b(?:{'|'.join(words.split())})"
 
 
-def _candidates(text: Column, kind: str) -> Column:
-    """Matches of a kind with the labelers' votes and a length class."""
+def _candidates(text: Column, kind: str, names: list[str]) -> Column:
+    """Matches of a kind with the labelers' votes, a class of length and one of content (letters, digits, both)."""
     pattern, present = (BASE | EXTRA)[kind]
 
     def vote(s: Column) -> Column:
-        before = text.substr(F.greatest(s["start"] - CONTEXT + 1, F.lit(1)), F.least(s["start"], F.lit(CONTEXT)))
+        before = s["before"]
         context = F.when(before.rlike(_words(FOR[kind])), 1).otherwise(0)
         against = F.when(before.rlike(_words(AGAINST)), -1).otherwise(0)
         return F.struct(
@@ -154,10 +192,11 @@ def _candidates(text: Column, kind: str) -> Column:
             s["start"].alias("start"),
             s["end"].alias("end"),
             _shape(kind, s["match"]).alias("shape"),
-            _gazetteer(kind, s["match"]).alias("gazetteer"),
+            _gazetteer(kind, s["match"], names).alias("gazetteer"),
             context.alias("context"),
             against.alias("against"),
             F.least(F.floor((s["end"] - s["start"]) / 8), F.lit(4)).cast("int").alias("length"),
+            F.when(~s["match"].rlike("[0-9]"), 0).when(~s["match"].rlike(r"\p{L}"), 1).otherwise(2).alias("mix"),
         )
 
     return F.transform(spans(text, pattern, present), vote)
@@ -193,7 +232,7 @@ def reliabilities(rows: list[dict]) -> tuple[list[float], list[float]]:
 
 def _features(row: dict) -> dict[str, float]:
     votes = {name: float(row[name]) for name in LABELERS}
-    return {"always": 1.0, f"kind {row['kind']}": 1.0, f"length {row['length']}": 1.0, **votes}
+    return {"always": 1.0, f"kind {row['kind']}": 1.0, f"length {row['length']}": 1.0, f"mix {row.get('mix', 0)}": 1.0, **votes}
 
 
 def fit_classifier(rows: list[dict], chance: list[float]) -> dict[str, float]:
@@ -218,7 +257,7 @@ def fit_classifier(rows: list[dict], chance: list[float]) -> dict[str, float]:
 def _score(weights: dict[str, float], s: Column) -> Column:
     """The classifier's log odds as an expression."""
     terms = [F.lit(weights["always"])] + [F.lit(weights[name]) * s[name] for name in LABELERS]
-    for name, field in (("kind", "kind"), ("length", "length")):
+    for name, field in (("kind", "kind"), ("length", "length"), ("mix", "mix")):
         cases = [(k.partition(" ")[2], w) for k, w in sorted(weights.items()) if k.startswith(f"{name} ")]
         if cases:
             chosen = F.when(s[field].cast("string") == cases[0][0], cases[0][1])
@@ -228,7 +267,7 @@ def _score(weights: dict[str, float], s: Column) -> Column:
     return reduce(lambda a, b: a + b, terms)
 
 
-def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", names: list[str] = GIVEN_NAMES) -> DataFrame:
     """One row per row of ``docs``: id, base and added, arrays of kind, start and end in order of kind and start.
 
     A null text counts as empty. Base spans are the valid matches of the four
@@ -238,9 +277,9 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ignored.
     """
     text = whole(F.col(text_col))
-    found = stored(docs.select(F.col(id_col), text.alias("t")).select(id_col, F.concat(*[_candidates(F.col("t"), k) for k in KINDS]).alias("found")))
-    votes = found.select(F.explode("found").alias("s")).groupBy("s.kind", *[f"s.{name}" for name in LABELERS], "s.length").agg(F.count("*").alias("n"))
-    # At most 9 kinds, 36 combinations of votes and 5 lengths.
+    found = stored(docs.select(F.col(id_col), text.alias("t")).select(id_col, F.concat(*[_candidates(F.col("t"), k, names) for k in KINDS]).alias("found")))
+    votes = found.select(F.explode("found").alias("s")).groupBy("s.kind", *[f"s.{name}" for name in LABELERS], "s.length", "s.mix").agg(F.count("*").alias("n"))
+    # At most 10 kinds, 36 combinations of votes, 5 lengths and 3 contents.
     rows = sorted((r.asDict() for r in votes.collect()), key=lambda r: [str(v) for v in r.values()])
     _, chance = reliabilities(rows)
     weights = fit_classifier(rows, chance)
@@ -274,6 +313,8 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[_count(kind).alias(f"n_{kind}") for kind in BASE],
         F.sha2(_joined(F.col("base")), 256).alias("base_sha256"),
         _joined(F.concat("base", "added")).alias("spans"),
+        F.size("added").cast("long").alias("n_added"),
+        (F.size("base") + F.size("added") > 0).alias("has_personal_data"),
     )
 
 

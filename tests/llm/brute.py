@@ -122,3 +122,29 @@ def base_row(ident, text):
     found = base_spans(text)
     joined = ",".join(f"{k}:{a}:{b}" for k, a, b in found)
     return (ident, *[sum(f[0] == k for f in found) for k in ("email", "ip", "card", "phone")], hashlib.sha256(joined.encode()).hexdigest())
+
+
+def votes(kind, match, before, pii):
+    """The labelers' votes on a candidate of an added kind, written plainly."""
+    digits = re.sub("[^0-9]", "", match)
+    one = lambda good: 1 if good else -1
+    gazetteer = 0
+    if kind == "phone_local":
+        shape = one(digits[0] in "23456789" and digits[3] in "23456789")
+    elif kind == "ssn":
+        shape = one(not (match[:3] in ("000", "666") or match[0] == "9" or match[4:6] == "00" or match[7:] == "0000"))
+    elif kind == "iban":
+        shape, gazetteer = one(15 <= len(match.replace(" ", "")) <= 34), one(match[:2] in pii.IBAN_COUNTRIES)
+    elif kind == "person":
+        words = match.split(" ")
+        shape, gazetteer = int(len(words) == 3), int(words[1].lower() in pii.GIVEN_NAMES)
+    elif kind == "secret":
+        share = len(digits) / len(match)
+        mixed = re.fullmatch("[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}", match) or re.search("[A-Z].*[0-9].*[a-z]|[0-9].*[A-Za-z].*[0-9].*[A-Za-z]", match)
+        shape = one(0.08 <= share <= 0.9 and len(match) >= 20 and not re.fullmatch("[0-9+-]+", match) and mixed)
+        gazetteer = int(bool(re.search(pii.SECRET_PREFIXES, match)))
+    else:
+        ends = re.search("[A-Za-z]+$", match)
+        shape, gazetteer = one(re.search("[A-Za-z]{2,6}$", match)), int(bool(ends) and ends[0].lower() in pii.TOP_DOMAINS)
+    near = lambda words: bool(re.search(r"\b(?:" + "|".join(words.split()) + ")", before, re.I | re.A))
+    return {"shape": shape, "gazetteer": gazetteer, "context": int(near(pii.FOR[kind])), "against": -int(near(pii.AGAINST))}
