@@ -3,14 +3,17 @@
 Two views of a document: its text's content (hashed words and word shapes,
 repetition) and its page's metadata and layout (language, source, length,
 lines, shares of character classes). A logistic classifier for each view
-starts from the labelled sample; over rounds each hands the documents of an
-unlabelled pool that it is most confident about, with their pseudo-labels, to
-the other. Both are calibrated on labelled documents held out from training,
-and a logistic combination of the two calibrated views scores every document.
-
-Only the bounded samples, named below, reach the driver. Scoring runs over all
-documents in an Arrow UDF without a shuffle; the weights that travel with it
-have a fixed size.
+starts from the labelled sample. Both then score all documents in Spark, and
+of each group of sources those that a view is most confident about are
+gathered; over rounds each view hands the surest of these, with their
+pseudo-labels, to the other. Labelled documents held out from training are
+split in two: the logistic combination that scores every document is fitted to
+each part's rows as the other part calibrates them.
+
+Only labelled rows up to a bound and the gathered rows, whose number the
+constants below bound, reach the driver. Scoring runs over all documents in
+an Arrow UDF without a shuffle of texts; the weights that travel with it have
+a fixed size.
 """
 
 from __future__ import annotations
@@ -22,18 +25,22 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.shared import read, stored
 
-#: The most labelled rows that are fitted to, and the most unlabelled ones that pseudo-labels are drawn from; the first by a hash of the id.
+#: The most labelled rows that are fitted to, the first by a hash of the id.
 LABELLED = 3000
-POOL = 3000
-HELD_OUT = 4  # one in so many labelled documents calibrates
+#: Sources fall into so many groups by hash; in each, so many of all unlabelled documents are gathered for each view and class, the surest first.
+SOURCE_GROUPS = 64
+GATHERED = 20
+HELD_OUT = 4  # one in so many labelled documents calibrates or fits the combination, by turns
 ROUNDS = 3
 EXCHANGED = 150
 CONFIDENT = 0.95
+#: The least chance of a pseudo-label by the view that learns it.
+DOUBT = 0.5
 THRESHOLD = 0.5
 
 WORD_SLOTS = 1 << 13
@@ -148,33 +155,54 @@ def _platt(x: np.ndarray, labels: np.ndarray) -> np.ndarray:
 class Model:
     """Weights of both views, their calibrations and their combination."""
 
-    def __init__(self, labelled: list[tuple], labels: np.ndarray, pool: list[tuple]) -> None:
-        self.views = (TEXT_SIZE, META_SIZE)
-        held = np.arange(len(labels)) % HELD_OUT == 0
-        if len(set(labels[held])) < 2 or len(set(labels[~held])) < 2:
-            held[:] = False
-        train = [[r[v] for r, h in zip(labelled, held, strict=True) if not h] for v in (0, 1)]
-        known = [labels[~held]] * 2
-        weights: list[np.ndarray | None] = [None, None]
+    def __init__(self, labelled: list[tuple], labels: np.ndarray) -> None:
+        """Classifiers of the labelled rows alone, as yet without calibration."""
+        self.sizes = (TEXT_SIZE, META_SIZE)
+        self.rows, self.labels = labelled, labels
+        place = np.arange(len(labels))
+        self.parts = [place % (2 * HELD_OUT) == 0, place % (2 * HELD_OUT) == HELD_OUT]
+        if any(len(set(labels[part])) < 2 for part in (*self.parts, ~(self.parts[0] | self.parts[1]))):
+            self.parts = [np.ones(len(labels), bool)] * 2
+            self.kept = np.ones(len(labels), bool)
+        else:
+            self.kept = ~(self.parts[0] | self.parts[1])
+        train = [[r[v] for r, k in zip(labelled, self.kept, strict=True) if k] for v in (0, 1)]
+        self.weights = [fit(Rows(train[v]), labels[self.kept], self.sizes[v]) for v in (0, 1)]
+
+    def raw(self, rows: list[tuple]) -> list[np.ndarray]:
+        """Chances by each view before calibration."""
+        return [_sigmoid(Rows([r[v] for r in rows]).dot(self.weights[v])) for v in (0, 1)]
+
+    def cotrain(self, pool: list[tuple]) -> None:
+        """Rounds of exchange over unlabelled rows, then calibration and combination."""
+        train = [[r[v] for r, k in zip(self.rows, self.kept, strict=True) if k] for v in (0, 1)]
+        known = [self.labels[self.kept]] * 2
         unused = list(range(len(pool)))
-        for round_ in range(ROUNDS + 1):
-            weights = [fit(Rows(train[v]), known[v], self.views[v], weights[v]) for v in (0, 1)]
-            if round_ == ROUNDS or not unused:
+        for _ in range(ROUNDS):
+            if not unused:
                 break
             chosen: set[int] = set()
-            for v in (0, 1):
-                p = _sigmoid(Rows([pool[i][v] for i in unused]).dot(weights[v]))
-                for label, sure in ((1.0, p), (0.0, 1 - p)):
-                    best = [int(j) for j in np.argsort(-sure, kind="stable")[:EXCHANGED] if sure[j] >= CONFIDENT]
+            chances = self.raw([pool[i] for i in unused])
+            for v, p in enumerate(chances):
+                for label, sure, other in ((1.0, p, chances[1 - v]), (0.0, 1 - p, 1 - chances[1 - v])):
+                    # A view teaches the other what that one is unsure of, not what it holds the opposite of.
+                    best = [int(j) for j in np.argsort(-sure, kind="stable") if sure[j] >= CONFIDENT and other[j] >= DOUBT][:EXCHANGED]
                     train[1 - v] = train[1 - v] + [pool[unused[j]][1 - v] for j in best]
                     known[1 - v] = np.concatenate([known[1 - v], np.full(len(best), label)])
                     chosen |= {unused[j] for j in best}
             unused = [i for i in unused if i not in chosen]
-        self.weights = weights
-        check = held if held.any() else np.ones(len(labels), bool)
-        logits = [Rows([r[v] for r, h in zip(labelled, check, strict=True) if h]).dot(weights[v]) for v in (0, 1)]
-        self.calibration = [_platt(x[:, None], labels[check]) for x in logits]
-        self.combination = _platt(np.column_stack([self._calibrated(v, x) for v, x in enumerate(logits)]), labels[check])
+            self.weights = [fit(Rows(train[v]), known[v], self.sizes[v], self.weights[v]) for v in (0, 1)]
+        logits = [Rows([r[v] for r in self.rows]).dot(self.weights[v]) for v in (0, 1)]
+        # The combination sees each held-out row as calibrated by the other part's rows.
+        seen, answers = [], []
+        for fitted, shown in (self.parts, self.parts[::-1]):
+            self.calibration = [_platt(x[fitted][:, None], self.labels[fitted]) for x in logits]
+            seen.append(np.column_stack([self._calibrated(v, x[shown]) for v, x in enumerate(logits)]))
+            answers.append(self.labels[shown])
+        self.combination = _platt(np.concatenate(seen), np.concatenate(answers))
+        held = self.parts[0] | self.parts[1]
+        self.calibration = [_platt(x[held][:, None], self.labels[held]) for x in logits]
+        self.rows, self.labels = [], np.zeros(0)  # not needed to score
 
     def _calibrated(self, view: int, logit: np.ndarray) -> np.ndarray:
         a, b = self.calibration[view]
@@ -196,25 +224,54 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col:
     """A model from labelled documents; None where the labels have fewer than two classes.
 
     A document's label is the rounded mean of its labels; null labels and ids
-    are passed over.
+    are passed over. Of rows with one id the one whose content comes first by
+    a hash is taken, so reruns agree.
     """
     mean = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("l_id")).agg(F.avg(label_col).alias("label"))
-    order = [F.xxhash64("l_id"), "l_id"]
-    some = mean.orderBy(*order).limit(LABELLED)
-    # The pool: the first documents by another hash, without those that have a label.
-    ids = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("l_id"))
-    pool = ids.orderBy(F.xxhash64("l_id", F.lit("pool")), "l_id").limit(POOL).distinct().select("l_id", F.lit(None).cast("double").alias("label"))
-    wanted = stored(some.unionByName(pool).groupBy("l_id").agg(F.max("label").alias("label")))
-    columns = [F.col(c) for c in ("text", "lang", "source", "n_chars")]
-    found = docs.select(F.col(id_col).alias("l_id"), *columns).join(F.broadcast(wanted), "l_id").dropDuplicates(["l_id"])
-    rows = found.select("l_id", "label", _features(*columns).alias("f")).collect()
-    rows.sort(key=lambda r: (crc32(str(r.l_id).encode()), r.l_id))
-    made = [(_row(r.f.text_slots, r.f.text_values), _row(r.f.meta_slots, [1.0] * len(r.f.meta_slots))) for r in rows]
-    labelled = [m for m, r in zip(made, rows, strict=True) if r.label is not None]
-    values = np.array([float(r.label >= 0.5) for r in rows if r.label is not None])
+    some = stored(mean.orderBy(F.xxhash64("l_id"), "l_id").limit(LABELLED))
+    known = _fetched(docs, id_col, some)
+    values = np.array([float(r.label >= 0.5) for r in known])
     if len(set(values.tolist())) < 2:
         return None
-    return Model(labelled, values, [m for m, r in zip(made, rows, strict=True) if r.label is None])
+    model = Model([_made(r) for r in known], values)
+    model.cotrain([_made(r) for r in _fetched(docs, id_col, _gathered(docs, id_col, some, model))])
+    return model
+
+
+def _gathered(docs: DataFrame, id_col: str, labelled: DataFrame, model: Model) -> DataFrame:
+    """l_id of the unlabelled documents, of all, that either view is surest about in each group of sources."""
+
+    @F.pandas_udf("p_text double, p_meta double")
+    def scored(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for columns in batches:
+            rows = list(zip(*columns, strict=True))
+            parts = [model.raw([views(*r) for r in rows[i : i + 256]]) for i in range(0, len(rows), 256)]
+            yield pd.DataFrame({name: np.concatenate([p[v] for p in parts]) if parts else np.zeros(0) for v, name in enumerate(("p_text", "p_meta"))})
+
+    group = F.pmod(F.xxhash64(F.col("source")), F.lit(SOURCE_GROUPS)).alias("group")
+    rows = docs.select(F.col(id_col).alias("l_id"), group, scored(F.col("text"), F.col("lang"), F.col("source"), F.col("n_chars").cast("double")).alias("p"))
+    rows = rows.where(F.col("l_id").isNotNull()).join(F.broadcast(labelled.select("l_id")), "l_id", "left_anti")
+    chance = lambda name, label: F.col(f"p.{name}") if label else 1 - F.col(f"p.{name}")
+    sides = (("p_text", "p_meta"), ("p_meta", "p_text"))
+    sure = [F.struct(F.lit(2 * v + label).alias("what"), chance(own, label).alias("sure"), chance(other, label).alias("other")) for v, (own, other) in enumerate(sides) for label in (0, 1)]
+    each = rows.select("l_id", "group", F.explode(F.array(*sure)).alias("s")).where((F.col("s.sure") >= CONFIDENT) & (F.col("s.other") >= DOUBT))
+    first = Window.partitionBy("group", "s.what").orderBy(F.desc("s.sure"), F.xxhash64("l_id"), "l_id")
+    found = each.withColumn("place", F.row_number().over(first)).where(F.col("place") <= GATHERED)
+    # At most SOURCE_GROUPS * 4 * GATHERED rows.
+    return stored(found.select("l_id", F.lit(None).cast("double").alias("label")).distinct())
+
+
+def _fetched(docs: DataFrame, id_col: str, wanted: DataFrame) -> list:
+    """Features and label of the wanted documents, one row for each id, in an order of their own."""
+    names = ("text", "lang", "source", "n_chars")
+    found = docs.select(F.col(id_col).alias("l_id"), F.struct(*names).alias("doc")).join(F.broadcast(wanted), "l_id")
+    one = found.groupBy("l_id").agg(F.min_by("doc", F.xxhash64("doc")).alias("doc"), F.first("label").alias("label"))
+    rows = one.select("l_id", "label", _features(*[F.col(f"doc.{c}") for c in names]).alias("f")).collect()
+    return sorted(rows, key=lambda r: (crc32(str(r.l_id).encode()), r.l_id))
+
+
+def _made(row) -> tuple:
+    return _row(row.f.text_slots, row.f.text_values), _row(row.f.meta_slots, [1.0] * len(row.f.meta_slots))
 
 
 def _row(slots: list[int], values: list[float]) -> tuple[np.ndarray, np.ndarray]:
