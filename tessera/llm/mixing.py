@@ -3,8 +3,10 @@
 Every document gets an exponential key, ``-ln(u) / quality``: ordering a source
 by that key is a weighted random order. A source's target is cut into complete
 epochs, in which every document appears, and a rest, which the first documents
-of the order fill. Prefix sums run within slices of the key range whose totals
-are summed first, so no task sorts or sums a whole source.
+of the order fill. Documents are range-partitioned by source and key with
+sampled splitters, so a large source spans many partitions however its keys
+lie; prefix sums run within a source's share of a partition, on top of the
+totals of its shares before.
 """
 
 from __future__ import annotations
@@ -18,7 +20,6 @@ from tessera.llm.shared import bounded, read, stored, whole, word_count
 
 #: Largest number of hexadecimal digits of a digest that a double holds exactly.
 DIGITS = 13
-ROWS_PER_SLICE = 4_000
 MAX_BROADCAST_ROWS = 100_000
 
 
@@ -87,7 +88,7 @@ def mix_sources(
         .withColumn("quality", plain_quality(F.col("text"), F.col("size")))
         .select("id", "source", "size", "quality", exponential_key(F.col("id"), F.col("quality")).alias("key"))
     )
-    per_source = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"), F.avg("quality").alias("mean_quality"))
+    per_source = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
     per_source = stored(per_source)
     targets = source_targets(per_source.select("source", "source_size"), weights, share, cap)
     plan = (
@@ -98,23 +99,20 @@ def mix_sources(
             F.col("place"),
             F.col("t.source_size").alias("source_size"),
             F.col("target"),
-            F.ceil(F.col("n") / F.lit(ROWS_PER_SLICE)).alias("slices"),
-            F.col("mean_quality"),
             F.when(F.col("t.source_size") > 0, F.floor(F.col("target") / F.col("t.source_size"))).otherwise(F.lit(1)).cast("long").alias("epochs"),
         )
         .withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
     )
     plan = stored(plan)
-    # A monotone function of the key that spreads a source's documents about evenly.
-    spread = F.lit(1.0) - F.exp(-F.col("key") * F.col("mean_quality"))
-    placed = slim.join(bounded(plan, MAX_BROADCAST_ROWS), F.col("source").eqNullSafe(F.col("of"))).withColumn(
-        "slice", F.least(F.floor(spread * F.col("slices")), F.col("slices") - 1)
-    )
-    slice_sums = placed.groupBy("place", "slice").agg(F.sum("size").alias("slice_size"))
-    ahead = Window.partitionBy("place").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = stored(slice_sums.select("place", "slice", F.coalesce(F.sum("slice_size").over(ahead), F.lit(0)).alias("offset")))
-    within = Window.partitionBy("place", "slice").orderBy("key", F.col("id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, 0)
-    summed = placed.withColumn("within", F.sum("size").over(within)).join(bounded(offsets, MAX_BROADCAST_ROWS), ["place", "slice"])
+    # Every task that reads a range reads the same rows of it, since the ranges are stored.
+    ranged = stored(slim.repartitionByRange("source", "key", "id", "size").withColumn("slice", F.spark_partition_id()))
+    slice_sums = ranged.groupBy("source", "slice").agg(F.sum("size").alias("slice_size"))
+    ahead = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    # One row for each source and each further partition that it spans.
+    offsets = stored(slice_sums.select(F.col("source").alias("in"), F.col("slice").alias("in_slice"), F.coalesce(F.sum("slice_size").over(ahead), F.lit(0)).alias("offset")))
+    within = Window.partitionBy("source", "slice").orderBy("key", F.col("id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, 0)
+    begun = bounded(offsets.join(plan, F.col("in").eqNullSafe(F.col("of"))), MAX_BROADCAST_ROWS)
+    summed = ranged.withColumn("within", F.sum("size").over(within)).join(begun, (F.col("slice") == F.col("in_slice")) & F.col("source").eqNullSafe(F.col("in")))
     # Taking the document that crosses the rest only if that ends nearer to it.
     middle = F.col("offset") + F.col("within") - F.col("size") / F.lit(2.0)
     copies = F.col("epochs") + F.when((F.col("rest") > 0) & (middle <= F.col("rest")), F.lit(1)).otherwise(F.lit(0))

@@ -8,6 +8,8 @@ import numpy as np
 import public_tokenizers as P
 import pyarrow as pa
 import pytest
+import regex
+from pyspark.sql import functions as F
 from odd_rows import TEXTS
 
 from oracle import assert_same, connect
@@ -60,11 +62,25 @@ def test_mixing_targets_and_sizes(spark, odd):
     assert sorted(map(str, rows)) == sorted(map(str, mixing.mix_sources(odd).collect()))
 
 
-def test_mixing_slices_do_not_change_the_result(spark, sf_dir, monkeypatch):
+def test_mixing_ranges_do_not_change_the_result(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     whole = sorted(map(tuple, mixing.mix_sources(docs).collect()))
-    monkeypatch.setattr(mixing, "ROWS_PER_SLICE", 3)
-    assert sorted(map(tuple, mixing.mix_sources(docs).collect())) == whole
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "23")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        assert sorted(map(tuple, mixing.mix_sources(docs.repartition(5)).collect())) == whole
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_mixing_splits_sources_of_poor_quality(spark):
+    """Texts without spaces have keys far apart from others'; their source still spans many partitions."""
+    rows = [(n, "x" * 300 if n % 3 else "plain words of usual length here", "a") for n in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix_sources(docs).collect()
+    assert abs(sum(r.taken for r in got) - got[0].target) <= max(r.size for r in got) / 2
 
 
 def test_mixed_rows_repeat(spark, sf_dir):
@@ -126,6 +142,17 @@ def test_quality_on_odd_rows(spark, odd):
     assert quality.keep_good(odd, labels.where("quality = 1")).count() == len(TEXTS)
 
 
+def test_quality_reruns_agree_and_read_every_source(spark, sf_dir):
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    twice = docs.unionByName(docs.withColumn("text", F.concat("text", F.lit(" again"))))
+    models = [quality.train(d, labels) for d in (twice, twice.orderBy(F.desc("doc_id"), "text").coalesce(1))]
+    assert all(np.array_equal(a, b) for a, b in zip(models[0].weights, models[1].weights))
+    assert np.array_equal(models[0].combination, models[1].combination)
+    model = quality.Model(*[[((np.array([n % 2]), np.ones(1)), (np.array([n % 2]), np.ones(1))) for n in range(40)], np.arange(40) % 2.0])
+    gathered = quality._gathered(docs, "doc_id", labels.select(F.col("doc_id").alias("l_id")).limit(0), model)
+    assert gathered.count() <= quality.SOURCE_GROUPS * 4 * quality.GATHERED
+
+
 # 4 line templates
 
 
@@ -191,7 +218,40 @@ def test_personal_data_equals_the_plain_patterns(spark, odd):
 def test_personal_data_whole_query(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "text").collect()
     got = catalog.QUERIES["op5_pii"](spark, sf_dir).collect()
-    assert {tuple(r)[:-1] for r in got} == {brute.base_row(*d) for d in docs}
+    assert {tuple(r)[:6] for r in got} == {brute.base_row(*d) for d in docs}
+    assert all(r.has_personal_data == bool(r.spans) and r.n_added == r.spans.count(":") // 2 - sum(r[1:5]) for r in got)
+
+
+def test_added_spans_equal_plain_ones(spark, sf_dir, monkeypatch):
+    """The added spans of all documents, from plain patterns, votes and the same estimate."""
+    rows = [(i, t or "") for i, t in read(spark, sf_dir, "documents").select("doc_id", "text").collect()]
+    rows += [(-1 - n, f"password: {'0123456789abcdef' * 2}{n:x} of Dr. Maria Smith, SSN 123-45-678{n}, (415) 555-000{n} x") for n in range(8)]
+    kept = {}
+    fit = pii.fit_classifier
+    monkeypatch.setattr(pii, "fit_classifier", lambda r, c: kept.setdefault("w", fit(r, c)))
+    got = {r.doc_id: {(s.kind, s.start, s.end) for s in r.added} for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(map(len, got.values())) >= 16
+    for i, text in rows:
+        base = brute.base_spans(text)
+        want = set()
+        for kind, (pattern, _) in pii.EXTRA.items():
+            end = 0
+            for m in regex.finditer(pattern, text):
+                votes = brute.votes(kind, m[0], text[end : m.start()][-pii.CONTEXT :], pii)
+                end = m.end()
+                mix = 0 if not re.search("[0-9]", m[0]) else 2 if regex.search(r"\p{L}", m[0]) else 1
+                w = kept["w"]
+                score = w["always"] + sum(w[n] * v for n, v in votes.items()) + sum(w.get(k, 0.0) for k in (f"kind {kind}", f"length {min(len(m[0]) // 8, 4)}", f"mix {mix}"))
+                support = sum(max(0, votes[n]) for n in ("shape", "gazetteer", "context"))
+                if support >= 2 and score >= np.log(4) and not any(a < m.end() and m.start() < b for _, a, b in base):
+                    want.add((kind, m.start(), m.end()))
+        assert got[i] == want, i
+
+
+def test_many_matches_in_one_text(spark):
+    text = " ".join(f"u{n}@h{n % 7}.org" for n in range(30_000))
+    row = pii.find_personal_data(spark.createDataFrame([(1, text), (2, "x@y.de")], "doc_id long, text string")).where("doc_id = 1").first()
+    assert [(s.kind, s.start, s.end) for s in row.base] == brute.base_spans(text)
 
 
 def test_added_spans_need_agreement(spark):
@@ -260,6 +320,11 @@ def test_vectors(spark, sf_dir):
     assert got == want  # here the probes reach every cell
 
 
+def test_vectors_whole_query(spark, sf_dir):
+    rows = [tuple(r) for r in read(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label").collect()]
+    assert {tuple(r) for r in catalog.QUERIES["op8_vectors"](spark, sf_dir).collect()} == brute.vector_rows(rows)[0]
+
+
 def test_vector_blocks(spark, monkeypatch):
     monkeypatch.setattr(vector_dedup, "BLOCK", 16)
     rng = np.random.default_rng(5)
