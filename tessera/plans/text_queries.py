@@ -199,6 +199,61 @@ def t14_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", classify_intent(text, INTENTS).alias("intent"), classify_intent(text, PROSE_INTENTS).alias("prose_intent"))
 
 
+#: Phrases of each intent; research is what is left.
+INTENT_PHRASES = {
+    "comparison": ["versus", "compared to", "compare", "difference between", "differences", "better than", "trade-off", "tradeoff", " vs ", " vs.", " or "],
+    "debug": [
+        "traceback", "stack trace", "stacktrace", "exception", "typeerror", "nullpointer", "segfault", "bug", "error", "broken", "crash", "failing",
+        "doesn't work", "does not work", "won't start", "fix this",
+    ],
+    "design": ["architecture", "wireframe", "mockup", "layout", "ux ", " ui", "user interface", "design a", "redesign", "prototype"],
+    "analysis": ["analyze", "analyse", "breakdown", "metrics", "trend", "dataset", "spreadsheet", "kpi", "cohort", "root cause"],
+    "research": ["literature", "paper", "study", "what is", "how does", "survey", "evidence", "cite"],
+}
+#: Intents in the order that settles ties; research loses them.
+INTENT_ORDER = ["design", "comparison", "debug", "analysis", "research"]
+
+
+def phrase_intent(text: Column) -> Column:
+    """The intent most of whose phrases stand in the text; research without any."""
+    padded = F.concat(F.lit(" "), F.replace(F.lower(F.coalesce(text, F.lit(""))), F.lit("\n"), F.lit(" ")), F.lit(" "))
+    counts = {name: sum((F.contains(padded, F.lit(p)).cast("int") for p in INTENT_PHRASES[name]), F.lit(0)) for name in INTENT_ORDER}
+    best = F.greatest(*counts.values())
+    choice = F.when(best == 0, "research")
+    for name, count in counts.items():
+        choice = choice.when(count == best, name)
+    return choice
+
+
+def _phrase_intent_sql(t: str) -> str:
+    padded = f"' ' || replace(lower(coalesce({t}, '')), chr(10), ' ') || ' '"
+    counts = {name: " + ".join(f"contains({padded}, {sql.quoted([p])})::INT" for p in INTENT_PHRASES[name]) for name in INTENT_ORDER}
+    best = f"greatest({', '.join(counts.values())})"
+    return f"CASE WHEN {best} = 0 THEN 'research' " + " ".join(f"WHEN {c} = {best} THEN '{name}'" for name, c in counts.items()) + " END"
+
+
+@query(f"""
+SELECT conv_id, turn, {_phrase_intent_sql("t")} AS intent FROM (SELECT conv_id, turn, text || CASE conv_id % 5 WHEN 0 THEN ' Compare a or b.' WHEN 1 THEN ' A crash and an exception, or not' WHEN 2 THEN ' new layout' WHEN 3 THEN ' trend of a dataset' ELSE '' END AS t FROM conversations WHERE role = 'user')
+""")
+def t14_phrase_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each user turn asks for, by phrases."""
+    tails = F.array(*[F.lit(s) for s in (" Compare a or b.", " A crash and an exception, or not", " new layout", " trend of a dataset", "")])
+    text = F.concat("text", F.element_at(tails, (F.col("conv_id") % 5 + 1).cast("int")))
+    return table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", phrase_intent(text).alias("intent"))
+
+
+def claim_sentences(text: Column, most_chars: int = 400, least_words: int = 3) -> Column:
+    """Sentences that state a figure, in their order: white space collapsed, marks of lists and tables off the ends, a digit and three words at least."""
+    spaced = F.transform(F.split(F.coalesce(text, F.lit("")), r"(?<=[.!?])\s+"), lambda s: F.btrim(F.regexp_replace(s, r"\s+", " "), F.lit(" \t-*#|")))
+    return F.filter(spaced, lambda s: (F.length(s) <= most_chars) & s.rlike(r"\p{Nd}") & (F.regexp_count(s, F.lit(r"[\p{L}\p{M}\p{N}_]+")) >= least_words))
+
+
+@query()
+def t5_claim_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences of documents that state a figure; SQL without look-behind cannot split after a mark."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(claim_sentences(F.col("text"))).alias("position", "sentence"))
+
+
 @query()
 def t15_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts without control characters, page marks and stamps, blank lines and spaces collapsed."""

@@ -1,10 +1,16 @@
 """Queries over whole tables and texts, on rows beyond what a subset or a prefix of them would hold."""
 
 import datetime
+import decimal
+import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera import catalog
+from tessera.operators.copies import listed
+from tessera.plans.text_queries import claim_sentences
+from tessera.sources.tables import table
 
 
 @pytest.fixture
@@ -58,3 +64,47 @@ def test_verdict_of_whole_passages(spark, save):
     save("benchmark", [(1, claim)], "item_id long, text string")
     folder = save("documents", [(7, "src1", "The policy covers water damage.")], "doc_id long, source string, text string")
     assert catalog.QUERIES["v3_evidence_verdict"](spark, folder).first().verdict != "supported"
+
+
+def test_sentences_with_figures(spark, sf_dir):
+    """All documents' sentences with figures, and odd ones, against a plain version."""
+    odd = "- * 12 is a number. Short 1! | The rate rose to 5 %\n now ## Next: no figure here. Over " + "long " * 90 + "9 words."
+    docs = [(r.doc_id, r.text) for r in table(spark, sf_dir, "documents").select("doc_id", "text").collect()] + [(-1, odd), (-2, None), (-3, "")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = sorted((r.doc_id, tuple(r.s)) for r in frame.select("doc_id", claim_sentences(F.col("text")).alias("s")).collect())
+    want = []
+    for key, text in docs:
+        parts = [" ".join(p.split()).strip(" \t-*#|") for p in re.split(r"(?<=[.!?])\s+", text or "")]
+        want.append((key, tuple(p for p in parts if p and len(p) <= 400 and re.search(r"\d", p) and len(re.findall(r"\w+", p)) >= 3)))
+    assert got == sorted(want)
+    assert any(s for key, s in got if key >= 0)
+
+
+def test_running_means_of_all_keys(spark, sf_dir):
+    """a16 folds each key's values in order, rounding at each step as the database does."""
+    events = sorted((r.user_id, r.ts, r.event_id, r.value) for r in table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value").collect())
+    want = {}
+    for user, _, _, x in events:
+        mean, n = want.get(user, (0.0, 0))
+        want[user] = (float(decimal.Decimal(repr((mean * n + x) / (n + 1))).quantize(decimal.Decimal("0.0001"), decimal.ROUND_HALF_UP)), n + 1)
+    got = {r.user_id: (r.score, r.uses) for r in catalog.QUERIES["a16_running_mean"](spark, sf_dir).collect()}
+    assert got == want
+
+
+def test_spans_of_confidence(spark, sf_dir):
+    """v12 covers each passage with sentence units, low where a violated key stands in one."""
+    texts = {r.item_id: r.text for r in table(spark, sf_dir, "benchmark").select("item_id", "text").collect()}
+    want = set()
+    for key, text in texts.items():
+        for n, m in enumerate(re.finditer(r"[^.!?]+[.!?]|[^.!?]+$", text)):
+            low = any(v in m[0].lower() for v in ("the", "license"))
+            want.add((key, n, len(m[0]), 0.25 if low else 0.85))
+    got = {(r.item_id, r.position, r.end - r.start, r.confidence) for r in catalog.QUERIES["v12_confidence_spans"](spark, sf_dir).collect()}
+    assert got == want
+
+
+def test_listed_rows(spark):
+    rows = spark.range(3000).toDF("k")
+    assert sorted(r.k for r in listed(rows, "k", [5, 5, 7, 9999]).collect()) == [5, 7]
+    assert listed(rows, "k", list(range(0, 6000, 3)) * 2).count() == 1000
+    assert listed(rows, "k", []).count() == 0
