@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.storage import checkpoint_dir, stored
+
+__all__ = ["SPACE_CLASS", "WORD_CLASS", "bounded", "checkpoint_dir", "read", "shuffle_partitions", "single_spaced", "stored", "whole", "word_count"]
+
 #: White space of the corpus contracts: space and U+0009 to U+000D, nothing else.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_CLASS = r"[^\x20\x09-\x0D]"
@@ -16,25 +18,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that ``spark.checkpoint.dir`` names; a fresh local one only where none is set."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessera-"))
-    return context.getCheckpointDir()
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared folder, with its lineage cut.
-
-    The files survive lost executors, and Spark's cleaner removes them with
-    the DataFrame (``spark.cleaner.referenceTracking.cleanCheckpoints``).
-    """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def bounded(df: DataFrame, max_rows: int) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``max_rows`` rows, else left to a shuffled join.
 
