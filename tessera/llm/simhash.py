@@ -38,6 +38,7 @@ BLOCK = 2048
 MAX_BROADCAST_ROWS = 100_000
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _HASHES_AT_ONCE = 1 << 16
+_PAIRS_AT_ONCE = 1 << 17
 
 
 def fingerprint(text: str | None) -> int:
@@ -129,7 +130,7 @@ def _large_run(kind: int, fps: np.ndarray, sides: np.ndarray, cross: bool) -> tu
     found_a, found_b = [], []
     left = fps[sides == 0] if cross else fps
     right = fps[sides == 1] if cross else fps
-    step = max(1, (1 << 21) // max(1, len(right)))
+    step = max(1, _PAIRS_AT_ONCE // max(1, len(right)))
     for at in range(0, len(left), step):
         rows = left[at : at + step]
         i, j = np.nonzero(_link(kind, rows[:, None] ^ right[None, :]))
