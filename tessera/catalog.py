@@ -5,7 +5,7 @@ from __future__ import annotations
 from tessera.operators import analytics, copies, joins, predicates, upserts, windows  # noqa: F401
 from tessera.plans import anchor, checks, conflicts, drafts, evidence, ledger, retrieval, scores, text_queries, trees  # noqa: F401
 from tessera.registry import QUERIES, SQL
-from tessera.sources import readers  # noqa: F401
+from tessera.sources import named_files, readers  # noqa: F401
 from tessera.streaming import jobs  # noqa: F401
 
 __all__ = ["QUERIES", "SQL"]

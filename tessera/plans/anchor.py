@@ -158,6 +158,34 @@ def v1_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anchors(claims, table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def reanchored(claims: DataFrame, sources: DataFrame, key: str, text: str, held: DataFrame) -> DataFrame:
+    """The anchors that claims gain over updated sources: none from a source that ``held`` (claim_id, source) cites for the claim already."""
+    return anchors(claims, sources, key, text).join(held.select("claim_id", "source"), ["claim_id", "source"], "left_anti")
+
+
+def append_gained(rows: DataFrame, path: str) -> bool:
+    """Appends the rows to the files of ``path`` and says whether there were any; without rows nothing is written."""
+    rows = stored(rows)
+    if rows.isEmpty():
+        return False
+    rows.write.mode("append").parquet(path)
+    return True
+
+
+@query(f"""
+WITH {_ANCHOR_SQL},
+held AS (SELECT claim_id, source FROM sc WHERE score >= 0.6 AND source IN (SELECT doc_id FROM documents WHERE lang = 'en')
+  QUALIFY row_number() OVER (PARTITION BY claim_id ORDER BY sc.score DESC, width, source, start) = 1)
+SELECT claim_id, source, start::INT AS start, width::INT AS width, score FROM an ANTI JOIN held USING (claim_id, source)
+""")
+def v20_reanchor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the benchmark's claims, anchored in English documents, gain once the documents of all languages are there."""
+    claims = claims_of(table(spark, sf_dir, "benchmark"), "item_id", "text")
+    docs = table(spark, sf_dir, "documents")
+    held = anchors(claims, docs.where("lang = 'en'"), "doc_id", "text")
+    return reanchored(claims, docs, "doc_id", "text", held)
+
+
 def quoted_anchors(claims: DataFrame, sources: DataFrame, key: str, text: str) -> DataFrame:
     """Anchors with the sentence inside the window that fits the claim best, or the whole window if none does."""
     found = anchors(claims, sources, key, text)
