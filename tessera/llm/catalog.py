@@ -2,7 +2,20 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, exact_dedup, line_templates, mixing, pii, quality, simhash, token_files, url_filter, vector_dedup
+from tessera.llm import (
+    bpe,
+    conversations,
+    exact_dedup,
+    line_templates,
+    mixing,
+    pii,
+    quality,
+    simhash,
+    token_counts,
+    token_files,
+    url_filter,
+    vector_dedup,
+)
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -15,6 +28,8 @@ QUERIES = {
     "op8_vectors": vector_dedup.op8_vectors,
     "op9_simhash": simhash.op9_simhash,
     "op10_token_files": token_files.op10_token_files,
+    "op11_token_counts": token_counts.op11_token_counts,
+    "op13_conversations": conversations.op13_conversations,
 }
 
 #: Queries that SQL cannot express are tested against brute force instead.

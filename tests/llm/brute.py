@@ -148,3 +148,85 @@ def votes(kind, match, before, pii):
         shape, gazetteer = one(re.search("[A-Za-z]{2,6}$", match)), int(bool(ends) and ends[0].lower() in pii.TOP_DOMAINS)
     near = lambda words: bool(re.search(r"\b(?:" + "|".join(words.split()) + ")", before, re.I | re.A))
     return {"shape": shape, "gazetteer": gazetteer, "context": int(near(pii.FOR[kind])), "against": -int(near(pii.AGAINST))}
+
+
+def token_count_rows(rows, path, limit):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    return {(i, len((t or "").encode()), n, n > limit) for (i, t), n in zip(rows, (len(model.encode(t or "")) for _, t in rows))}
+
+
+def damage(rows):
+    """conv_id, turn, role, text after the contract's damage."""
+    out = []
+    for conv, turn, role, text in rows:
+        role, text = (" " if x is None else x for x in (role, text))
+        kind = zlib.crc32(f"{' ' if conv is None else conv}:{' ' if turn is None else turn}".encode()) % 20
+        row = (conv, turn, "user" if kind == 4 else role, "" if kind == 1 else re.sub("[.!?]", "", text) if kind == 2 else text)
+        out += [row] * (0 if kind == 0 else 2 if kind == 3 else 1)
+    return out
+
+
+def repair(turns):
+    """gaps, blank, duplicate, truncated, illegal, cost, audit, sha256 of one conversation's turns (turn, role, text) in order.
+
+    Keeps the cheapest and then least edits to reach each string of states,
+    the language written as a table of its own.
+    """
+    seen, faults = set(), []
+    for _, role, text in turns:
+        shown = text.rstrip("\x20\t\n\x0b\f\r")
+        fault = "b" if not shown else "d" if (role, text) in seen else "t" if shown[-1] not in ".!?" else ""
+        seen.add((role, text))
+        faults.append(fault)
+    goes = {("", "s"): "s", ("", "u"): "u", ("s", "u"): "u", ("u", "a"): "a", ("a", "u"): "u"}
+
+    def inserted(best):
+        for _ in range(3):
+            for state, (cost, audit, out) in list(best.items()):
+                for i, name in (("u", "user"), ("a", "assistant")):
+                    to = goes.get((state, i))
+                    if to:
+                        best[to] = min(best.get(to, (10**9,)), (cost + 3, audit + "I", (*out, (name, ""))))
+        return best
+
+    best = inserted({"": (0, "", ())})
+    for (_, role, text), fault in zip(turns, faults):
+        after = {}
+
+        def offer(state, *found):
+            after[state] = min(after.get(state, (10**9,)), found)
+
+        for state, (cost, audit, out) in best.items():
+            offer(state, cost + 4, audit + "D", out)
+            if fault in "bd" and fault:
+                continue
+            extra = 3 * (fault == "t")
+            if (state, role[:1]) in goes:
+                offer(goes[state, role[:1]], cost + extra, audit + "K", (*out, (role, text)))
+            for i, name in (("u", "user"), ("a", "assistant")):
+                if (state, i) in goes:
+                    offer(goes[state, i], cost + 3 + extra, audit + "R", (*out, (name, text)))
+        best = inserted(after)
+    cost, audit, out = min(best[s] for s in ("", "a") if s in best)
+    numbers = [t for t, _, _ in turns if t is not None]
+    gaps = max(numbers) - min(numbers) + 1 - len(set(numbers)) if numbers else 0
+    initials = [r[:1] for _, r, _ in turns]
+    illegal = sum(a + b not in ("su", "ua", "au") for a, b in zip(initials, initials[1:]))
+    digest = hashlib.sha256("\n".join(f"{r}:{t}" for r, t in out).encode()).hexdigest()
+    return (gaps, faults.count("b"), faults.count("d"), faults.count("t"), illegal, cost, audit, digest), out
+
+
+def turn_order(rows):
+    """Rows (turn, role, text) in order: nulls first, ties by role and by digest."""
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1].encode(), hashlib.sha256(f"{len(r[1])}:{r[1]}{r[2]}".encode()).digest())
+    return sorted(rows, key=key)
+
+
+def conversation_rows(rows):
+    """The contract's rows of conversations (conv_id, turn, role, text)."""
+    by = {conv: [] for conv, *_ in rows}
+    for conv, *row in damage(rows):
+        by[conv].append(tuple(row))
+    return {(conv, *repair(turn_order(own))[0]) for conv, own in by.items()}
