@@ -8,6 +8,7 @@ from tessera.llm import (
     exact_dedup,
     line_templates,
     mixing,
+    phrases,
     pii,
     quality,
     simhash,
@@ -29,6 +30,7 @@ QUERIES = {
     "op9_simhash": simhash.op9_simhash,
     "op10_token_files": token_files.op10_token_files,
     "op11_token_counts": token_counts.op11_token_counts,
+    "op12_collocations": phrases.op12_collocations,
     "op13_conversations": conversations.op13_conversations,
 }
 
@@ -38,4 +40,5 @@ SQL = {
     "op2_exact_dedup": exact_dedup.OP2_SQL,
     "op4_line_templates": line_templates.OP4_SQL,
     "op6_url_filter": url_filter.OP6_SQL,
+    "op12_collocations": phrases.OP12_SQL,
 }

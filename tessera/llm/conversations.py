@@ -166,26 +166,31 @@ def _starts(conv: pa.Array) -> np.ndarray:
     return np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
 
 
-def _audit_stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["conv", *_FAULTS, "audit"]
-    held: list[pa.RecordBatch] = []
-    rows = 0
-    enough = TURNS_AT_ONCE
-    for batch in batches:
-        held.append(batch)
-        rows += batch.num_rows
-        if rows < enough:
-            continue
-        table = pa.Table.from_batches(held)
-        cut = int(_starts(table.column("conv").combine_chunks())[-1])
-        if cut:
-            yield _audited(table.slice(0, cut), names)
-        held = table.slice(cut).combine_chunks().to_batches()
-        rows -= cut
-        # A conversation that is longer than the limit is looked at again when it has doubled.
-        enough = max(TURNS_AT_ONCE, 2 * rows)
-    if rows:
-        yield _audited(pa.Table.from_batches(held), names)
+def _audit_stream(at_once: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Audits whole conversations whenever about so many turns have been read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["conv", *_FAULTS, "audit"]
+        held: list[pa.RecordBatch] = []
+        rows = 0
+        enough = at_once
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows < enough:
+                continue
+            table = pa.Table.from_batches(held)
+            cut = int(_starts(table.column("conv").combine_chunks())[-1])
+            if cut:
+                yield _audited(table.slice(0, cut), names)
+            held = table.slice(cut).combine_chunks().to_batches()
+            rows -= cut
+            # A conversation that is longer than the limit is looked at again when it has doubled.
+            enough = max(at_once, 2 * rows)
+        if rows:
+            yield _audited(pa.Table.from_batches(held), names)
+
+    return run
 
 
 def _repair_stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,7 +304,7 @@ def audit_conversations(turns: DataFrame, conv_col: str = "conv_id") -> DataFram
     dealt = coded.repartition(shuffle_partitions(turns.sparkSession), "conv").sortWithinPartitions(*_order())
     kind = rows.schema["conv"].dataType
     schema = T.StructType([T.StructField("conv", kind), *(T.StructField(n, T.LongType()) for n in _FAULTS), T.StructField("audit", T.StringType())])
-    return dealt.select("conv", "turn", "digest", "code").mapInArrow(_audit_stream, schema).withColumnRenamed("conv", conv_col)
+    return dealt.select("conv", "turn", "digest", "code").mapInArrow(_audit_stream(TURNS_AT_ONCE), schema).withColumnRenamed("conv", conv_col)
 
 
 def repaired_turns(turns: DataFrame, audits: DataFrame, conv_col: str = "conv_id") -> DataFrame:

@@ -230,3 +230,34 @@ def conversation_rows(rows):
     for conv, *row in damage(rows):
         by[conv].append(tuple(row))
     return {(conv, *repair(turn_order(own))[0]) for conv, own in by.items()}
+
+
+def collocation_rows(rows, least, most):
+    """The contract's phrases of rows (lang, text)."""
+    from collections import Counter
+
+    counts, totals = Counter(), Counter()
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")):
+            words = re.findall(r"[^\x20\x09]+", piece)
+            totals[lang] += len(words)
+            counts.update((lang, tuple(words[i : i + k])) for k in range(1, 6) for i in range(len(words) - k + 1))
+    often = {key: f for key, f in counts.items() if f >= least}
+    inside = {}
+    for (lang, words), f in often.items():
+        for i in range(len(words)):
+            for j in range(i + 1, len(words) + 1):
+                if j - i < len(words):
+                    inside[lang, words[i:j]] = max(f, inside.get((lang, words[i:j]), 0))
+    by = {}
+    for (lang, words), a in often.items():
+        if len(words) > 1 and inside.get((lang, words), 0) < a:
+            cuts = [(often[lang, words[:k]], often[lang, words[k:]]) for k in range(1, len(words))]
+            score, _, left, right = min((1000 * a * totals[lang] // (x * y), k, x, y) for k, (x, y) in enumerate(cuts))
+            by.setdefault(lang, []).append((-score, -a, " ".join(words).encode(), left, right))
+    return {
+        (lang, rank, phrase.decode(), -a, left, right, totals[lang], -score)
+        for lang, found in by.items()
+        for rank, (score, a, phrase, left, right) in enumerate(sorted(found)[:most], 1)
+    }
