@@ -6,6 +6,6 @@ from tessera.operators import analytics, copies, joins, predicates, upserts, win
 from tessera.plans import anchor, checks, conflicts, drafts, evidence, ledger, retrieval, scores, text_queries, trees  # noqa: F401
 from tessera.registry import QUERIES, SQL
 from tessera.sources import named_files, readers  # noqa: F401
-from tessera.streaming import jobs  # noqa: F401
+from tessera.streaming import debounce, jobs, states  # noqa: F401
 
 __all__ = ["QUERIES", "SQL"]
