@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -30,3 +32,19 @@ def stored(df: DataFrame) -> DataFrame:
     """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written once as Parquet to the shared folder and read again.
+
+    Unlike :func:`stored` rows, its columns are read one by one and its size
+    is known to the planner. The files stay until the folder is cleared.
+    """
+    path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bounded(df: DataFrame, max_rows: int) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``max_rows`` rows, else left to a shuffled join; it should be cheap to count."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
