@@ -12,7 +12,7 @@ from tessera.llm import catalog, phrases
 from tessera.llm.shared import read
 
 
-@pytest.mark.parametrize("setting", [{}, {"SHARD_BYTES": 20_000, "BATCH": 50, "SLOTS": 64, "MAX_BROADCAST_ROWS": 0}])
+@pytest.mark.parametrize("setting", [{}, {"SHARD_BYTES": 20_000, "BATCH": 50, "HELD": 1000, "MAX_BROADCAST_ROWS": 0}])
 def test_collocations_equal_plain_counts(spark, sf_dir, monkeypatch, setting):
     for name, value in setting.items():
         monkeypatch.setattr(phrases, name, value)
@@ -45,10 +45,31 @@ def test_bitmaps_round_trip():
     some = np.random.default_rng(5)
     counts = some.integers(1, 50, 300)
     positions = np.concatenate([np.sort(some.choice(1 << some.integers(6, 30), n, replace=False)) for n in counts])
-    packed, ends = phrases.pack_bitmaps(positions, counts)
-    assert ends[-1] == len(packed) and (phrases.unpack_bitmaps(packed, counts) == positions).all()
-    second = packed[ends[0] : ends[1]]
-    assert (phrases.unpack_bitmaps(second, counts[1:2]) == positions[counts[0] : counts[0] + counts[1]]).all()
+    assert (phrases.unpack_bitmaps(phrases.pack_bitmaps(positions, counts), counts) == positions).all()
+    numbers = some.integers(0, 1 << some.integers(1, 62, 1000))
+    assert (phrases.unpack_numbers(phrases.pack_numbers(numbers)) == numbers).all()
+
+
+def test_full_slots_lose_nothing(spark, sf_dir):
+    """With every slot set, as in a corpus that fills them, the exact counts decide alone."""
+    docs = read(spark, sf_dir, "documents")
+    rows = [tuple(r) for r in docs.select("lang", "text").collect()]
+    full = np.full(1 << phrases.MAP_BITS - 3, 255, dtype=np.uint8)
+    kept = phrases._bitmap
+    try:
+        phrases._bitmap = lambda sums, least: full
+        got = phrases.collocations(docs, least=6, most=200).collect()
+    finally:
+        phrases._bitmap = kept
+    assert {tuple(r) for r in got} == brute.collocation_rows(rows, 6, 200)
+
+
+def test_hashes_do_not_depend_on_the_place():
+    words = ["the", "of", "x", "ünï", "thethe"]
+    for order in (words, words[::-1]):
+        found = dict(zip(order, phrases.word_hashes(" ".join(order).encode(), "en").tolist()))
+        assert found == {w: phrases.word_hashes(w.encode(), "en")[0] for w in words}
+    assert phrases.word_hashes(b"the", "en")[0] != phrases.word_hashes(b"the", "de")[0]
 
 
 def test_scores_pass_64_bits(spark):
