@@ -103,7 +103,13 @@ class Index:
 
 
 def _units(column: pa.Array | pa.ChunkedArray, dims: int) -> np.ndarray:
+    """The vectors at length one, with zeros up to ``dims``.
+
+    Each is scaled by a power of two first, which rounds nothing, so that the
+    squares of very small or large components neither vanish nor overflow.
+    """
     raw = np.array(column.to_pylist(), dtype=np.float64).reshape(len(column), -1)
+    raw = np.ldexp(raw, -np.frexp(np.abs(raw).max(axis=1, initial=0, keepdims=True))[1])
     unit = np.zeros((len(raw), dims))
     unit[:, : raw.shape[1]] = raw / np.linalg.norm(raw, axis=1, keepdims=True)
     return unit
@@ -216,9 +222,10 @@ def near_vectors(vectors: DataFrame, least: float = LEAST_COSINE, id_col: str =
     good = usable(vectors, id_col, vector_col, label_col)
     members = stored(good.groupBy("label", "embedding").agg(F.min("id").alias("class"), F.count("*").alias("size")))
     classes = members.select(F.col("class").alias("id"), "label", F.size("embedding").alias("dims"), "size", "embedding")
-    shape = classes.agg(F.max("dims").alias("dims"), F.count("*").alias("n"), F.count_distinct("label").alias("labels")).first()
+    by_label = classes.groupBy("label").agg(F.max("dims").alias("dims"), F.count("*").alias("n"))
+    shape = by_label.agg(F.max("dims").alias("dims"), F.max("n").alias("most")).first()
     of_class = good.join(members.select("label", "embedding", "class", "size"), ["label", "embedding"]).select("id", "class", "size")
-    if shape.n:
+    if shape.most:
         links, counts = _indexed_links(spark, classes, shape, least)
         grouped = connected_components(links)
         of_class = of_class.join(counts, F.col("class") == F.col("of"), "left").join(grouped, F.col("class") == F.col("node"), "left")
@@ -244,7 +251,7 @@ def _indexed_links(spark: SparkSession, classes: DataFrame, shape, least: float)
         for size in np.unique(sample.column("dims").to_numpy()).tolist()
         for part in [sample.filter(pa.array(sample.column("dims").to_numpy() == size))]
     ]
-    lists = min(MAX_LISTS, max(1, round(shape.n / shape.labels / LIST_SIZE)))
+    lists = min(MAX_LISTS, max(1, round(shape.most / LIST_SIZE)))
     index = Index(np.concatenate(units), lists)
     reach = math.sqrt(max(0.0, 2 - 2 * least)) + 1e-6
     schema = "id long, label string, dims int, size long, embedding array<double>, home int, probes array<int>, codes binary, error double"
