@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import read, shuffle_partitions, single_spaced, stored, whole
+from tessera.llm.shared import fresh, read, shuffle_partitions, single_spaced, stored, whole
 
 HOT_SHARE = 8
 PREFIX = 64
@@ -88,15 +88,19 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that ``exact_dedup`` keeps, with all their columns.
 
-    Rows are fetched back by id and digest; of rows that share both, one stays.
+    Rows are fetched back by id and digest; of rows that share both, one
+    stays. Null texts count as empty, null ids as one id that is larger than
+    the others. Columns keep their names, whatever they are. No rows give no
+    rows.
     """
+    kept_key, place = fresh(docs, "kept_key"), fresh(docs, "kept_place")
     key = lambda ident, digest: F.concat_ws(":", digest, F.coalesce(ident.cast("string"), F.lit("null")))
     found = exact_dedup(docs, id_col, text_col)
-    keep = found.where("kept").select(key(F.col(id_col), F.col("text_sha256")).alias("kept_key"))
+    keep = found.where("kept").select(key(F.col(id_col), F.col("text_sha256")).alias(kept_key))
     # One string key serves the join and the window with one shuffle.
-    keyed = docs.withColumn("kept_key", key(F.col(id_col), F.sha2(single_spaced(whole(F.col(text_col))), 256)))
-    one = Window.partitionBy("kept_key").orderBy("kept_key")
-    kept = keyed.join(keep, "kept_key").withColumn("kept_place", F.row_number().over(one)).where("kept_place = 1")
+    keyed = docs.withColumn(kept_key, key(F.col(id_col), F.sha2(single_spaced(whole(F.col(text_col))), 256)))
+    one = Window.partitionBy(kept_key).orderBy(kept_key)
+    kept = keyed.join(keep, kept_key).withColumn(place, F.row_number().over(one)).where(F.col(place) == 1)
     return kept.select(*docs.columns)
 
 

@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import bounded, read, stored, whole, word_count
+from tessera.llm.shared import bounded, fresh, read, stored, whole, word_count
 
 #: Largest number of hexadecimal digits of a digest that a double holds exactly.
 DIGITS = 13
@@ -130,11 +130,15 @@ def mix_sources(
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs``, each as often as ``mix_sources`` takes it.
 
-    Rows that share an id take the largest number of copies of any of them.
+    Rows that share an id take the largest number of copies of any of them;
+    so do rows with a null id. Null and empty texts have no words and are
+    taken once or as their source's epochs say. All columns come back,
+    whatever their names. No rows give no rows.
     """
-    copies = mix_sources(docs, id_col=id_col, **options).groupBy(F.col(id_col).alias("mixed_id")).agg(F.max("copies").alias("mixed_copies"))
-    taken = docs.join(copies.where("mixed_copies > 0"), F.col(id_col).eqNullSafe(F.col("mixed_id")))
-    repeated = taken.withColumn("mixed_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mixed_copies"))))
+    ident, times, copy = (fresh(docs, name) for name in ("mixed_id", "mixed_copies", "mixed_copy"))
+    copies = mix_sources(docs, id_col=id_col, **options).groupBy(F.col(id_col).alias(ident)).agg(F.max("copies").alias(times))
+    taken = docs.join(copies.where(F.col(times) > 0), docs[id_col].eqNullSafe(F.col(ident)))
+    repeated = taken.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times))))
     return repeated.select(*docs.columns)
 
 

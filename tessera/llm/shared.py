@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.storage import checkpoint_dir, stored
 
-__all__ = ["SPACE_CLASS", "WORD_CLASS", "bounded", "checkpoint_dir", "read", "shuffle_partitions", "single_spaced", "stored", "whole", "word_count"]
+__all__ = ["SPACE_CLASS", "WORD_CLASS", "bounded", "checkpoint_dir", "fresh", "read", "shuffle_partitions", "single_spaced", "stored", "whole", "word_count"]
 
 #: White space of the corpus contracts: space and U+0009 to U+000D, nothing else.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -26,6 +26,14 @@ def bounded(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores behind it until ``df`` has no such column, letters' case apart."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

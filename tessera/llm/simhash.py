@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.components import connected_components
-from tessera.llm.shared import bounded, read, stored
+from tessera.llm.shared import bounded, fresh, read, stored
 
 MAX_BITS = 4
 #: First bit and number of bits of each segment.
@@ -243,12 +243,14 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """The rows of ``docs`` whose id is its component's smallest, one row for each such id.
 
     Rows with a null id are kept: nothing names another that could stand for
-    them.
+    them. Null and empty texts are one group, like equal texts. Columns keep
+    their names, whatever they are. No rows give no rows.
     """
+    ident, place = fresh(docs, "kept_id"), fresh(docs, "kept_place")
     groups = near_dedup(docs, id_col, text_col)
-    keep = groups.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("kept_id")).distinct()
-    first = Window.partitionBy("kept_id").orderBy(F.col(text_col))
-    kept = docs.join(keep, F.col(id_col) == F.col("kept_id")).withColumn("kept_place", F.row_number().over(first)).where("kept_place = 1")
+    keep = groups.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias(ident)).distinct()
+    first = Window.partitionBy(ident).orderBy(docs[text_col])
+    kept = docs.join(keep, docs[id_col] == F.col(ident)).withColumn(place, F.row_number().over(first)).where(F.col(place) == 1)
     return kept.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
 
 

@@ -1,7 +1,7 @@
 """Odd documents."""
 
 #: Names that operators use inside, as columns of the input.
-CLASHING = "id norm digest run place key fp component node label size n kept keep_id group_size copies block words found base q score row leaf line".split()
+CLASHING = "id norm digest run place key fp component node label size n kept keep_id group_size copies block words found base q score row leaf line mixed_id MIXED_COPIES mixed_copy kept_id kept_place kept_key audit part shard".split()
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHING)
 
 TEXTS = [

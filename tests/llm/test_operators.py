@@ -269,6 +269,14 @@ def test_reliabilities_follow_agreement():
     assert min(right[:2]) > 0.9
 
 
+def test_long_secrets_and_addresses(spark):
+    """No length of a run hides what is in it."""
+    long = "a" * 500 + "7" + "b" * 20
+    texts = [f"token {long} end", f"mail {'x' * 90}[at]{'y' * 80}[dot]{'z' * 70}[dot]a[dot]b[dot]c[dot]d[dot]e[dot]com", "=" + "q" * 100_000, "1" * 100_000 + "[at" * 1000]
+    got = [r.m for r in spark.createDataFrame([(t,) for t in texts], "t string").select(F.array(*[F.regexp_extract("t", pii.EXTRA[k][0], 0) for k in ("secret", "email_hidden")]).alias("m")).collect()]
+    assert got[0][0] == long and got[1][1] == texts[1][5:] and got[2] == got[3] == ["", ""]
+
+
 # 6 URLs
 
 
@@ -354,6 +362,32 @@ def test_vectors_with_null_ids_and_repeats(spark):
     assert got == Counter({(1, 1, 1, True): 2, (None, 0, None, True): 1, (2, 0, 2, True): 1})
 
 
+def test_vectors_of_odd_lengths_lose_no_links(spark):
+    """Vectors whose squares vanish or overflow neither lose their own links nor those of others."""
+    rng = np.random.default_rng(7)
+    plain = [(n, (np.ones(8) + rng.normal(size=8) * 0.1).tolist(), 0) for n in range(60)]
+    odd = [(100, [1e-200] * 8, 0), (101, [1e200] * 8, 0), (102, [5e-324] * 8, 0), (103, [1e308] * 8, 0)]
+    same = [(n, [1.0] * 8 if n >= 100 else v, label) for n, v, label in plain + odd]
+    schema = "vec_id long, embedding array<double>, label int"
+    got = {tuple(r) for r in vector_dedup.near_vectors(spark.createDataFrame(plain + odd, schema)).collect()}
+    assert got == brute.vector_rows(same)[0]
+
+
+def test_vectors_with_clashing_columns_and_ties(spark):
+    rows = [(n, [1.0, float(n % 2)] * 40, n % 3) for n in range(40)]
+    names = "id class size embedding_ of links node component dims block"
+    schema = "vec_id long, embedding array<double>, label int, " + ", ".join(f"{c} string" for c in names.split())
+    got = {tuple(r) for r in vector_dedup.near_vectors(spark.createDataFrame([(*r, *["x"] * len(names.split())) for r in rows], schema)).collect()}
+    assert got == brute.vector_rows(rows)[0]
+
+
+def test_skewed_labels_get_lists_by_the_largest(spark, monkeypatch):
+    monkeypatch.setattr(vector_dedup, "LIST_SIZE", 20)
+    rng = np.random.default_rng(13)
+    rows = [(n, (np.ones(8) + rng.normal(size=8) * 0.4).tolist(), 0 if n % 20 else n) for n in range(600)]
+    assert {tuple(r) for r in vector_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()} == brute.vector_rows(rows)[0]
+
+
 # 9 SimHash
 
 

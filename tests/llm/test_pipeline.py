@@ -46,3 +46,25 @@ def test_stages_on_no_rows(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, sf_dir).count() == 0
+
+
+def test_stages_on_odd_rows(spark, odd):
+    """Null ids, repeated rows, empty and long texts and clashing columns pass through every stage."""
+    labels = spark.createDataFrame([(1, 1), (2, 1), (4, 0), (6, 0)], "doc_id long, quality int")
+    docs = odd
+    for name, stage in corpus_pipeline.STAGES[1:-1]:
+        after = stage(spark, docs, "").cache()
+        assert after.columns == docs.columns, name
+        assert {tuple(r) for r in after.collect()} <= {tuple(r) for r in docs.collect()}, name
+        docs = after
+    texts = [r.text for r in docs.select("text").collect()]
+    assert None in texts or "" in texts or " \n\t " in texts
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() == len(texts)
+    assert quality.keep_good(odd, labels).columns == odd.columns
+
+
+def test_stages_keep_one_of_equal_rows(spark, odd):
+    exact = corpus_pipeline.exact_stage(spark, odd, "")
+    assert exact.where("doc_id = 8").count() == 1  # of two equal rows of one id; its other text is another row's
+    near = corpus_pipeline.near_stage(spark, odd.where("doc_id = 8 AND text LIKE 'The%'"), "")
+    assert near.count() == 1
