@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import decimal
+import math
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -241,13 +244,44 @@ def running_mean(outcomes: DataFrame, key: str, order: Sequence[str], value: str
     """Mean of a key's outcomes in their order, rounded to four digits at each step, and their number.
 
     The rounding makes the mean depend on the order, so a key's outcomes are
-    folded as one array: keys should have no more outcomes than fit in memory.
+    read one after the other by one task; they stream past in their order, and
+    the task holds a mean and a number. A null outcome makes the mean null.
     """
-    ordered = F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("x"))))
-    start = F.struct(F.lit(0.0).alias("mean"), F.lit(0).cast("long").alias("n"))
-    step = lambda s, o: F.struct(F.round((s["mean"] * s["n"] + o["x"]) / (s["n"] + 1), 4).alias("mean"), (s["n"] + 1).alias("n"))
-    folded = outcomes.groupBy(key).agg(F.aggregate(ordered, start, step).alias("f"))
-    return folded.select(key, F.col("f.mean").alias("score"), F.col("f.n").alias("uses"))
+    rows = outcomes.select(F.col(key).alias("key"), F.col(value).cast("double").alias("x"), *[F.col(o).alias(f"o{n}") for n, o in enumerate(order)])
+    dealt = rows.repartition("key").sortWithinPartitions(F.col("key").asc_nulls_first(), *[f"o{n}" for n in range(len(order))], "x")
+    kind = outcomes.schema[key].dataType.simpleString()
+    return dealt.select("key", "x").mapInArrow(_running_means, f"key {kind}, score double, uses long").withColumnRenamed("key", key)
+
+
+_PLACES = decimal.Decimal("0.0001")
+
+
+def _rounded(x: float) -> float:
+    """To four digits as decimals are rounded, half away from zero."""
+    return float(decimal.Decimal(repr(x)).quantize(_PLACES, decimal.ROUND_HALF_UP)) if math.isfinite(x) else x
+
+
+def _running_means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each key of sorted rows (key, x)."""
+    now, mean, n, kind = None, 0.0, 0, None
+
+    def rows(done: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*done, strict=True) if done else ([], [], [])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (kind, pa.float64(), pa.int64()), strict=True)], names=["key", "score", "uses"])
+
+    for batch in batches:
+        kind, done = batch.schema.field(0).type, []
+        for key, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if n and key != now:
+                done.append((now, mean, n))
+                mean, n = 0.0, 0
+            now = key
+            if mean is not None:
+                mean = None if x is None else _rounded((mean * n + x) / (n + 1))
+            n += 1
+        yield rows(done)
+    if n:
+        yield rows([(now, mean, n)])
 
 
 @query()

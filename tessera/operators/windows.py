@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import sentences, words
+from tessera.functions.text import sentences
 from tessera.registry import query
 from tessera.sources.tables import table
 from tessera.storage import stored
@@ -48,12 +52,15 @@ def w1_sentence_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def source_budget(sources: DataFrame, group: str, order: list[Column], chars: str, per_file: int = PER_FILE_CHARS, total: int = TOTAL_CHARS) -> DataFrame:
-    """Characters carried of each source: at most ``per_file``, and ``total`` in a group, the source that crosses it in part."""
-    before = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    """Characters carried of each source: at most ``per_file``, and ``total`` in a group, the source that crosses it in part.
+
+    Columns come in ascending order, the last telling rows apart.
+    """
     capped = F.least(F.col(chars), F.lit(per_file))
-    used = F.coalesce(F.sum(capped).over(before), F.lit(0))
-    carried = F.greatest(F.lit(0), F.least(capped, F.lit(total) - used)).cast("long")
-    return sources.withColumn("carried", carried).withColumn("truncated", (F.col("carried") > 0) & (F.col("carried") < F.col(chars)))
+    rows = sources.withColumn("place", F.struct(*order)).withColumn("capped", capped)
+    carried = F.greatest(F.lit(0), F.least(F.col("capped"), F.lit(total) - F.col("ahead"))).cast("long")
+    summed = running_totals(rows, group, "place", "capped").withColumn("carried", carried)
+    return summed.withColumn("truncated", (F.col("carried") > 0) & (F.col("carried") < F.col(chars))).drop("place", "capped", "ahead")
 
 
 @query("""
@@ -64,23 +71,22 @@ SELECT doc_id, source, n_chars, carried, carried > 0 AND carried < n_chars AS tr
 """)
 def w2_source_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranked = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars").join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    order = [F.desc(F.coalesce("quality", F.lit(0))), F.asc("doc_id")]
+    order = [(-F.coalesce("quality", F.lit(0))).alias("q"), F.col("doc_id")]
     return source_budget(ranked, "source", order, "n_chars").select("doc_id", "source", "n_chars", "carried", "truncated")
 
 
 def source_carry(sources: DataFrame, group: str, order: list[Column], chars: str, per_file: int = CARRY_PER_FILE_CHARS, total: int = CARRY_TOTAL_CHARS) -> DataFrame:
     """Whether each source is carried whole: the first that would cross ``total`` stops it and all after it."""
-    until = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    block = F.least(F.col(chars), F.lit(per_file))
+    rows = sources.withColumn("place", F.struct(*order)).withColumn("block", F.least(F.col(chars), F.lit(per_file)))
     # Lengths aren't negative, so the running sum passes the total once and for all.
-    return sources.withColumn("carried", F.sum(block).over(until) <= total)
+    return running_totals(rows, group, "place", "block").withColumn("carried", F.col("ahead") + F.col("block") <= total).drop("place", "block", "ahead")
 
 
 @query("""
 SELECT doc_id, source, n_chars, sum(least(n_chars, 200000)) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) <= 40000 AS carried FROM documents
 """)
 def w3_source_carry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return source_carry(table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"), "source", [F.asc("doc_id")], "n_chars", total=40_000)
+    return source_carry(table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"), "source", [F.col("doc_id")], "n_chars", total=40_000)
 
 
 def running_totals(rows: DataFrame, group: str, key: str, value: str) -> DataFrame:
@@ -146,19 +152,39 @@ def w5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def merge_short(parts: Column, least: int) -> Column:
     """Sentences with fewer than ``least`` words joined to what follows until they have as many; a short rest stays by itself.
 
-    A fold over one document's sentences: what a merged run holds depends on the runs before it.
+    What a run holds depends on the runs before it, so each array is read once
+    from start to end, in Arrow batches; a run's words are those of its parts.
     """
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("open"))
 
-    def step(s: Column, part: Column) -> Column:
-        joined = F.trim(F.concat_ws(" ", s["open"], part))
-        full = F.size(F.array_distinct(words(joined))) >= least
-        return F.struct(F.when(full, F.array_append(s["out"], joined)).otherwise(s["out"]).alias("out"), F.when(full, "").otherwise(joined).alias("open"))
+    @F.pandas_udf("array<string>")
+    def merged(lists: pd.Series) -> pd.Series:
+        return lists.map(lambda each: None if each is None else list(_merged(each, least)))
+
+    return merged(parts)
 
-    return F.aggregate(parts, start, step, lambda s: F.when(s["open"] == "", s["out"]).otherwise(F.array_append(s["out"], s["open"])))
 
+def _merged(parts: Iterable[str], least: int) -> Iterator[str]:
+    run: list[str] = []
+    seen: set[str] = set()
+    for part in parts:
+        run.append(part)
+        seen.update(re.findall("[a-z0-9]+", part.lower()))
+        if len(seen) >= least:
+            yield " ".join(run).strip(" ")
+            run, seen = [], set()
+    if run:
+        yield " ".join(run).strip(" ")
 
-@query()
+
+#: Sentences are joined by the numbers of their runs: a run ends where its distinct words are enough, which a recursion finds one by one.
+@query(f"""
+WITH RECURSIVE s AS (SELECT item_id, {SENTENCES_SQL.format(text="text")} AS ss FROM benchmark),
+r AS (SELECT item_id, ss, 0 AS first, 0 AS last, -1 AS position FROM s
+  UNION ALL SELECT item_id, ss, first, last, position + 1 FROM (SELECT item_id, ss, r.last + 1 AS first,
+    coalesce(list_min(list_filter(range(r.last + 1, len(ss) + 1), lambda e: len(list_distinct(regexp_extract_all(lower(array_to_string(ss[r.last + 1:e], ' ')), '[a-z0-9]+'))) >= 4)), len(ss)) AS last, position
+    FROM r WHERE r.last < len(ss)))
+SELECT item_id, position::INT AS position, trim(array_to_string(ss[first:last], ' ')) AS sentence FROM r WHERE position >= 0
+""")
 def w6_merged_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "benchmark").select("item_id", merge_short(sentences(F.col("text")), 4).alias("merged"))
     return rows.select("item_id", F.posexplode("merged").alias("position", "sentence"))
@@ -174,15 +200,15 @@ def paged_sentences(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 @query(f"""
-WITH d AS (SELECT conv_id, text FROM conversations WHERE turn = 0),
-     p AS (SELECT conv_id, NULL AS page, 0 AS piece, text AS body FROM d UNION ALL SELECT conv_id, 4, 1, text FROM d UNION ALL SELECT conv_id, 5, 2, text FROM d)
-SELECT conv_id, page::INT AS page, piece::INT AS piece, unnest(range(len(ss)))::INT AS position, unnest(ss) AS sentence
-FROM (SELECT conv_id, page, piece, {SENTENCES_SQL.format(text="body")} AS ss FROM p)
+WITH d AS (SELECT conv_id || '-' || turn AS draft, text FROM conversations),
+     p AS (SELECT draft, NULL AS page, 0 AS piece, text AS body FROM d UNION ALL SELECT draft, 4, 1, text FROM d UNION ALL SELECT draft, 5, 2, text FROM d)
+SELECT draft, page::INT AS page, piece::INT AS piece, unnest(range(len(ss)))::INT AS position, unnest(ss) AS sentence
+FROM (SELECT draft, page, piece, {SENTENCES_SQL.format(text="body")} AS ss FROM p)
 """)
 def w7_page_carry(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = F.concat("text", F.lit("\n--- Page 4 ---\n"), "text", F.lit("\n--- Page 5 ---\n"), "text")
-    docs = table(spark, sf_dir, "conversations").where("turn = 0").select("conv_id", pages.alias("text"))
-    return paged_sentences(docs, "conv_id", "text")
+    docs = table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("draft"), pages.alias("text"))
+    return paged_sentences(docs, "draft", "text")
 
 
 @query("""

@@ -2,28 +2,24 @@
 
 A claim and a window of one to three sentences are compared by the content
 words they share: at least four, covering at least 0.6 of the shorter side,
-and no number of the claim missing from the window. A pair that shares ``t``
-words of the shorter side's ``n`` shares one of its ``n - t + 1`` rarest, so
-only those meet the other side's words in an equi-join, and frequent words
-bring nothing together. The pairs so found are then compared in full. Windows
-are held by position until one is chosen; text is fetched for chosen ones only.
+and no number of the claim missing from the window. ``plans/matching.py`` says
+how they meet. Windows are held by position until one is chosen; text is
+fetched for chosen ones only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import sql
 from tessera.functions.text import content_words, plain_numbers, sentences
+from tessera.plans.matching import MIN_OVERLAP, best_pairs, missed_sentences
 from tessera.registry import query
 from tessera.sources.tables import table
-from tessera.storage import stored
+from tessera.storage import stored, written
 
 MIN_WORDS = 4
-MIN_OVERLAP = 4
-MIN_COEFFICIENT = 0.60
-MAX_WINDOW = 3
 NEAR_MISSES = 3
 QUOTE_CHARS = 280
 NEAR_MISS_CHARS = 300
@@ -70,66 +66,18 @@ def ranked(words: Column, common: list[str]) -> Column:
 
 
 def source_parts(sources: DataFrame, key: str, text: str, common: list[str]) -> DataFrame:
-    """source and parts, the ranked words and the numbers of its eligible sentences in order; kept, since it is read twice."""
+    """source and units, the ranked words and the numbers of its eligible sentences in order; written, since it is read several times."""
     each = sources.select(F.col(key).alias("source"), F.posexplode(sentences(F.col(text))).alias("at", "sentence"))
     found = each.select("source", "at", content_words(F.col("sentence")).alias("words"), plain_numbers(F.col("sentence")).alias("numbers"))
     part = F.struct("at", ranked(F.col("words"), common).alias("words"), "numbers")
-    return stored(found.where(F.size("words") >= MIN_OVERLAP).select("source", part.alias("part")).groupBy("source").agg(F.array_sort(F.collect_list("part")).alias("parts")))
-
-
-def _to_meet(size: Column) -> Column:
-    """How many of the rarest words of a side of that size must hold a shared one, where it is the shorter side."""
-    return (size - F.greatest(F.lit(MIN_OVERLAP), F.ceil(size * MIN_COEFFICIENT - 1e-6)) + 1).cast("int")
-
-
-def _window(parts: Column, start: Column, width: Column, field: str) -> Column:
-    return F.array_distinct(F.flatten(F.slice(parts, start + 1, width)[field]))
-
-
-def overlaps(claims: DataFrame, parts: DataFrame, common: list[str]) -> DataFrame:
-    """claim_id, source, start, width and score of the pairs whose score reaches ``MIN_COEFFICIENT`` and that carry the claim's numbers.
-
-    ``parts`` as ``source_parts`` gives them, ranked by ``common``.
-    """
-    asked = claims.select("claim_id", F.size("words").alias("claim_size"), ranked(F.col("words"), common).alias("words"))
-    rare = asked.select("claim_id", F.explode(F.slice("words", F.lit(1), _to_meet(F.col("claim_size")))).alias("word"))
-    largest = claims.agg(F.max(F.size("words"))).first()[0] or 0
-
-    # The claim is the shorter side, or as long: its rare words in a sentence of the window.
-    in_sentence = parts.select("source", F.posexplode("parts").alias("position", "s")).select("source", "position", F.explode("s.words").alias("word"))
-    sentences_met = in_sentence.join(rare, "word").select("claim_id", "source", "position").distinct()
-    reach = [F.struct(F.lit(back).alias("back"), F.lit(width).alias("width")) for width in range(1, MAX_WINDOW + 1) for back in range(width)]
-    around = sentences_met.select("claim_id", "source", "position", F.explode(F.array(*reach)).alias("r")).where("position >= r.back")
-    first = around.select("claim_id", "source", (F.col("position") - F.col("r.back")).alias("start"), "r.width")
-
-    # The window is the shorter side: its rare words in the claim. Windows hold no fewer words than any of their sentences.
-    starts = parts.select("source", "parts", F.explode(F.sequence(F.lit(0), F.size("parts") - 1)).alias("start"))
-    runs = starts.select("source", "parts", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(MAX_WINDOW), F.size("parts") - F.col("start")))).alias("width"))
-    some = runs.where(F.size(F.get("parts", F.col("start"))["words"]) < largest)
-    words = some.select("source", "start", "width", F.explode(F.array(F.array_sort(_window(F.col("parts"), F.col("start"), F.col("width"), "words")))).alias("words"))
-    sized = words.where(F.size("words") < largest).select("source", "start", "width", F.size("words").alias("window_size"), "words")
-    told = sized.select("source", "start", "width", "window_size", F.explode(F.slice("words", F.lit(1), _to_meet(F.col("window_size")))).alias("word"))
-    second = told.join(asked.select("claim_id", "claim_size", F.explode("words").alias("word")), "word").where("window_size < claim_size").select("claim_id", "source", "start", "width")
-
-    pairs = first.unionByName(second).distinct()
-    known = asked.join(claims.select("claim_id", F.col("numbers").alias("cn")), "claim_id").select("claim_id", F.col("words").alias("cw"), "cn")
-    met = pairs.join(parts, "source").where("start + width <= size(parts)").join(known, "claim_id")
-    both = met.select("claim_id", "source", "start", "width", "cw", "cn", *[_window(F.col("parts"), F.col("start"), F.col("width"), f).alias(f) for f in ("words", "numbers")])
-    shared = both.select("claim_id", "source", "start", "width", "cn", "numbers", F.size(F.array_intersect("cw", "words")).alias("shared"), F.least(F.size("cw"), F.size("words")).alias("least"))
-    fit = shared.where((F.col("shared") >= MIN_OVERLAP) & (F.size(F.array_except("cn", "numbers")) == 0))
-    return fit.select("claim_id", "source", "start", "width", (F.col("shared") / F.col("least")).alias("score")).where(F.col("score") >= MIN_COEFFICIENT)
-
-
-def best_windows(claims: DataFrame, parts: DataFrame, common: list[str]) -> DataFrame:
-    """Each claim's best window: the highest score, then the narrower, the smaller source, the earlier one; none below the floor."""
-    rank = F.struct((-F.col("score")).alias("score"), "width", "source", "start")
-    return overlaps(claims, parts, common).groupBy("claim_id").agg(F.min(rank).alias("b")).select("claim_id", "b.source", "b.start", "b.width", F.round(-F.col("b.score"), 6).alias("score"))
+    return written(found.where(F.size("words") >= MIN_OVERLAP).select("source", part.alias("part")).groupBy("source").agg(F.array_sort(F.collect_list("part")).alias("units")))
 
 
 def anchors(claims: DataFrame, sources: DataFrame, key: str, text: str) -> DataFrame:
     """The best windows of claims in the sentences of sources."""
     common = common_words(claims)
-    return best_windows(claims, source_parts(sources, key, text, common), common)
+    asked = claims.select("claim_id", ranked(F.col("words"), common).alias("words"), "numbers")
+    return best_pairs(asked, source_parts(sources, key, text, common)).withColumn("score", F.round("score", 6))
 
 
 def _sentence_rows(name: str, rows: str, key: str) -> str:
@@ -224,13 +172,10 @@ SELECT claim_id, source, pos::INT AS position, sentence, round(score, 6) AS scor
 def v8_near_miss(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three source sentences that came closest to a claim without anchoring it."""
     claims = claims_of(table(spark, sf_dir, "benchmark"), "item_id", "text")
+    common = common_words(claims)
+    order = lambda rows: rows.withColumn("words", ranked(F.col("words"), common))
     parts = source_sentences(table(spark, sf_dir, "documents"), "doc_id", "text")
-    asked = claims.select("claim_id", F.size("words").alias("claim_size"), F.explode("words").alias("word"))
-    told = parts.select("source", "position", F.size("words").alias("size"), F.explode("words").alias("word"))
-    shared = told.join(asked, "word").groupBy("claim_id", "source", "position").agg(F.count("*").alias("shared"), F.first("claim_size").alias("claim_size"), F.first("size").alias("size"))
-    scored = shared.where(F.col("shared") >= MIN_OVERLAP).withColumn("score", F.col("shared") / F.least("claim_size", "size")).where(F.col("score") < MIN_COEFFICIENT)
-    place = F.row_number().over(Window.partitionBy("claim_id").orderBy(F.desc("score"), "source", "position"))
-    chosen = scored.withColumn("place", place).where(F.col("place") <= NEAR_MISSES)
+    chosen = missed_sentences(order(claims), written(order(parts.select("source", "position", "words"))), NEAR_MISSES)
     shown = parts.select("source", "position", F.substring("sentence", 1, NEAR_MISS_CHARS).alias("sentence"))
     return chosen.join(shown, ["source", "position"]).select("claim_id", "source", "position", "sentence", F.round("score", 6).alias("score"))
 

@@ -55,12 +55,11 @@ def cross_run(entries: DataFrame, key: str, order: list[str]) -> DataFrame:
 
 @query("""
 WITH e AS (SELECT l_partkey AS metric, l_orderkey AS run_id, l_linenumber AS line, l_quantity AS value FROM lineitem),
-a AS (SELECT metric, min((run_id, line, value)) AS a FROM (SELECT metric, run_id, line, value FROM e) GROUP BY 1),
 f AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY metric ORDER BY run_id, line, value) = 1),
 s AS (SELECT e.* FROM e JOIN f ON e.metric = f.metric AND e.value <> f.value QUALIFY row_number() OVER (PARTITION BY e.metric ORDER BY e.run_id, e.line, e.value) = 1),
 p AS (SELECT f.metric, f.run_id AS run_a, s.run_id AS run_b, f.value AS value_a, s.value AS value_b FROM f JOIN s ON f.metric = s.metric)
 SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY run_a, run_b ORDER BY metric) = 1
-""".replace("a AS (SELECT metric, min((run_id, line, value)) AS a FROM (SELECT metric, run_id, line, value FROM e) GROUP BY 1),\n", ""))
+""")
 def v15_cross_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("metric"), F.col("l_orderkey").alias("run_id"), F.col("l_linenumber").alias("line"), F.col("l_quantity").alias("value"))
     return cross_run(entries, "metric", ["run_id", "line"])
@@ -95,17 +94,22 @@ def v16_document_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ancestors(links: DataFrame) -> DataFrame:
-    """All ancestors of each node, with their depth, by a join for each level; ``links`` (node, parent) has no cycles.
+    """All ancestors of each node of ``links`` (node, parent), with the depth at which each is met first.
 
-    A recursive query would stop at its row limit.
+    Pairs found meet each other, so after each round they reach twice as far,
+    and a cycle ends with every pair of it found. A recursive query would stop
+    at its row limit.
     """
-    links = stored(links.select("node", "parent"))
-    level = found = links.select("node", F.col("parent").alias("ancestor"), F.lit(1).alias("depth"))
-    up = links.select(F.col("node").alias("ancestor"), "parent")
-    while not level.isEmpty():
-        level = stored(level.join(up, "ancestor").select("node", F.col("parent").alias("ancestor"), (F.col("depth") + 1).alias("depth")))
-        found = found.unionByName(level)
-    return found
+    found = stored(links.select("node", F.col("parent").alias("ancestor"), F.lit(1).alias("depth")).where("ancestor IS NOT NULL").distinct())
+    known = found.count()
+    while True:
+        onward = found.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("further"), F.col("depth").alias("more"))
+        longer = found.join(onward, "ancestor").select("node", F.col("further").alias("ancestor"), (F.col("depth") + F.col("more")).alias("depth"))
+        after = stored(found.unionByName(longer).groupBy("node", "ancestor").agg(F.min("depth").alias("depth")))
+        now = after.agg(F.count("*"), F.sum("depth")).first()
+        if tuple(now) == (known, found.agg(F.sum("depth")).first()[0]):
+            return after
+        found, known = after, now[0]
 
 
 LINEAGE_SQL = """

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions.orders import collapsed, may_be_evidence, order_flags
 from tessera.functions.runs import RUN, sample_texts, shared_runs
-from tessera.plans.provenance import MAX_BROADCAST_ROWS, best_pairs, claim_units, paged_documents, source_units
+from tessera.plans.matching import MAX_BROADCAST_ROWS, best_pairs
+from tessera.plans.provenance import claim_units, paged_documents, source_units
 from tessera.registry import query
 from tessera.sources.tables import table
 from tessera.storage import bounded, stored, written

@@ -37,14 +37,14 @@ def draft_sections(drafts: DataFrame, key: str, text: Column) -> DataFrame:
 
 
 @query(r"""
-WITH d AS (SELECT conv_id, string_split_regex('# Part ' || conv_id || chr(10) || chr(10) || text || chr(10) || chr(10) || '## Rest' || chr(10) || chr(10) || 'End.', '\n\n+') AS bs FROM conversations WHERE turn = 0),
-b AS (SELECT conv_id, unnest(range(len(l))) AS pos, unnest(l) AS block FROM (SELECT conv_id, list_filter(list_transform(bs, lambda x: trim(x)), lambda x: x <> '') AS l FROM d)),
+WITH d AS (SELECT conv_id || '-' || turn AS draft, string_split_regex('# Part ' || conv_id || chr(10) || chr(10) || text || chr(10) || chr(10) || '## Rest' || chr(10) || chr(10) || 'End.', '\n\n+') AS bs FROM conversations),
+b AS (SELECT draft, unnest(range(len(l))) AS pos, unnest(l) AS block FROM (SELECT draft, list_filter(list_transform(bs, lambda x: trim(x)), lambda x: x <> '') AS l FROM d)),
 h AS (SELECT *, nullif(regexp_extract(block, '^#{1,3}[\x20\x09]+([^\n]+)$', 1), '') AS heading FROM b)
-SELECT conv_id, pos::INT AS position, title, block AS content FROM (SELECT *, last_value(heading IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS title FROM h) WHERE heading IS NULL
+SELECT draft, pos::INT AS position, title, block AS content FROM (SELECT *, last_value(heading IGNORE NULLS) OVER (PARTITION BY draft ORDER BY pos ROWS UNBOUNDED PRECEDING) AS title FROM h) WHERE heading IS NULL
 """)
 def t17_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.lit("# Part "), "conv_id", F.lit("\n\n"), "text", F.lit("\n\n## Rest\n\nEnd."))
-    return draft_sections(table(spark, sf_dir, "conversations").where("turn = 0"), "conv_id", text)
+    return draft_sections(table(spark, sf_dir, "conversations").withColumn("draft", F.concat_ws("-", "conv_id", "turn")), "draft", text)
 
 
 @query(r"""
@@ -142,14 +142,14 @@ def attach_citations(drafts: DataFrame, key: str, text: str, sentences: DataFram
 
 
 @query(rf"""
-WITH d AS (SELECT conv_id, list_distinct(regexp_extract_all(text || ' [S' || conv_id % 50 || '][S' || (conv_id + 1) % 50 || '] [S' || conv_id % 50 || ']', '\[S([0-9]+)\]', 1)) AS c FROM conversations WHERE turn = 0)
-SELECT conv_id, sid::BIGINT AS sid, left(text, 280) AS quote FROM (SELECT conv_id, unnest(c) AS sid FROM d) JOIN benchmark ON item_id = sid::BIGINT WHERE NOT regexp_matches(lower(text), '{"|".join(X.INSTRUCTIONS)}')
+WITH d AS (SELECT conv_id || '-' || turn AS draft, list_distinct(regexp_extract_all(text || ' [S' || conv_id % 50 || '][S' || (conv_id + 1) % 50 || '] [S' || conv_id % 50 || ']', '\[S([0-9]+)\]', 1)) AS c FROM conversations)
+SELECT draft, sid::BIGINT AS sid, left(text, 280) AS quote FROM (SELECT draft, unnest(c) AS sid FROM d) JOIN benchmark ON item_id = sid::BIGINT WHERE NOT regexp_matches(lower(text), '{"|".join(X.INSTRUCTIONS)}')
 """)
 def v2_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("conv_id")
     text = F.concat("text", F.lit(" [S"), k % 50, F.lit("][S"), (k + 1) % 50, F.lit("] [S"), k % 50, F.lit("]"))
-    drafts = table(spark, sf_dir, "conversations").where("turn = 0").select("conv_id", text.alias("text"))
-    return attach_citations(drafts, "conv_id", "text", table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("sid"), F.col("text").alias("sentence")))
+    drafts = table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("draft"), text.alias("text"))
+    return attach_citations(drafts, "draft", "text", table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("sid"), F.col("text").alias("sentence")))
 
 
 def confidence_spans(rows: DataFrame, key: str, text: str, violations: Column) -> DataFrame:

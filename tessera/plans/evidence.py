@@ -22,10 +22,10 @@ def excerpts(sources: DataFrame, group: str, key: str, text: str) -> DataFrame:
     characters take part, cut before the shuffle; texts are fetched for
     carried rows.
     """
-    order = [F.asc(key)]
+    order = [F.col(key)]
     trimmed = sources.withColumn("excerpt", F.trim(text)).where("excerpt <> ''")
     slim = trimmed.select(group, key, F.length("excerpt").alias("chars"))
-    first = slim.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("place") <= TOTAL_CHARS)
+    first = slim.withColumn("nth", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("nth") <= TOTAL_CHARS).drop("nth")
     kept = source_budget(first, group, order, "chars", PER_FILE_CHARS, TOTAL_CHARS).where("carried > 0")
     ranked = kept.select(group, key, "carried", F.row_number().over(Window.partitionBy(group).orderBy(*order)).alias("rank"))
     carried = trimmed.join(ranked, [group, key])

@@ -7,19 +7,20 @@ the claim is missing from the window. The best score counts, then the narrower
 window, the smaller source, the earlier one.
 
 Claims and windows meet by the rare tokens that a pair must share, as
-``plans/anchor.py`` says. Rows carry at most the three units of one window, so
-the work grows with the length of a source, not with its square.
+``plans/matching.py`` says.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.units import UNITS, evidence_units, units_of, whole_unit
-from tessera.plans.anchor import COMMON, MAX_WINDOW, MIN_COEFFICIENT, MIN_OVERLAP, MIN_WORDS, NEAR_MISS_CHARS, NEAR_MISSES, QUOTE_CHARS
+from tessera.plans import matching
+from tessera.plans.anchor import COMMON, MIN_WORDS, NEAR_MISS_CHARS, NEAR_MISSES, QUOTE_CHARS
+from tessera.plans.matching import MIN_OVERLAP
 from tessera.registry import query
 from tessera.sources.tables import table
 from tessera.storage import bounded, written
@@ -70,68 +71,6 @@ def source_units(sources: DataFrame, key: str, text: str, common: list[str]) ->
     return written(_units(sources, key, text, evidence_units, _by_rarity(common)).select(F.col("key").alias("source"), "units").where(F.size("units") > 0))
 
 
-def _to_meet(size: Column) -> Column:
-    """How many of the rarest words of a side of that size must hold a shared one, where it is the shorter side."""
-    return (size - F.greatest(F.lit(MIN_OVERLAP), F.ceil(size * MIN_COEFFICIENT - 1e-6)) + 1).cast("int")
-
-
-def _near(units: DataFrame, *fields: str) -> DataFrame:
-    """source, start and near: the fields of the unit at ``start`` and of the two behind it."""
-    slim = F.transform("units", lambda u: F.struct(*[u[f].alias(f) for f in fields]))
-    near = F.transform(slim, lambda u, i: F.slice(slim, i + 1, MAX_WINDOW))
-    return units.select("source", F.posexplode(near).alias("start", "near"))
-
-
-def _together(near: Column, width: Column, field: str) -> Column:
-    return F.array_distinct(F.flatten(F.slice(near, F.lit(1), width)[field]))
-
-
-def _windows(units: DataFrame, *fields: str) -> DataFrame:
-    """source, start, width and near of every window."""
-    widths = F.sequence(F.lit(1), F.size("near"))
-    return _near(units, *fields).select("source", "start", "near", F.explode(widths).alias("width"))
-
-
-def candidate_pairs(claims: DataFrame, units: DataFrame) -> DataFrame:
-    """claim_id, source, start and width of all pairs that may reach the floor."""
-    asked = claims.select("claim_id", F.size("words").alias("claim_size"), "words")
-    largest = claims.agg(F.max(F.size("words"))).first()[0] or 0
-
-    # The claim is the shorter side, or as long: one of its rare words is in a sentence of the window.
-    rare = asked.select("claim_id", F.explode(F.slice("words", F.lit(1), _to_meet(F.col("claim_size")))).alias("word"))
-    told = units.select("source", F.posexplode("units").alias("position", "u")).select("source", "position", F.explode("u.words").alias("word"))
-    met = told.join(bounded(rare, MAX_BROADCAST_ROWS), "word").select("claim_id", "source", "position").distinct()
-    reach = [F.struct(F.lit(back).alias("back"), F.lit(width).alias("width")) for width in range(1, MAX_WINDOW + 1) for back in range(width)]
-    around = met.select("claim_id", "source", "position", F.explode(F.array(*reach)).alias("r")).where("position >= r.back")
-    first = around.select("claim_id", "source", (F.col("position") - F.col("r.back")).alias("start"), "r.width")
-
-    # The window is the shorter side: one of its rare words is in the claim. No sentence of it has more words than it.
-    some = _windows(units, "words").where(F.size(F.col("near")[0]["words"]) < largest)
-    worded = some.select("source", "start", "width", F.array_sort(_together(F.col("near"), F.col("width"), "words")).alias("words")).where(F.size("words") < largest)
-    sized = worded.select("source", "start", "width", F.size("words").alias("size"), F.explode(F.slice("words", F.lit(1), _to_meet(F.size("words")))).alias("word"))
-    every = asked.select("claim_id", "claim_size", F.explode("words").alias("word"))
-    second = sized.join(bounded(every, MAX_BROADCAST_ROWS), "word").where("size < claim_size").select("claim_id", "source", "start", "width")
-    return first.unionByName(second).distinct()
-
-
-def scored_pairs(claims: DataFrame, units: DataFrame, pairs: DataFrame) -> DataFrame:
-    """claim_id, source, start, width and score of the pairs that reach the floor and hold the claim's quantities."""
-    near = _near(units, "words", "numbers")
-    met = pairs.join(near, ["source", "start"]).where("width <= size(near)").join(claims.select("claim_id", F.col("words").alias("cw"), F.col("numbers").alias("cn")), "claim_id")
-    both = met.select("claim_id", "source", "start", "width", "cw", "cn", *[_together(F.col("near"), F.col("width"), f).alias(f) for f in ("words", "numbers")])
-    fit = both.where(F.size(F.array_except("cn", "numbers")) == 0)
-    shared = fit.select("claim_id", "source", "start", "width", F.size(F.array_intersect("cw", "words")).alias("shared"), F.least(F.size("cw"), F.size("words")).alias("least"))
-    scored = shared.where(F.col("shared") >= MIN_OVERLAP).select("claim_id", "source", "start", "width", (F.col("shared") / F.col("least")).alias("score"))
-    return scored.where(F.col("score") >= MIN_COEFFICIENT)
-
-
-def best_pairs(claims: DataFrame, units: DataFrame) -> DataFrame:
-    """Each claim's best window: claim_id, source, start, width, score."""
-    rank = F.struct((-F.col("score")).alias("score"), "width", "source", "start")
-    best = scored_pairs(claims, units, candidate_pairs(claims, units)).groupBy("claim_id").agg(F.min(rank).alias("b"))
-    return best.select("claim_id", "b.source", "b.start", "b.width", (-F.col("b.score")).alias("score"))
-
-
 def provenance(claims: DataFrame, units: DataFrame, held: DataFrame | None = None) -> DataFrame:
     """claim_id, source, page, quote, anchor_window, span and score of each claim that a source carries.
 
@@ -144,10 +83,10 @@ def provenance(claims: DataFrame, units: DataFrame, held: DataFrame | None = Non
     nothing. Claims without an anchor have no row; texts that are null, empty
     or without tokens are no claims and no evidence.
     """
-    best = best_pairs(claims, units)
+    best = matching.best_pairs(claims, units, MAX_BROADCAST_ROWS)
     if held is not None:
         best = best.join(held.select("claim_id", "source"), ["claim_id", "source"], "left_anti")
-    near = _near(units, "sentence", "page", "words").join(bounded(best.select("source", "start").distinct(), MAX_BROADCAST_ROWS), ["source", "start"], "left_semi")
+    near = matching.near(units, "sentence", "page", "words").join(bounded(best.select("source", "start").distinct(), MAX_BROADCAST_ROWS), ["source", "start"], "left_semi")
     met = best.join(near, ["source", "start"]).join(claims.select("claim_id", F.col("words").alias("cw")), "claim_id").withColumn("inside", F.slice("near", F.lit(1), F.col("width")))
 
     def fit(u: Column, i: Column) -> Column:
@@ -171,22 +110,9 @@ def provenance(claims: DataFrame, units: DataFrame, held: DataFrame | None = Non
 
 
 def near_misses(claims: DataFrame, units: DataFrame, most: int = NEAR_MISSES) -> DataFrame:
-    """The sentences that came closest to a claim without reaching the floor: claim_id, rank, source, position, sentence, score.
-
-    Both share four tokens, so one of all but the last three of each, in order
-    of rarity, is the first they share: only these meet.
-    """
-    rare = lambda words: F.explode(F.slice(words, F.lit(1), F.size(words) - (MIN_OVERLAP - 1)))
+    """The sentences that came closest to a claim without reaching the floor: claim_id, rank, source, position, sentence, score."""
     told = units.select("source", F.posexplode("units").alias("position", "u"))
-    asked = claims.select("claim_id", rare(F.col("words")).alias("word"))
-    pairs = told.select("source", "position", rare(F.col("u.words")).alias("word")).join(bounded(asked, MAX_BROADCAST_ROWS), "word").select("claim_id", "source", "position").distinct()
-    met = pairs.join(told.select("source", "position", "u.words"), ["source", "position"]).join(claims.select("claim_id", F.col("words").alias("cw")), "claim_id")
-    shared = F.size(F.array_intersect("cw", "words"))
-    scored = met.where(shared >= MIN_OVERLAP).select("claim_id", "source", "position", (shared / F.least(F.size("cw"), F.size("words"))).alias("score"))
-    missed = scored.where(F.col("score") < MIN_COEFFICIENT)
-    # Spark keeps the first rows of each claim before the shuffle, so no task orders all of a claim's pairs.
-    place = F.row_number().over(Window.partitionBy("claim_id").orderBy(F.desc("score"), "source", "position"))
-    best = missed.withColumn("rank", place).where(F.col("rank") <= most)
+    best = matching.missed_sentences(claims, told.select("source", "position", "u.words"), most, MAX_BROADCAST_ROWS)
     shown = told.select("source", "position", F.substring("u.sentence", 1, NEAR_MISS_CHARS).alias("sentence"))
     return best.join(shown, ["source", "position"]).select("claim_id", "rank", "source", "position", "sentence", F.round("score", 6).alias("score"))
 
@@ -215,7 +141,7 @@ def v20_provenance_gained(spark: SparkSession, sf_dir: str) -> DataFrame:
     claims, common = _benchmark_claims(spark, sf_dir)
     units = source_units(paged_documents(spark, sf_dir), "doc_id", "text", common)
     english = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("doc_id").alias("source"))
-    held = best_pairs(claims, units.join(english, "source", "left_semi"))
+    held = matching.best_pairs(claims, units.join(english, "source", "left_semi"))
     return provenance(claims, units, held)
 
 

@@ -9,6 +9,9 @@ from tessera.functions import sql
 from tessera.functions.text import words
 from tessera.registry import query
 from tessera.sources.tables import table
+from tessera.storage import bounded, written
+
+MAX_BROADCAST_ROWS = 1_000_000
 
 
 def term_counts(rows: DataFrame, key: str, text: Column) -> DataFrame:
@@ -60,14 +63,19 @@ def t7_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
 def top_sources(questions: DataFrame, docs: DataFrame, q_key: str, d_key: str, k: int) -> DataFrame:
     """The k sources most similar to each question by tf-idf cosine: score, place.
 
-    Only tokens of questions cross from the documents' side, apart from their
-    norms; tokens no document has weigh nothing.
+    The documents' tokens are counted once and written. Their norms need every
+    token's weight; scores need those of the questions' tokens only, which are
+    few, so no other token meets a question. Tokens no document has weigh
+    nothing.
     """
-    counts = term_counts(docs, d_key, F.col("text"))
-    idf = inverse_frequencies(counts, F.lit(docs.count()))
+    counts = written(term_counts(docs, d_key, F.col("text")))
+    idf = bounded(written(inverse_frequencies(counts, F.lit(docs.count())).select("token", "idf")), MAX_BROADCAST_ROWS)
     asked = weights(term_counts(questions, q_key, F.col("text")), idf, q_key).withColumnRenamed("weight", "asked")
-    told = weights(counts, idf, d_key)
-    scores = told.join(asked, "token").groupBy(q_key, d_key).agg(F.round(F.sum(F.col("weight") * F.col("asked")), 6).alias("score"))
+    weight = F.col("n") / F.col("length") * F.col("idf")
+    norms = counts.join(idf, "token").groupBy(d_key).agg(F.sqrt(F.sum(weight * weight)).alias("norm"))
+    told = counts.join(bounded(written(asked.join(idf, "token")), MAX_BROADCAST_ROWS), "token")
+    dots = told.groupBy(q_key, d_key).agg(F.sum(weight * F.col("asked")).alias("dot"))
+    scores = dots.join(norms, d_key).select(q_key, d_key, F.round(F.col("dot") / F.col("norm"), 6).alias("score"))
     best = Window.partitionBy(q_key).orderBy(F.desc("score"), d_key)
     return scores.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
 

@@ -37,9 +37,9 @@ def splice(body: Column, section: Column, leaf: Column, content: Column) -> Colu
 
 
 @query("""
-SELECT o_custkey AS document_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey, l_linenumber, l_returnflag = 'R', l_quantity) - 1 AS position, o_orderkey AS section, l_linenumber AS id, CASE WHEN l_returnflag = 'R' THEN 'table' ELSE 'paragraph' END AS type
-FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey % 5 = 0 OR o_custkey % 5 > 0
-""".replace(" WHERE o_custkey % 5 = 0 OR o_custkey % 5 > 0", "").replace("l_returnflag = 'R', l_quantity", "CASE WHEN l_returnflag = 'R' THEN 'table' ELSE 'paragraph' END, l_quantity::VARCHAR"))
+SELECT o_custkey AS document_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey, l_linenumber, CASE WHEN l_returnflag = 'R' THEN 'table' ELSE 'paragraph' END, l_quantity::VARCHAR) - 1 AS position, o_orderkey AS section, l_linenumber AS id, CASE WHEN l_returnflag = 'R' THEN 'table' ELSE 'paragraph' END AS type
+FROM orders JOIN lineitem ON l_orderkey = o_orderkey
+""")
 def n1_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every leaf of each document with its place."""
     rows = documents_of(spark, sf_dir).select("document_id", F.posexplode(flatten_nodes(F.col("body"))).alias("position", "n"))

@@ -1,12 +1,16 @@
 """Rules of single functions on small rows."""
 
+import decimal
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
 from tessera.operators.analytics import running_mean
-from tessera.operators.windows import merge_short, running_totals, sentence_windows
+from tessera.operators.windows import merge_short, running_totals, sentence_windows, source_budget, source_carry
 from tessera.plans.anchor import anchors, claims_of
+from tessera.plans.conflicts import ancestors
 from tessera.plans.evidence import excerpts, judge
 from tessera.plans.ledger import check_relations, facts_of
 from tessera.sources.readers import page_text, read_cases, read_texts
@@ -107,6 +111,45 @@ def test_page_text():
     assert page_text(None) == page_text("") == ("", "")
 
 
+def test_page_text_keeps_lines_and_is_linear():
+    assert page_text("<body>one\n two  x<p>three\n\n\n four</p></body>") == ("", "one\ntwo x three\nfour")
+    assert page_text("a</nav>b<nav>c<nav>d</nav>e</nav>f<header/>g") == ("", "a b f g")
+    start = time.perf_counter()
+    assert page_text("<p>x" * 100_000)[1] == " ".join("x" * 100_000)
+    assert time.perf_counter() - start < 5
+
+
+def test_running_mean_of_odd_rows(spark):
+    rows = [("b", n, 1.00005 * n) for n in range(3000)] + [("a", 1, 2.0), ("a", 2, None), ("a", 3, 1.0), (None, 1, 4.0)]
+    got = {r.key: (r.score, r.uses) for r in running_mean(spark.createDataFrame(rows, "key string, at int, x double"), "key", ("at",), "x").collect()}
+    mean = 0.0
+    for n in range(3000):
+        mean = float(decimal.Decimal(repr((mean * n + 1.00005 * n) / (n + 1))).quantize(decimal.Decimal("0.0001"), decimal.ROUND_HALF_UP))
+    assert got == {"a": (None, 3), "b": (mean, 3000), None: (4.0, 1)}
+
+
+def test_ancestors_of_cycles_and_long_chains(spark):
+    links = [(n, n + 1) for n in range(100)] + [(200, 201), (201, 202), (202, 201), (300, None)]
+    got = {(r.node, r.ancestor): r.depth for r in ancestors(spark.createDataFrame(links, "node long, parent long")).collect()}
+    want = {(a, b): b - a for a in range(100) for b in range(a + 1, 101)}
+    want |= {(200, 201): 1, (200, 202): 2, (201, 202): 1, (201, 201): 2, (202, 201): 1, (202, 202): 2}
+    assert got == want
+
+
+def test_merged_sentences_are_linear(spark):
+    parts = ["a b"] * 50_000 + ["c d e"]
+    got = spark.createDataFrame([(1, parts), (2, None), (3, [])], "k int, p array<string>").select("k", merge_short(F.col("p"), 4).alias("m")).collect()
+    assert {r.k: r.m for r in got} == {1: [" ".join(parts)], 2: None, 3: []}
+
+
+def test_budgets_of_groups_over_many_partitions(spark):
+    rows = [("a", n, 3000) for n in range(50)] + [(None, 1, 7), ("b", 1, None)]
+    frame = spark.createDataFrame(rows, "g string, k long, chars long")
+    got = {(r.g, r.k): (r.carried, r.truncated) for r in source_budget(frame.repartition(9), "g", [F.col("k")], "chars").collect()}
+    assert [got["a", n][0] for n in range(7)] == [3000] * 5 + [1000, 0] and got["a", 5] == (1000, True) and got[None, 1] == (7, False)
+    assert {(r.g, r.k): r.carried for r in source_carry(frame, "g", [F.col("k")], "chars", total=9000).collect()}["a", 3] is False
+
+
 def test_readers(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes(b"caf\xc3\xa9")
     (tmp_path / "cases.json").write_text('{"cases": [{"id": 1, "task": "t"}, {"id": 2, "task": "u"}]}')
