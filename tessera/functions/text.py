@@ -25,6 +25,11 @@ def all_matches(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(group))
 
 
+def folded(text: Column) -> Column:
+    """The text without differences of case, sharp s as two letters."""
+    return F.replace(F.lower(F.upper(text)), F.lit("ß"), F.lit("ss"))
+
+
 def words(text: Column) -> Column:
     """Runs of a-z and 0-9 of the text in lower case, repeats included."""
     return all_matches(F.lower(text), "[a-z0-9]+")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.orders import collapsed, may_be_evidence, order_flags
+from tessera.functions.text import folded
 from tessera.functions.runs import RUN, sample_texts, shared_runs
 from tessera.plans.matching import MAX_BROADCAST_ROWS, best_pairs
 from tessera.plans.provenance import claim_units, paged_documents, source_units
@@ -48,7 +49,7 @@ def without_ask(prompt: Column, ask: Column) -> Column:
 
 def normal_tokens(text: Column) -> Column:
     """Letters and digits of the words, case folded, in order."""
-    plain = F.transform(F.split(text, r"(?U)[^\w]+"), lambda t: F.regexp_replace(F.lower(F.upper(t)), r"[^\p{L}\p{N}]", ""))
+    plain = F.transform(F.split(text, r"(?U)[^\w]+"), lambda t: F.regexp_replace(folded(t), r"[^\p{L}\p{N}]", ""))
     return F.filter(plain, lambda t: t != "")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from html import unescape
 
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from tessera.operators.joins import host_policy
 from tessera.registry import query
 from tessera.sources.tables import table
+from tessera.storage import checkpoint_dir
 
 #: Extensions of files that are text as they are.
 TEXT_EXTENSIONS = "txt md json csv rst yaml yml".split()
@@ -30,7 +32,30 @@ def read_texts(spark: SparkSession, paths: list[str], glob: str = "*") -> DataFr
     """path, name and text of whole files; bytes that are no UTF-8 become the replacement character."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(paths)
     name = F.element_at(F.split("path", "/"), -1)
-    return files.select("path", name.alias("name"), F.decode("content", "UTF-8").alias("text"))
+    return files.select("path", name.alias("name"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
+
+
+def as_uploads(files: DataFrame) -> DataFrame:
+    """``files`` (name, text) with parser, source_kind and page_count: text-like ones are taken whole, others go to another parser, without text."""
+    routed = files.withColumn("parser", parser_of(F.col("name"), F.lit(None)))
+    plain = F.col("parser") == "text"
+    return routed.withColumn("source_kind", F.when(plain, "text")).withColumn("page_count", F.when(plain, 1)).withColumn("text", F.when(plain, F.col("text")))
+
+
+@query("""
+SELECT item_id, 'jdf' AS parser, NULL AS chars, NULL AS digest FROM benchmark WHERE item_id % 4 = 3
+UNION ALL SELECT item_id, 'text', length(text) + 1, sha256(text || chr(10)) FROM benchmark WHERE item_id % 4 < 3
+""")
+def s4_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages written as files of several kinds to the shared folder, and read as uploads."""
+    folder = f"{checkpoint_dir(spark)}/uploads-{uuid.uuid4().hex}"
+    kinds = F.array(*[F.lit(k) for k in ("txt", "md", "yaml", "bin")])
+    rows = table(spark, sf_dir, "benchmark").select("text", "item_id", F.element_at(kinds, (F.col("item_id") % 4 + 1).cast("int")).alias("kind"))
+    # One file a passage; Spark names it, and the folder's name carries the upload's.
+    rows.repartition("item_id").write.partitionBy("kind", "item_id").text(folder)
+    files = read_texts(spark, [f"{folder}/*/*/*.txt"])
+    found = files.select(F.regexp_extract("path", "item_id=([0-9]+)", 1).cast("long").alias("item_id"), F.concat(F.lit("upload."), F.regexp_extract("path", "kind=([a-z]+)", 1)).alias("name"), "text")
+    return as_uploads(found).select("item_id", "parser", F.length("text").cast("long").alias("chars"), F.sha2("text", 256).alias("digest"))
 
 
 def read_cases(spark: SparkSession, path: str) -> DataFrame:

@@ -9,9 +9,11 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.registry import query
 from tessera.sources.tables import table
@@ -47,20 +49,34 @@ def drained(stream: DataFrame, mode: str = "append", each: Callable[[DataFrame,
     return spark.read.schema(schema).parquet(f"{folder}/out")
 
 
-def first_seen(stream: DataFrame, key: str, delay: str) -> DataFrame:
-    """The first event of each key; keys may repeat within the watermark's delay, after which they are forgotten."""
-    return stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark([key])
+def first_seen(stream: DataFrame, folder: str) -> Callable[[DataFrame, int], None]:
+    """A writer of a stream's batches that keeps only rows which no earlier batch had.
+
+    What was seen is the table itself, so nothing is forgotten and no state
+    grows in memory; a batch that is delivered again sees the batches before
+    it only, and replaces what it wrote.
+    """
+    schema = stream.schema
+
+    def write(batch: DataFrame, number: int) -> None:
+        fresh = batch.distinct()
+        if number:
+            before = batch.sparkSession.read.schema(T.StructType([*schema.fields, T.StructField("n", T.IntegerType())])).parquet(f"{folder}/out").where(F.col("n") < number)
+            same = [fresh[c].eqNullSafe(before[c]) for c in schema.names]
+            fresh = fresh.join(before, reduce(lambda a, b: a & b, same), "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{folder}/out/n={number}")
+
+    return write
 
 
 @query("SELECT lower(event_type) || '-' || user_id AS claim FROM events GROUP BY 1")
 def r1_distinct_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Claims verified once each while they stream in, whatever the case of their letters.
-
-    The stream forgets keys after 90 days; keys that come again later are told
-    apart where its output is read.
-    """
-    claims = event_stream(spark, sf_dir).select(F.concat_ws("-", F.lower("event_type"), "user_id").alias("claim"), "ts")
-    return drained(first_seen(claims, "claim", "90 days").select("claim")).select("claim").distinct()
+    """Claims verified once each while they stream in, whatever the case of their letters and however late they come again."""
+    folder = shared_folder(spark)
+    claims = event_stream(spark, sf_dir).select(F.concat_ws("-", F.lower("event_type"), "user_id").alias("claim"))
+    run = claims.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(first_seen(claims, folder)).start()
+    run.awaitTermination()
+    return spark.read.schema(claims.schema).parquet(f"{folder}/out").select("claim")
 
 
 def quiet_periods(events: DataFrame, key: str, gap: str) -> DataFrame:

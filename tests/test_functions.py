@@ -152,6 +152,9 @@ def test_budgets_of_groups_over_many_partitions(spark):
 
 def test_readers(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes(b"caf\xc3\xa9")
+    (tmp_path / "b.bad").write_bytes(b"a\xffb\xe2\x82")
+    bad = b"a\xffb\xe2\x82".decode("utf-8", errors="replace")
+    assert [r.text for r in read_texts(spark, [str(tmp_path)], "*.bad").collect()] == [bad]
     (tmp_path / "cases.json").write_text('{"cases": [{"id": 1, "task": "t"}, {"id": 2, "task": "u"}]}')
     assert [r.text for r in read_texts(spark, [str(tmp_path)], "*.txt").collect()] == ["café"]
     assert sorted(r.id for r in read_cases(spark, str(tmp_path / "cases.json")).collect()) == [1, 2]

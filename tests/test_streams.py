@@ -4,10 +4,12 @@ import datetime
 import random
 
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from tessera.streaming import states
 from tessera.streaming.debounce import openings, shared_windows
+from tessera.streaming.jobs import first_seen
 
 START = datetime.datetime(2024, 1, 1, tzinfo=datetime.timezone.utc)
 MOVES = "job_id string, stage string, move_id long, ts timestamp"
@@ -108,6 +110,33 @@ def test_a_batch_that_always_fails_fails(spark, tmp_path):
         states.delivered(stream, str(tmp_path), states.written_once(str(tmp_path), lambda number: True), tries=2)
 
 
+def test_rows_are_first_seen_once(spark, tmp_path):
+    """Rows repeat within and across batches, after any time, and one batch is delivered twice."""
+    schema = "a string, b long"
+    batches = [[("x", 1), ("x", 1), (None, 2)], [("x", 1), ("y", None)], [(None, 2), ("y", None), ("x", 2), ("x", 2)]]
+    failed = []
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        for _ in range(2):
+            stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+            write = first_seen(stream, str(tmp_path))
+
+            def once_more(batch, number):
+                write(batch, number)
+                if number not in failed:
+                    failed.append(number)
+                    raise states.RedeliveredError("lost")
+
+            run = stream.writeStream.option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).foreachBatch(once_more).start()
+            try:
+                run.awaitTermination()
+            except StreamingQueryException as lost:
+                assert "RedeliveredError: lost" in str(lost)
+    got = spark.read.schema(schema).parquet(f"{tmp_path}/out").select("a", "b").collect()
+    assert sorted(map(str, got)) == sorted(f"Row(a={a!r}, b={b!r})" for a, b in {r for rows in batches for r in rows})
+    assert failed == [0, 1, 2]
+
+
 def plain_windows(points, hold):
     found = {}
     for key, t in sorted(points, key=lambda p: (str(p[0]), p[1])):
