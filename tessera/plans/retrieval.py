@@ -91,21 +91,3 @@ SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY
 """)
 def t8_topk_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_sources(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), "item_id", "doc_id", 5)
-
-
-@query("""
-SELECT label, vec_id, other, place, score FROM (
-  SELECT a.label, a.vec_id, b.vec_id AS other, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score,
-         row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) DESC, b.vec_id) AS place
-  FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0) WHERE place <= 3
-""")
-def e_topk_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three nearest vectors of its label for every query, the rows whose id is divisible by 20, against all rows."""
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    unit = rows.withColumn("norm", F.sqrt(dot("v", "v")))
-    asked = unit.where("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), F.col("label"), F.col("v").alias("qv"), F.col("norm").alias("qnorm"))
-    pairs = unit.join(asked, "label").where("q <> vec_id")
-    scored = pairs.select("label", F.col("q").alias("vec_id"), F.col("vec_id").alias("other"), F.round(dot("v", "qv") / (F.col("norm") * F.col("qnorm")), 6).alias("score"))
-    place = F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("score"), "other"))
-    return scored.withColumn("place", place).where("place <= 3")
