@@ -136,3 +136,21 @@ def test_picks_explore_as_often_as_asked(spark, epsilon, least, most):
     if epsilon == 1.0:
         assert min(Counter(r.name for r in of).values()) > 50
     assert sorted(map(str, found)) == sorted(map(str, A.pick(frame.repartition(7), "g", "name", "score", "uses", "seed", epsilon).collect()))
+
+
+def test_exports(spark, tmp_path):
+    from tessera.plans import exports as E
+    from tessera.sources.readers import read_texts
+
+    block = "struct<type:string,title:string,content:string,caption:string,alt:string,src:string,language:string>"
+    rows = [("a", "T & <b>", [("", [("callout", " x ", None, None, None, None, None), ("table", None, None, None, None, None, None), ("paragraph", None, " ", None, None, None, None), ("codeBlock", None, None, None, None, None, None)]), (None, [])]), ("b", "Empty", [])]
+    docs = spark.createDataFrame(rows, f"name string, title string, body array<struct<title:string,children:array<{block}>>>")
+    made = docs.select("name", E.to_markdown(F.col("title"), F.col("body")).alias("text"), E.to_html(F.col("title"), F.col("body"), "p{}").alias("html"))
+    got = {r.name: r for r in made.collect()}
+    assert got["a"].text == "# T & <b>\n\n## Section\n\n> x\n\nTable\n\n```text\n```\n\n## Section\n"
+    assert got["b"].text == "# Empty\n"
+    assert "<title>T &amp; &lt;b&gt;</title>\n<style>p{}</style>" in got["a"].html
+    assert got["a"].html.endswith('<h2>Section</h2>\n<blockquote><p>x</p></blockquote>\n<p>Table</p>\n<pre><span class="code-lang-label">text</span><code class="language-text"></code></pre>\n<h2>Section</h2>\n</body>\n</html>\n')
+    E.write_files(made, str(tmp_path / "out"))
+    read = {r.path.split("name=")[1].split("/")[0]: r.text for r in read_texts(spark, [f"{tmp_path}/out/*"], "*.txt").collect()}
+    assert read == {name: r.text for name, r in got.items()}
