@@ -4,12 +4,13 @@ Documents are cut into blocks. A block explodes its texts into pre-tokens with
 positions, keeps each distinct word once, and writes every document as the
 sequence of its words' ranks by frequency, so a position costs little over a
 byte. The words leave the block grouped by a hash of the word: equal words of
-all blocks meet in one bucket, where each is encoded once. The buckets' ids
-are joined back by block, and every document is put together again by
-position.
+all blocks meet in one bucket, where each is encoded once as the rows stream
+past in order of bucket. The buckets' ids are joined back by block, and every
+document is put together again by position.
 
 Words travel packed, a row for each block and bucket, since a row for each
-word or position would move several times the text. Sequences and words come
+word or position would move several times the text. There are as many buckets
+as shuffle partitions, whatever the input, so rows grow with the blocks alone. Sequences and words come
 from two readings of the documents: reading twice is cheaper than a copy of
 the sequences in the shared folder. A block is named after its content, and
 putting it together fails if the two readings disagree.
@@ -36,6 +37,8 @@ from tessera.llm.shared import read, shuffle_partitions
 BLOCK_CHARS = 6_000_000
 BLOCK_DOCS = 20_000
 LEVEL = 3
+#: Words of a bucket whose ids a task remembers: so many of the latest, and as many of those before them.
+REMEMBERED = 1_000_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -163,20 +166,38 @@ def _words(buckets: int) -> Callable[[str, _Block], pa.RecordBatch]:
     return make
 
 
-def _encode_bucket(path: str) -> Callable[[pa.Table], pa.Table]:
-    """Encodes each distinct word of a bucket once; gives every block's words' ids in the block's order."""
+def _encode_buckets(path: str, remembered: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Encodes the words of rows sorted by bucket, each distinct word of a bucket once; gives every block's words' ids in the block's order.
 
-    def run(rows: pa.Table) -> pa.Table:
+    A task holds a row and the ids of the bucket's words; of a bucket with more
+    than ``remembered`` words those not seen lately are encoded again.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = coder(path).encode
         known: dict[bytes, bytes] = {}
-        packed = []
-        for frame in rows.column("words"):
-            words = _unpack(frame.as_py())
-            for w in words:
-                if w not in known:
-                    known[w] = np.array(encode(w.decode()), dtype="<u4").tobytes()
-            packed.append(_pack([known[w] for w in words]))
-        return pa.table({"block": rows.column("block"), "ranks": rows.column("ranks"), "coded": pa.array(packed, pa.binary())})
+        before: dict[bytes, bytes] = {}
+        now = None
+
+        def ids(word: bytes) -> bytes:
+            nonlocal known, before
+            found = known.get(word)
+            if found is None:
+                found = before.get(word)
+                if found is None:
+                    found = np.array(encode(word.decode()), dtype="<u4").tobytes()
+                if len(known) >= remembered:
+                    known, before = {}, known
+                known[word] = found
+            return found
+
+        for batch in batches:
+            packed = []
+            for bucket, frame in zip(batch.column("bucket").to_pylist(), batch.column("words"), strict=True):
+                if bucket != now:
+                    known, before, now = {}, {}, bucket
+                packed.append(_pack(list(map(ids, _unpack(frame.as_py())))))
+            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("ranks"), pa.array(packed, pa.binary())], names=["block", "ranks", "coded"])
 
     return run
 
@@ -214,15 +235,16 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
     ``docs`` is read twice and must come alike both times, as files do; a
     block that does not match fails. decoded_sha256 is that of the bytes that
     the ids decode to, which are the text's. A null or empty text has no
-    tokens. Null ids and repeated rows are returned as they come; no rows give
+    tokens; a text of any length is encoded whole, in a block of its own if it
+    is longer than one. Null ids and repeated rows are returned as they come; no rows give
     no rows; other columns are ignored.
     """
     texts = docs.select(F.col(id_col).cast("long"), text_col)
-    # A bucket gets a share of every block; one for each piece of the scan keeps it near a block's size.
-    buckets = max(shuffle_partitions(docs.sparkSession), texts.rdd.getNumPartitions())
+    buckets = shuffle_partitions(docs.sparkSession)
     sequences = texts.mapInArrow(_blocks(pattern, _sequences), "block string, ids array<long>, lengths array<int>, codes binary")
     words = texts.mapInArrow(_blocks(pattern, _words(buckets)), "block string, bucket int, ranks binary, words binary")
-    coded = words.groupBy("bucket").applyInArrow(_encode_bucket(path), "block string, ranks binary, coded binary")
+    dealt = words.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    coded = dealt.mapInArrow(_encode_buckets(path, REMEMBERED), "block string, ranks binary, coded binary")
     out = "id long, n_tokens long, token_ids binary, ids_sha256 string, decoded_sha256 string"
     return sequences.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(_reassemble(path), out).withColumnRenamed("id", id_col)
 
