@@ -7,13 +7,18 @@ from pyspark.sql import functions as F
 
 from tessera.storage import checkpoint_dir, stored
 
-__all__ = ["SPACE_CLASS", "WORD_CLASS", "bounded", "checkpoint_dir", "fresh", "read", "shuffle_partitions", "single_spaced", "stored", "whole", "word_count"]
+__all__ = ["SPACE_CLASS", "WORD_CLASS", "bounded", "checkpoint_dir", "fresh", "met_by_key", "read", "shuffle_partitions", "single_spaced", "stored", "whole", "word_count"]
 
 #: White space of the corpus contracts: space and U+0009 to U+000D, nothing else.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_CLASS = r"[^\x20\x09-\x0D]"
 
 
+#: A key with more than 1 / (HOT_SHARE * partitions) of all rows is hot, if it has so many rows at least.
+HOT_SHARE = 8
+LEAST_HOT = 1_000
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -26,6 +31,20 @@ def bounded(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def met_by_key(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined with ``table``, which is stored and has one row a key, and in ``n`` how many of ``rows`` have it.
+
+    Keys with more than one in ``HOT_SHARE * partitions`` of all rows meet their
+    rows by broadcast, where these are; there are at most so many such keys,
+    whatever the data. The others are shuffled.
+    """
+    total = table.agg(F.sum("n")).first()[0] or 0
+    limit = max(LEAST_HOT, total // (HOT_SHARE * shuffle_partitions(rows.sparkSession)))
+    hot = F.broadcast(table.where(F.col("n") > limit).drop("n"))
+    cold = rows.join(hot.select(key), key, "left_anti").join(table.where(F.col("n") <= limit).drop("n"), key)
+    return rows.join(hot, key).unionByName(cold)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, with underscores behind it until ``df`` has no such column, letters' case apart."""
     taken = {c.lower() for c in df.columns}

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.components import connected_components
-from tessera.llm.shared import bounded, fresh, read, stored
+from tessera.llm.shared import bounded, fresh, met_by_key, read, stored
 
 MAX_BITS = 4
 #: First bit and number of bits of each segment.
@@ -225,18 +225,20 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """One row per row of ``docs``: id, fp (signed long), component_id (the smallest id reachable over links).
 
     Equal texts have one fingerprint and so one component. Null and empty
-    texts have fingerprint zero and link like any other. Null ids are passed
+    texts have fingerprint zero and link like any other; very long texts are
+    read whole, like others. Null ids are passed
     over when the smallest is sought; a component of null ids only has a null
     one. Rows that repeat, ids too, are all returned. No rows give no rows;
     other columns are ignored.
     """
     known = stored(fingerprints(docs, id_col, text_col))
-    distinct = stored(known.groupBy("fp").agg(F.min("id").alias("least_id")))
+    distinct = stored(known.groupBy("fp").agg(F.min("id").alias("least_id"), F.count("*").alias("copies")))
     nodes = connected_components(fingerprint_links(distinct.select("fp")))
-    grouped = distinct.join(nodes, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("component"), "least_id")
-    least = grouped.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    of = grouped.join(least, "component").select("fp", "component_id")
-    return known.join(of, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    grouped = distinct.join(nodes, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("component"), "least_id", "copies")
+    grouped = stored(grouped)
+    least = stored(grouped.groupBy("component").agg(F.min("least_id").alias("component_id"), F.count("*").alias("n")))
+    of = stored(met_by_key(grouped, least, "component").select("fp", "component_id", F.col("copies").alias("n")))
+    return met_by_key(known, of, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from odd_rows import TEXTS
 
 from oracle import assert_same, connect
-from tessera.llm import bpe, catalog, exact_dedup, line_templates, mixing, pii, quality, simhash, token_files, url_filter, vector_dedup
+from tessera.llm import bpe, catalog, exact_dedup, line_templates, mixing, pii, quality, shared, simhash, token_files, url_filter, vector_dedup
 from tessera.llm.components import connected_components
 from tessera.llm.shared import checkpoint_dir, read
 
@@ -300,6 +300,19 @@ def test_bpe(spark, odd, sf_dir, monkeypatch):
     assert {tuple(r) for r in catalog.QUERIES["op7_bpe"](spark, sf_dir).collect()} == want
 
 
+@pytest.mark.parametrize("remembered", [1_000_000, 3])
+def test_bpe_does_not_depend_on_buckets_or_memory(spark, sf_dir, monkeypatch, remembered):
+    monkeypatch.setattr(bpe, "REMEMBERED", remembered)
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    docs = read(spark, sf_dir, "documents").where("doc_id < 60")
+    want = brute.bpe_rows([tuple(r) for r in docs.select("doc_id", "text").collect()], BPE, P.PATTERN)
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "13" if remembered == 3 else "2")
+        assert {tuple(r) for r in bpe.encode_documents(docs, BPE, P.PATTERN).drop("token_ids").collect()} == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+
+
 def test_bpe_round_trip(odd):
     coder = bpe.coder(BPE)
     for r in bpe.encode_documents(odd.where("doc_id = 9"), BPE, P.PATTERN).collect():
@@ -396,6 +409,16 @@ def test_simhash(spark, sf_dir):
     assert {tuple(r) for r in catalog.QUERIES["op9_simhash"](spark, sf_dir).collect()} == brute.simhash_rows(rows)
 
 
+def test_hot_fingerprints_and_components(spark, monkeypatch):
+    """A third of the rows is empty, another third one text; a component has very many fingerprints."""
+    monkeypatch.setattr(shared, "LEAST_HOT", 3)
+    words = [f"w{n}" for n in range(60)]
+    rows = [(n, None if n % 3 == 0 else "the same text here again" if n % 3 == 1 else " ".join(words[: 40 + n % 5] + [str(n % 11)])) for n in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = simhash.near_dedup(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")), "component_id").collect()
+    assert len(got) == 600 and {tuple(r) for r in got} == brute.simhash_rows(rows)
+
+
 @pytest.mark.parametrize("block", [2048, 8])
 def test_fingerprint_links(spark, block, monkeypatch):
     monkeypatch.setattr(simhash, "BLOCK", block)
