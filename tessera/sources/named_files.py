@@ -77,3 +77,17 @@ def s16_named_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     table(spark, sf_dir, "region").select("r_name").coalesce(1).sortWithinPartitions("r_name").write.text(folder)
     named = read_named(spark, f"Which regions do the files @{folder}/*.txt list?")
     return named.select("place", F.regexp_extract("section", "(?s)```txt\n(.*)\n```$", 1).alias("text"))
+
+
+@query("""
+SELECT row_number() OVER (ORDER BY item_id::VARCHAR || '/') - 1 AS place, item_id, text FROM (
+  SELECT item_id, text FROM benchmark WHERE item_id::VARCHAR LIKE '1%' ORDER BY item_id::VARCHAR || '/' LIMIT 20)
+""")
+def s16_named_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages in files of their own, of which a prompt names some by a glob: the first twenty, as a prompt's context holds."""
+    folder = f"{checkpoint_dir(spark)}/named-{uuid.uuid4().hex}"
+    rows = table(spark, sf_dir, "benchmark").select("text", "item_id")
+    rows.repartition("item_id").write.partitionBy("item_id").text(folder)
+    named = read_named(spark, f"Compare what `{folder}/item_id=1*/*.txt` say, please.")
+    item = F.regexp_extract("path", "item_id=([0-9]+)", 1).cast("long")
+    return named.select(F.col("place").cast("long").alias("place"), item.alias("item_id"), F.regexp_extract("section", "(?s)```txt\n(.*)\n```$", 1).alias("text"))
