@@ -153,6 +153,94 @@ def test_quality_reruns_agree_and_read_every_source(spark, sf_dir):
     assert gathered.count() <= quality.SOURCE_GROUPS * 4 * quality.GATHERED
 
 
+def _plain_quality(rows, labels):
+    """Co-training written with dense rows and all documents held at once: weights, calibrations and combination."""
+    from zlib import crc32
+
+    q = quality
+    order = sorted(rows, key=lambda i: (crc32(str(i).encode()), i))
+    dense = {}
+    for i, row in rows.items():
+        pair = []
+        for (slots, values), size in zip(q.views(*row), (q.TEXT_SIZE, q.META_SIZE)):
+            x = np.zeros(size)
+            np.add.at(x, slots, values)
+            pair.append(x.astype(np.float32).astype(float) if size == q.TEXT_SIZE else x)
+        dense[i] = pair
+    known = [i for i in order if i in labels]
+    y = np.array([float(labels[i] >= 0.5) for i in known])
+    place = np.arange(len(y))
+    first, second = place % 8 == 0, place % 8 == 4
+    kept = ~(first | second)
+    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+    def fit(x, y, w):
+        share = np.where(y > 0.5, 0.5 / max(1, (y > 0.5).sum()), 0.5 / max(1, (y <= 0.5).sum()))
+        m = v = np.zeros(x.shape[1])
+        for t in range(1, q.STEPS + 1):
+            g = x.T @ ((sigmoid(x @ w) - y) * share) + q.RIDGE * w
+            m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+            w = w - 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+        return w
+
+    all_rows = [np.array([dense[i][v] for i in known]) for v in (0, 1)]
+    x, seen = [a[kept] for a in all_rows], [y[kept], y[kept]]
+    w = [fit(x[v], seen[v], np.zeros(x[v].shape[1])) for v in (0, 1)]
+    free = [i for i in order if i not in labels]
+    for _ in range(q.ROUNDS):
+        p = [sigmoid(np.array([dense[i][v] for i in free]) @ w[v]) for v in (0, 1)]
+        gone, more = set(), [[], []]
+        for v in (0, 1):
+            for label, sure, other in ((1.0, p[v], p[1 - v]), (0.0, 1 - p[v], 1 - p[1 - v])):
+                best = [j for j in np.argsort(-sure, kind="stable").tolist() if sure[j] >= q.CONFIDENT and other[j] >= q.DOUBT][: q.EXCHANGED]
+                more[1 - v] += [(free[j], label) for j in best]
+                gone |= {free[j] for j in best}
+        if not gone:
+            continue
+        for v in (0, 1):
+            if more[v]:
+                x[v] = np.concatenate([x[v], [dense[i][v] for i, _ in more[v]]])
+                seen[v] = np.concatenate([seen[v], [label for _, label in more[v]]])
+        free = [i for i in free if i not in gone]
+        w = [fit(x[v], seen[v], w[v]) for v in (0, 1)]
+    return w, [a @ v for a, v in zip(all_rows, w)], y, (first, second)
+
+
+def test_rounds_equal_plain_cotraining(spark, sf_dir, monkeypatch):
+    """Every round chooses from all documents; with room for all of them a dense version chooses the same."""
+    monkeypatch.setattr(quality, "GATHERED", 10_000)
+    monkeypatch.setattr(quality, "EXCHANGED", 25)
+    folder = sf_dir.replace("sf0.001", "sf0.01")
+    docs = read(spark, folder, "documents").where("doc_id < 500")
+    labels = read(spark, folder, "labels")
+    rows = {r.doc_id: (r.text, r.lang, r.source, float(r.n_chars)) for r in docs.collect()}
+    own = {r.doc_id: r.quality for r in labels.collect() if r.doc_id in rows}
+    model = quality.train(docs, labels.where("doc_id < 500"))
+    weights, logits, y, parts = _plain_quality(rows, own)
+    for v in (0, 1):
+        assert np.allclose(model.weights[v], weights[v], atol=1e-6)
+    seen, answers = [], []
+    for fitted, shown in (parts, parts[::-1]):
+        calibrated = []
+        for x in logits:
+            a, b = quality._platt(x[fitted][:, None], y[fitted])
+            calibrated.append(np.clip(a * x[shown] + b, -12, 12))
+        seen.append(np.column_stack(calibrated))
+        answers.append(y[shown])
+    x, answers = np.concatenate(seen), np.concatenate(answers)
+
+    def loss(w):
+        """What the combination keeps small, a weight below zero forbidden."""
+        return np.logaddexp(0, (1 - 2 * answers) * (x @ w[:2] + w[2])).sum() + ((w[:2] - 0.5) ** 2).sum() / 2 + w[2] ** 2 / 2
+
+    assert (model.combination[:2] >= 0).all()
+    rng = np.random.default_rng(2)
+    for step in rng.normal(size=(300, 3)) * 0.05:
+        other = model.combination + step
+        other[:2] = np.where(model.combination[:2] == 0, 0, other[:2])
+        assert loss(other) >= loss(model.combination) - 1e-9 or (other[:2] < 0).any()
+
+
 # 4 line templates
 
 
