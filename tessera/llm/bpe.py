@@ -99,19 +99,26 @@ def _unpack_numbers(frame: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").reshape(-1).astype(np.int64)
 
 
+class _Numbers(dict):
+    """Words numbered as they are first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        return number
+
+
 class _Block:
     """Documents, their pre-tokens numbered as first seen, and a checksum of it all."""
 
     def __init__(self) -> None:
         self.ids: list[int | None] = []
         self.codes: list[np.ndarray] = []
-        self.numbers: dict[str, int] = {}
+        self.numbers = _Numbers()
         self.chars = self.check = 0
 
     def add(self, ident: int | None, text: str, found: list[str]) -> None:
-        numbers = self.numbers
         self.ids.append(ident)
-        self.codes.append(np.fromiter((numbers.setdefault(w, len(numbers)) for w in found), dtype=np.int32, count=len(found)))
+        self.codes.append(np.fromiter(map(self.numbers.__getitem__, found), dtype=np.int32, count=len(found)))
         self.chars += len(text)
         self.check = crc32(text.encode(), crc32(str(ident).encode(), self.check))
 
