@@ -272,9 +272,10 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     A null text counts as empty. Base spans are the valid matches of the four
     base kinds. Added spans are candidates of the other kinds that the
-    classifier accepts and that overlap no base span. Null ids and repeated
-    rows are returned as they come; no rows give no rows; other columns are
-    ignored.
+    classifier accepts and that overlap no base span. A text of any length is
+    searched whole, in time linear in its length. Null ids and repeated rows
+    are returned as they come; no rows give no rows; other columns are
+    ignored, whatever their names.
     """
     text = whole(F.col(text_col))
     found = stored(docs.select(F.col(id_col), text.alias("t")).select(id_col, F.concat(*[_candidates(F.col("t"), k, names) for k in KINDS]).alias("found")))

@@ -319,8 +319,9 @@ def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int = 2,
 
     ``folder`` is a URI that pyarrow can write to, shared by all machines.
     Each document's ids end with ``end_id``; a null or empty text gives that
-    id alone. Null ids come first, rows with one id in order of their
-    compressed ids. No rows give no shard files.
+    id alone; a text of any length is one frame. Null ids come first, rows
+    with one id in order of their compressed ids. No rows give no shard files.
+    Other columns are ignored, whatever their names.
     """
     enc = encoder(path)
     dictionary = _train(docs, path, end_id, id_col, text_col)

@@ -58,7 +58,8 @@ def judge_urls(urls: DataFrame, rules: DataFrame, default: str = "allow", url_co
     all subdomains when the path starts with the rule's. The longest
     expression wins, of equally long ones that with the longer host, of equal
     ones the blocking one. Without a rule the verdict is ``default`` and rule
-    null. Null URLs and such without ``://`` have an empty host and path and
+    null. Other columns are ignored, whatever their names, and a URL of any
+    length is judged whole. Null URLs and such without ``://`` have an empty host and path and
     fit no rule, but one with an empty host. Repeated rows are judged alike;
     no rules or no URLs give defaults or no rows; rules with a null host or
     path fit nothing.

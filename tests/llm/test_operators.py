@@ -376,6 +376,16 @@ def test_urls_on_odd_rows(spark):
     assert got == Counter(want)
 
 
+def test_urls_with_clashing_columns(spark):
+    names = "host path rule verdict expression digest prefix labels rule_host rule_path best".split()
+    rows = [(n, f"http://a{n}.example.com/en/" if n % 2 else "http://net/es/", *["clash"] * len(names)) for n in range(6)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, " + ", ".join(f"{c} string" for c in names))
+    got = url_filter.judge_urls(frame, url_filter.rules_frame(spark, url_filter.QUERY_RULES)).collect()
+    assert {(r.page_id, r.host, r.path, r.rule, r.verdict) for r in got} == {
+        (n, f"a{n}.example.com", "/en/", "example.com/en/", "block") if n % 2 else (n, "net", "/es/", "net/es/", "block") for n in range(6)
+    }
+
+
 # 7 BPE
 
 

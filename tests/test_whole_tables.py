@@ -2,12 +2,17 @@
 
 import datetime
 import decimal
+import hashlib
 import re
+import unicodedata
+from collections import Counter
+from html.parser import HTMLParser
 
 import pytest
 from pyspark.sql import functions as F
 
 from tessera import catalog
+from tessera.functions.units import content_tokens
 from tessera.operators.copies import listed
 from tessera.plans.text_queries import claim_sentences
 from tessera.sources.tables import table
@@ -108,3 +113,65 @@ def test_listed_rows(spark):
     assert sorted(r.k for r in listed(rows, "k", [5, 5, 7, 9999]).collect()) == [5, 7]
     assert listed(rows, "k", list(range(0, 6000, 3)) * 2).count() == 1000
     assert listed(rows, "k", []).count() == 0
+
+
+def test_content_tokens_of_all_turns(spark, sf_dir):
+    """t2 against the tokens that evidence units have, read by Python's own classes of letters."""
+    turns = {(r.conv_id, r.turn): r.text for r in table(spark, sf_dir, "conversations").collect()}
+    got = {(r.conv_id, r.turn): r.tokens for r in catalog.QUERIES["t2_content_tokens"](spark, sf_dir).collect()}
+    assert got == {k: sorted(content_tokens(t)) for k, t in turns.items()}
+
+
+def test_normalised_texts(spark, sf_dir, save):
+    """t15 step by step on all documents and odd ones, written plainly."""
+    docs = [(r.doc_id, r.text) for r in table(spark, sf_dir, "documents").select("doc_id", "text").collect()]
+    docs += [(-1, "A\x00b\x07 \t c\n\n\n\nPage 12\n  CONFIDENTIAL \n draft\nx\n"), (-2, ""), (-3, "  a  ")]
+    want = set()
+    for key, text in docs:
+        plain = "".join(c for c in text if c in "\n\t" or unicodedata.category(c)[0] != "C")
+        plain = re.sub(r"(?im)^\s*(?:page \d+|confidential|draft)\s*$", "", plain)
+        plain = re.sub("[ \t]+", " ", re.sub(r"\n{3,}", "\n\n", plain)).strip(" ")
+        want.add((key, len(plain), hashlib.sha256(plain.encode()).hexdigest()))
+    folder = save("documents", docs, "doc_id long, text string")
+    assert {tuple(r) for r in catalog.QUERIES["t15_normalised"](spark, folder).collect()} == want
+
+
+class PlainPage(HTMLParser):
+    """A page by the standard library's events: what is open is counted, and data taken or not."""
+
+    SKIPPED = "script style noscript template svg iframe nav footer header aside form button select option".split()
+
+    def __init__(self, html):
+        super().__init__(convert_charrefs=True)
+        self.open, self.title, self.all, self.main = Counter(), [], [], []
+        self.feed(html)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        self.open[tag] = 1 if tag == "title" else self.open[tag] + 1
+
+    def handle_endtag(self, tag):
+        kind = self.SKIPPED if tag in self.SKIPPED else ["main", "article"] if tag in ("main", "article") else [tag]
+        for name in [tag, *kind]:
+            if self.open[name]:
+                self.open[name] -= 1
+                return
+
+    def handle_data(self, data):
+        if self.open["title"]:
+            self.title.append(data)
+        elif not any(self.open[t] for t in self.SKIPPED) and data.strip():
+            self.all.append(data.strip())
+            if self.open["main"] or self.open["article"]:
+                self.main.append(data.strip())
+
+
+def test_pages_by_the_standard_parser(spark, sf_dir):
+    pages = {r.page_id: r.html for r in table(spark, sf_dir, "pages").collect()}
+    got = {r.page_id: (r.title, r.text) for r in catalog.QUERIES["s10_page_text"](spark, sf_dir).collect()}
+    for key, html in pages.items():
+        page = PlainPage(html or "")
+        main = " ".join(page.main)
+        lines = (" ".join(line.split()) for line in (main if len(main) >= 200 else " ".join(page.all)).splitlines())
+        assert got[key] == (" ".join(" ".join(page.title).split()), "\n".join(line for line in lines if line)), key
+    assert set(got) == set(pages)
