@@ -5,7 +5,6 @@ from collections import Counter
 import brute
 import numpy as np
 import pytest
-from odd_rows import TEXTS
 
 from oracle import assert_same, connect
 from tessera.llm import catalog, phrases
