@@ -45,7 +45,7 @@ SAMPLE_IDS = 4096
 LEVEL = 3
 MAX_BROADCAST_ROWS = 100_000
 #: Distinct words that a Python worker remembers the ids of: so many of the latest, and as many of those before them.
-REMEMBERED = 450_000
+REMEMBERED = 280_000
 REMEMBERED_CHARS = 64
 
 #: A space between two characters that aren't white space.
@@ -57,7 +57,7 @@ _CROWDED = rf"  | \n|\n |[{_RARE}]"
 _ALONE = rf"^$|^\n|\n$|[ {_RARE}]"
 _CHARS_AT_ONCE = 200_000
 #: Texts are encoded together up to about so many bytes.
-_BYTES_AT_ONCE = 4 << 20
+_BYTES_AT_ONCE = 2 << 20
 
 
 class WordEncoder:
