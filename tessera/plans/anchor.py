@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import sql
 from tessera.functions.text import content_words, plain_numbers, sentences
-from tessera.plans.matching import MIN_OVERLAP, best_pairs, missed_sentences
+from tessera.plans.matching import MIN_OVERLAP, best_of, fitting_pairs, gained_pairs, missed_sentences
 from tessera.registry import query
 from tessera.sources.tables import table
 from tessera.storage import stored, written
@@ -73,11 +73,16 @@ def source_parts(sources: DataFrame, key: str, text: str, common: list[str]) ->
     return written(found.where(F.size("words") >= MIN_OVERLAP).select("source", part.alias("part")).groupBy("source").agg(F.array_sort(F.collect_list("part")).alias("units")))
 
 
-def anchors(claims: DataFrame, sources: DataFrame, key: str, text: str) -> DataFrame:
-    """The best windows of claims in the sentences of sources."""
+def fitting_windows(claims: DataFrame, sources: DataFrame, key: str, text: str) -> DataFrame:
+    """All windows in the sentences of sources that reach the floor for a claim, as ``fitting_pairs`` gives them."""
     common = common_words(claims)
     asked = claims.select("claim_id", ranked(F.col("words"), common).alias("words"), "numbers")
-    return best_pairs(asked, source_parts(sources, key, text, common)).withColumn("score", F.round("score", 6))
+    return fitting_pairs(asked, source_parts(sources, key, text, common))
+
+
+def anchors(claims: DataFrame, sources: DataFrame, key: str, text: str) -> DataFrame:
+    """The best windows of claims in the sentences of sources."""
+    return best_of(fitting_windows(claims, sources, key, text)).withColumn("score", F.round("score", 6))
 
 
 def _sentence_rows(name: str, rows: str, key: str) -> str:
@@ -111,6 +116,11 @@ def reanchored(claims: DataFrame, sources: DataFrame, key: str, text: str, held:
     return anchors(claims, sources, key, text).join(held.select("claim_id", "source"), ["claim_id", "source"], "left_anti")
 
 
+def reanchored_within(claims: DataFrame, sources: DataFrame, key: str, text: str, known: DataFrame) -> DataFrame:
+    """The same where the anchors held so far are those among the sources of ``known`` (source), from one search."""
+    return gained_pairs(fitting_windows(claims, sources, key, text), known).withColumn("score", F.round("score", 6))
+
+
 def append_gained(rows: DataFrame, path: str) -> bool:
     """Appends the rows to the files of ``path`` and says whether there were any; without rows nothing is written."""
     rows = stored(rows)
@@ -130,13 +140,13 @@ def v20_reanchor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the benchmark's claims, anchored in English documents, gain once the documents of all languages are there."""
     claims = claims_of(table(spark, sf_dir, "benchmark"), "item_id", "text")
     docs = table(spark, sf_dir, "documents")
-    held = anchors(claims, docs.where("lang = 'en'"), "doc_id", "text")
-    return reanchored(claims, docs, "doc_id", "text", held)
+    return reanchored_within(claims, docs, "doc_id", "text", docs.where("lang = 'en'").select(F.col("doc_id").alias("source")))
 
 
 def quoted_anchors(claims: DataFrame, sources: DataFrame, key: str, text: str) -> DataFrame:
     """Anchors with the sentence inside the window that fits the claim best, or the whole window if none does."""
-    found = anchors(claims, sources, key, text)
+    # Written, as it is read twice and costs the whole search.
+    found = written(anchors(claims, sources, key, text))
     parts = source_sentences(sources.join(found.select(F.col("source").alias(key)).distinct(), key, "left_semi"), key, text)
     inside = found.join(parts, "source").where("position >= start AND position < start + width").join(claims.select("claim_id", F.col("words").alias("cw")), "claim_id")
     shared = F.size(F.array_intersect("cw", "words"))

@@ -1,6 +1,9 @@
 """Claims and windows of sentences that share enough words.
 
-A pair that shares ``t`` words of the shorter side's ``n`` shares one of its
+A few claims are sent to every task, which counts the words that they share
+with each sentence of a batch, adds those of a window's sentences up, and
+compares in full where the sum may reach the floor; so neither text nor pairs
+below the floor are shuffled. More claims meet the windows by a join: a pair that shares ``t`` words of the shorter side's ``n`` shares one of its
 ``n - t + 1`` rarest, so only those meet the other side's words in an
 equi-join, and frequent words bring nothing together. Pairs so found are
 compared in full. Rows hold the units of one window at most, never a source's
@@ -12,15 +15,26 @@ structs with words and numbers. All words stand in one order, the rare first.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.units import pieces
 from tessera.storage import bounded
 
 MIN_OVERLAP = 4
 MIN_COEFFICIENT = 0.60
 MAX_WINDOW = 3
 MAX_BROADCAST_ROWS = 200_000
+#: So many claims are met in batches at most, and so many counts of a unit and a claim are held at once.
+MAX_CLAIMS = 4_096
+MAX_CELLS = 2_000_000
+#: Sources are looked at together up to so many units.
+MAX_UNITS = 20_000
 
 
 def _to_meet(size: Column) -> Column:
@@ -72,10 +86,107 @@ def scored_pairs(claims: DataFrame, units: DataFrame, pairs: DataFrame) -> DataF
     return scored.where(F.col("score") >= MIN_COEFFICIENT)
 
 
+def _least_shared(size: np.ndarray) -> np.ndarray:
+    """How many words a pair must share whose shorter side has that size."""
+    return np.maximum(MIN_OVERLAP, np.ceil(size * MIN_COEFFICIENT - 1e-6)).astype(np.int64)
+
+
+def _windows_of(claims: pa.Table) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For ``mapInArrow``: rows (source, units) as the pairs that :func:`scored_pairs` gives, in blocks of units of bounded size."""
+    ids, asked, numbers = (claims.column(c).combine_chunks() for c in ("claim_id", "words", "numbers"))
+    vocabulary = pc.unique(pc.list_flatten(asked))
+    sizes = pc.list_value_length(asked).to_numpy(zero_copy_only=False)
+    needed = _least_shared(sizes)
+    places = pc.index_in(pc.list_flatten(asked), vocabulary).to_numpy(zero_copy_only=False)
+    order = np.argsort(places, kind="stable")
+    #: The claims that hold each word, word after word.
+    holders = pc.list_parent_indices(asked).to_numpy(zero_copy_only=False)[order]
+    held = np.bincount(places, minlength=len(vocabulary))
+    first = np.cumsum(held) - held
+    own = [set(w.tolist()) for w in np.split(places, np.cumsum(sizes)[:-1])]
+    figures = [set(n) for n in numbers.to_pylist()]
+    block = max(MAX_CELLS // len(ids), 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (piece for whole in batches for piece in pieces(whole, pc.list_value_length(whole.column(1)).to_pylist(), MAX_UNITS)):
+            units = batch.column(1)
+            owner = pc.list_parent_indices(units).to_numpy(zero_copy_only=False)
+            flat = pc.list_flatten(units)
+            words, told = pc.struct_field(flat, "words"), pc.struct_field(flat, "numbers")
+            length = pc.list_value_length(words).to_numpy(zero_copy_only=False)
+            ends = np.concatenate([[0], np.cumsum(length)])
+            each = pc.list_flatten(words)
+            codes = each.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            known = pc.fill_null(pc.index_in(each, vocabulary), -1).to_numpy(zero_copy_only=False)
+            at = np.arange(len(owner)) - np.searchsorted(owner, owner)
+            found = []
+            for a in range(0, len(owner), block):
+                b = min(a + block + MAX_WINDOW - 1, len(owner))
+                word = known[ends[a] : ends[b]]
+                unit = np.repeat(np.arange(b - a), length[a:b])[word >= 0]
+                word = word[word >= 0]
+                times = held[word]
+                shift = np.repeat(first[word] - (np.cumsum(times) - times), times)
+                cells = np.repeat(unit, times) * len(ids) + holders[shift + np.arange(len(shift))]
+                shared = np.bincount(cells, minlength=(b - a) * len(ids)).astype(np.int32).reshape(b - a, len(ids))
+                starts = min(block, len(owner) - a)
+                total, longest = shared[:starts], length[a : a + starts]
+                for width in range(1, MAX_WINDOW + 1):
+                    if width > 1:
+                        starts = min(starts, b - a - width + 1)
+                        if starts <= 0:
+                            break
+                        total = total[:starts] + shared[width - 1 : width - 1 + starts]
+                        longest = np.maximum(longest[:starts], length[a + width - 1 : a + width - 1 + starts])
+                    whole = owner[a : a + starts] == owner[a + width - 1 : a + width - 1 + starts]
+                    # No window has fewer words than its longest sentence, nor shares more than its sentences do together.
+                    may = (total >= needed) | (total >= _least_shared(longest)[:, None])
+                    may &= whole[:, None]
+                    for start, claim in zip(*(x.tolist() for x in np.nonzero(may)), strict=True):
+                        i = a + start
+                        both = len(own[claim].intersection(known[ends[i] : ends[i + width]].tolist()))
+                        if both < MIN_OVERLAP:
+                            continue
+                        score = both / min(len(own[claim]), len(set(codes[ends[i] : ends[i + width]].tolist())))
+                        if score >= MIN_COEFFICIENT and (not figures[claim] or figures[claim].issubset(n for j in range(i, i + width) for n in told[j].as_py())):
+                            found.append((claim, owner[i], at[i], width, score))
+            claim, row, start, width, score = zip(*found, strict=True) if found else ([],) * 5
+            columns = [ids.take(pa.array(claim, pa.int64())), batch.column(0).take(pa.array(row, pa.int64())), pa.array(start, pa.int32()), pa.array(width, pa.int32()), pa.array(score, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["claim_id", "source", "start", "width", "score"])
+
+    return run
+
+
+def fitting_pairs(claims: DataFrame, units: DataFrame, max_broadcast: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """claim_id, source, start, width and score of the claims and windows that reach the floor, the claim's numbers among the window's.
+
+    Claims with ``max_broadcast`` words or fewer meet the windows in batches, others by :func:`candidate_pairs`.
+    """
+    asked = claims.where(F.size("words") > 0).select("claim_id", "words", "numbers")
+    count, words = asked.agg(F.count("*"), F.sum(F.size("words"))).first()
+    if not count or count > MAX_CLAIMS or words > max_broadcast:
+        return scored_pairs(claims, units, candidate_pairs(claims, units, max_broadcast))
+    kinds = [df.schema[c].dataType.simpleString() for df, c in ((claims, "claim_id"), (units, "source"))]
+    slim = units.select("source", F.transform("units", lambda u: F.struct(u["words"].alias("words"), u["numbers"].alias("numbers"))).alias("units"))
+    return slim.mapInArrow(_windows_of(asked.toArrow()), f"claim_id {kinds[0]}, source {kinds[1]}, start int, width int, score double")
+
+
+def best_of(pairs: DataFrame) -> DataFrame:
+    """Each claim's best of the pairs: the highest score, then the narrower, the smaller source, the earlier one."""
+    rank = F.struct((-F.col("score")).alias("score"), "width", "source", "start")
+    return pairs.groupBy("claim_id").agg(F.min(rank).alias("b")).select("claim_id", "b.source", "b.start", "b.width", (-F.col("b.score")).alias("score"))
+
+
 def best_pairs(claims: DataFrame, units: DataFrame, max_broadcast: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Each claim's best window: the highest score, then the narrower, the smaller source, the earlier one; none below the floor."""
+    """Each claim's best window; none below the floor."""
+    return best_of(fitting_pairs(claims, units, max_broadcast))
+
+
+def gained_pairs(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """Each claim's best of the pairs, where that is in another source than its best one in the sources of ``held`` (source)."""
     rank = F.struct((-F.col("score")).alias("score"), "width", "source", "start")
-    best = scored_pairs(claims, units, candidate_pairs(claims, units, max_broadcast)).groupBy("claim_id").agg(F.min(rank).alias("b"))
+    marked = pairs.join(held.select("source", F.lit(True).alias("held")), "source", "left")
+    best = marked.groupBy("claim_id").agg(F.min(rank).alias("b"), F.min(F.when(F.col("held"), rank)).alias("h")).where(~F.col("b.source").eqNullSafe(F.col("h.source")))
     return best.select("claim_id", "b.source", "b.start", "b.width", (-F.col("b.score")).alias("score"))
 
 

@@ -71,22 +71,23 @@ def source_units(sources: DataFrame, key: str, text: str, common: list[str]) ->
     return written(_units(sources, key, text, evidence_units, _by_rarity(common)).select(F.col("key").alias("source"), "units").where(F.size("units") > 0))
 
 
-def provenance(claims: DataFrame, units: DataFrame, held: DataFrame | None = None) -> DataFrame:
+def provenance(claims: DataFrame, units: DataFrame, best: DataFrame | None = None) -> DataFrame:
     """claim_id, source, page, quote, anchor_window, span and score of each claim that a source carries.
 
     ``claims`` as :func:`claim_units` gives them, ``units`` as
     :func:`source_units` does with the claims' common words. The quote is the
     sentence of the window that shares most with the claim, four tokens at
     least and the first of equal ones, or the whole window if none does, cut to
-    280 characters. The page is that of the window's first sentence. A claim
-    that cites its best source already, in ``held`` (claim_id, source), gets
-    nothing. Claims without an anchor have no row; texts that are null, empty
-    or without tokens are no claims and no evidence.
+    280 characters. The page is that of the window's first sentence. ``best``
+    are the windows to tell of, all claims' best ones if not given. Claims
+    without an anchor have no row; texts that are null, empty or without
+    tokens are no claims and no evidence.
     """
-    best = matching.best_pairs(claims, units, MAX_BROADCAST_ROWS)
-    if held is not None:
-        best = best.join(held.select("claim_id", "source"), ["claim_id", "source"], "left_anti")
-    near = matching.near(units, "sentence", "page", "words").join(bounded(best.select("source", "start").distinct(), MAX_BROADCAST_ROWS), ["source", "start"], "left_semi")
+    # Written, as it is read three times and costs the whole search.
+    best = written(matching.best_pairs(claims, units, MAX_BROADCAST_ROWS) if best is None else best)
+    # Only chosen sources are put apart into windows.
+    chosen = units.join(bounded(best.select("source").distinct(), MAX_BROADCAST_ROWS), "source", "left_semi")
+    near = matching.near(chosen, "sentence", "page", "words").join(bounded(best.select("source", "start").distinct(), MAX_BROADCAST_ROWS), ["source", "start"], "left_semi")
     met = best.join(near, ["source", "start"]).join(claims.select("claim_id", F.col("words").alias("cw")), "claim_id").withColumn("inside", F.slice("near", F.lit(1), F.col("width")))
 
     def fit(u: Column, i: Column) -> Column:
@@ -141,8 +142,7 @@ def v20_provenance_gained(spark: SparkSession, sf_dir: str) -> DataFrame:
     claims, common = _benchmark_claims(spark, sf_dir)
     units = source_units(paged_documents(spark, sf_dir), "doc_id", "text", common)
     english = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("doc_id").alias("source"))
-    held = matching.best_pairs(claims, units.join(english, "source", "left_semi"))
-    return provenance(claims, units, held)
+    return provenance(claims, units, matching.gained_pairs(matching.fitting_pairs(claims, units, MAX_BROADCAST_ROWS), english))
 
 
 @query()
