@@ -7,10 +7,12 @@ import uuid
 from collections.abc import Iterator
 from html import unescape
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.units import PIECE_CHARS, pieces
 from tessera.operators.joins import host_policy
 from tessera.registry import query
 from tessera.sources.tables import table
@@ -155,12 +157,13 @@ def main_text(pages: DataFrame, key: str, html: str) -> DataFrame:
     """key, title and text of each page."""
     schema = f"{key} {pages.schema[key].dataType.simpleString()}, title string, text string"
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            found = [page_text(h) for h in frame[html]]
-            yield pd.DataFrame({key: frame[key], "title": [t for t, _ in found], "text": [x for _, x in found]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (piece for whole in batches for piece in pieces(whole, pc.utf8_length(whole.column(1)).to_pylist(), PIECE_CHARS)):
+            found = [page_text(h.as_py()) for h in batch.column(1)]
+            columns = [pa.array(x, pa.string()) for x in ([t for t, _ in found], [x for _, x in found])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[key, "title", "text"])
 
-    return pages.select(key, html).mapInPandas(run, schema)
+    return pages.select(key, html).mapInArrow(run, schema)
 
 
 @query()
