@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from tessera.functions.orders import collapsed, may_be_evidence, order_flags
 from tessera.functions.text import folded
 from tessera.functions.runs import RUN, sample_texts, shared_runs
-from tessera.plans.matching import MAX_BROADCAST_ROWS, best_pairs
-from tessera.plans.provenance import claim_units, paged_documents, source_units
+from tessera.plans.matching import MAX_BROADCAST_ROWS, best_of
+from tessera.plans.provenance import claim_units, fitting_windows, paged_documents
 from tessera.registry import query
 from tessera.sources.tables import table
 from tessera.storage import bounded, stored, written
@@ -87,7 +87,7 @@ def draft_outcomes(drafts: DataFrame, prompts: DataFrame, sources: DataFrame, so
     paragraphs = drafts.select("key", F.posexplode(F.split("text", "\n")).alias("line", "paragraph"))
     named = paragraphs.select(F.concat_ws("-", "key", "line").alias("id"), "key", "paragraph")
     claims, common = claim_units(named, "id", "paragraph")
-    anchored = best_pairs(claims, source_units(sources, source_key, text, common)).select("claim_id", F.lit(1).alias("hit"))
+    anchored = best_of(fitting_windows(claims, sources, source_key, text, common)).select("claim_id", F.lit(1).alias("hit"))
     counted = claims.select("claim_id").join(anchored, "claim_id", "left").join(named.select(F.col("id").alias("claim_id"), "key"), "claim_id")
     counts = counted.groupBy("key").agg(F.count("*").alias("eligible"), F.count("hit").alias("anchored"))
     openings = ungrounded_openings(drafts, sources, text).select("key", F.lit(True).alias("unopened"))

@@ -157,18 +157,34 @@ def _windows_of(claims: pa.Table) -> Callable[[Iterator[pa.RecordBatch]], Iterat
     return run
 
 
+def few_claims(claims: DataFrame, max_broadcast: int = MAX_BROADCAST_ROWS) -> pa.Table | None:
+    """The claims that have words, where they are few enough to be sent to every task; None where they are not, or there is none."""
+    asked = claims.where(F.size("words") > 0).select("claim_id", "words", "numbers")
+    count, words = asked.agg(F.count("*"), F.sum(F.size("words"))).first()
+    return None if not count or count > MAX_CLAIMS or words > max_broadcast else asked.toArrow()
+
+
+def _pairs_schema(claims: DataFrame, sources: DataFrame) -> str:
+    kinds = [df.schema[c].dataType.simpleString() for df, c in ((claims, "claim_id"), (sources, "source"))]
+    return f"claim_id {kinds[0]}, source {kinds[1]}, start int, width int, score double"
+
+
+def pairs_of_texts(claims: DataFrame, few: pa.Table, texts: DataFrame, read: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """:func:`fitting_pairs` of few claims and the units that ``read`` makes of batches of ``texts`` (source and others), in one pass."""
+    meet = _windows_of(few)
+    return texts.mapInArrow(lambda batches: meet(read(batches)), _pairs_schema(claims, texts))
+
+
 def fitting_pairs(claims: DataFrame, units: DataFrame, max_broadcast: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """claim_id, source, start, width and score of the claims and windows that reach the floor, the claim's numbers among the window's.
 
     Claims with ``max_broadcast`` words or fewer meet the windows in batches, others by :func:`candidate_pairs`.
     """
-    asked = claims.where(F.size("words") > 0).select("claim_id", "words", "numbers")
-    count, words = asked.agg(F.count("*"), F.sum(F.size("words"))).first()
-    if not count or count > MAX_CLAIMS or words > max_broadcast:
+    few = few_claims(claims, max_broadcast)
+    if few is None:
         return scored_pairs(claims, units, candidate_pairs(claims, units, max_broadcast))
-    kinds = [df.schema[c].dataType.simpleString() for df, c in ((claims, "claim_id"), (units, "source"))]
     slim = units.select("source", F.transform("units", lambda u: F.struct(u["words"].alias("words"), u["numbers"].alias("numbers"))).alias("units"))
-    return slim.mapInArrow(_windows_of(asked.toArrow()), f"claim_id {kinds[0]}, source {kinds[1]}, start int, width int, score double")
+    return slim.mapInArrow(_windows_of(few), _pairs_schema(claims, units))
 
 
 def best_of(pairs: DataFrame) -> DataFrame:

@@ -32,11 +32,10 @@ _RARE = "0"
 
 def _by_rarity(common: list[str]) -> Callable[[set[str]], list[str]]:
     """Orders words: the rare first, then those of the most frequent classes, each behind its class's digit."""
-    places = {word: place for place, word in enumerate(common)}
+    marked = {word: f"{next(len(COMMON) - n for n, size in enumerate(COMMON) if place < size)}{word}" for place, word in enumerate(common)}
 
     def rank(words: set[str]) -> list[str]:
-        classes = (next((len(COMMON) - n for n, size in enumerate(COMMON) if places.get(w, COMMON[-1]) < size), _RARE) for w in words)
-        return sorted(f"{c}{w}" for c, w in zip(classes, words, strict=True))
+        return sorted([marked.get(w) or _RARE + w for w in words])
 
     return rank
 
@@ -71,6 +70,27 @@ def source_units(sources: DataFrame, key: str, text: str, common: list[str]) ->
     return written(_units(sources, key, text, evidence_units, _by_rarity(common)).select(F.col("key").alias("source"), "units").where(F.size("units") > 0))
 
 
+def fitting_windows(claims: DataFrame, sources: DataFrame, key: str, text: str, common: list[str]) -> DataFrame:
+    """:func:`matching.fitting_pairs` of the claims and the units of sources.
+
+    Few claims meet a text's windows as it is read, so its units are neither
+    written nor passed on; many meet units that are written, as they are read
+    several times.
+    """
+    few = matching.few_claims(claims, MAX_BROADCAST_ROWS)
+    if few is None:
+        return matching.fitting_pairs(claims, source_units(sources, key, text, common), MAX_BROADCAST_ROWS)
+    rows = sources.select(F.col(key).alias("source"), F.col(text).alias("text"))
+    return matching.pairs_of_texts(claims, few, rows, units_of(evidence_units, _by_rarity(common)))
+
+
+def provenance_of(claims: DataFrame, sources: DataFrame, key: str, text: str, common: list[str], best: DataFrame) -> DataFrame:
+    """:func:`provenance` of the best windows, for which only their sources are read again."""
+    best = written(best)
+    chosen = sources.join(bounded(best.select(F.col("source").alias(key)).distinct(), MAX_BROADCAST_ROWS), key, "left_semi")
+    return provenance(claims, source_units(chosen, key, text, common), best)
+
+
 def provenance(claims: DataFrame, units: DataFrame, best: DataFrame | None = None) -> DataFrame:
     """claim_id, source, page, quote, anchor_window, span and score of each claim that a source carries.
 
@@ -133,16 +153,17 @@ def _benchmark_claims(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list
 def v1_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Provenance of the benchmark's passages in the pages of all documents."""
     claims, common = _benchmark_claims(spark, sf_dir)
-    return provenance(claims, source_units(paged_documents(spark, sf_dir), "doc_id", "text", common))
+    documents = (paged_documents(spark, sf_dir), "doc_id", "text", common)
+    return provenance_of(claims, *documents, matching.best_of(fitting_windows(claims, *documents)))
 
 
 @query()
 def v20_provenance_gained(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What passages gain that were anchored in English documents, once the documents of all languages are there."""
     claims, common = _benchmark_claims(spark, sf_dir)
-    units = source_units(paged_documents(spark, sf_dir), "doc_id", "text", common)
+    documents = (paged_documents(spark, sf_dir), "doc_id", "text", common)
     english = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("doc_id").alias("source"))
-    return provenance(claims, units, matching.gained_pairs(matching.fitting_pairs(claims, units, MAX_BROADCAST_ROWS), english))
+    return provenance_of(claims, *documents, matching.gained_pairs(fitting_windows(claims, *documents), english))
 
 
 @query()

@@ -158,3 +158,25 @@ def test_quantities_of_all_documents(spark, sf_dir):
     texts = {r.doc_id: r.text for r in table(spark, sf_dir, "documents").collect()}
     got = {r.doc_id: set(r.numbers) for r in catalog.QUERIES["t6_quantities"](spark, sf_dir).collect()}
     assert got == {k: plain_quantities(t.strip()) for k, t in texts.items() if t and t.strip()} and any(got.values())
+
+
+def test_only_chosen_sources_are_written(spark, sf_dir, monkeypatch):
+    """Few claims meet texts as these are read; units are kept of the sources that carry a claim only."""
+    kept, source_units = [], P.source_units
+    monkeypatch.setattr(P, "source_units", lambda *a: kept.append(source_units(*a)) or kept[-1])
+    found = catalog.QUERIES["v1_provenance"](spark, sf_dir).select("source").distinct().count()
+    assert [k.count() for k in kept] == [found] and found < table(spark, sf_dir, "documents").count()
+
+
+def test_provenance_of_texts_in_one_pass_and_by_joins(spark, monkeypatch):
+    claims = spark.createDataFrame([(n, t) for n, t in enumerate(["alpha beta gamma delta 77", "one two three four", None, "", "lonely words nobody else holds"])], "id long, text string")
+    texts = [None, "", "--- Page 3 ---\nalpha beta. gamma delta 77. other things stand here", "alpha beta gamma delta", "one two three. four five six seven", "a b c"]
+    sources = spark.createDataFrame([(n, t, "x") for n, t in enumerate(texts)], "id long, text string, source string")
+    want = plain_provenance({0: "alpha beta gamma delta 77", 1: "one two three four", 4: "lonely words nobody else holds"}, {n: t or "" for n, t in enumerate(texts)})
+    assert want
+    for most in (0, 200_000):
+        monkeypatch.setattr(P, "MAX_BROADCAST_ROWS", most)
+        asked, common = P.claim_units(claims, "id", "text")
+        best = P.matching.best_of(P.fitting_windows(asked, sources, "id", "text", common))
+        assert {r.claim_id: tuple(r) for r in P.provenance_of(asked, sources, "id", "text", common, best).collect()} == want
+    assert P.fitting_windows(asked, sources.limit(0), "id", "text", common).count() == 0
