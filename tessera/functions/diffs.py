@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,14 +39,24 @@ def changed_spans(a: Column, b: Column) -> Column:
     """What the two texts hold between their common beginning and end: a struct of both, trimmed; null where nothing but white space differs."""
     a, b = F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))
 
-    def middle(pair: Column) -> Column:
-        left, right = F.substring(pair["a"], pair["n"] + 1, F.length(pair["a"])), F.substring(pair["b"], pair["n"] + 1, F.length(pair["b"]))
-        tail = common_prefix(F.reverse(left), F.reverse(right))
-        return F.struct(stripped(F.substring(left, 1, F.length(left) - tail)).alias("a_text"), stripped(F.substring(right, 1, F.length(right) - tail)).alias("b_text"))
+    def once(make: Callable[[Column], Column], **values: Column) -> Column:
+        """What ``make`` gives of a struct of the values, each of which is computed once: an array of one is transformed."""
+        return F.transform(F.array(F.struct(*[v.alias(name) for name, v in values.items()])), make)[0]
+
+    def kept(text: Column, tail: Column) -> Column:
+        return stripped(F.substring(text, 1, F.length(text) - tail))
+
+    def behind(p: Column) -> Column:
+        rest = lambda text: F.substring(text, p["n"] + 1, F.length(text))
+        # Reversed before their end is sought, which looks at them about sixty times.
+        return once(turned, left=rest(p["a"]), right=rest(p["b"]), x=F.reverse(rest(p["a"])), y=F.reverse(rest(p["b"])))
+
+    def turned(p: Column) -> Column:
+        return once(lambda q: F.struct(kept(q["left"], q["tail"]).alias("a_text"), kept(q["right"], q["tail"]).alias("b_text")), left=p["left"], right=p["right"], tail=common_prefix(p["x"], p["y"]))
 
-    # An array of one, so that the beginning is sought once.
-    spans = F.transform(F.array(F.struct(a.alias("a"), b.alias("b"), common_prefix(a, b).alias("n"))), middle)[0]
-    return F.when((spans["a_text"] != "") | (spans["b_text"] != ""), spans)
+    spans = once(behind, a=a, b=b, n=common_prefix(a, b))
+    # Told once too, as the columns and conditions built on it would each compute it again.
+    return once(lambda p: F.when((p["s"]["a_text"] != "") | (p["s"]["b_text"] != ""), p["s"]), s=spans)
 
 
 def edges(text: Column) -> Column:

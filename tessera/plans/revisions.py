@@ -55,8 +55,9 @@ SELECT * FROM t WHERE a_text <> '' OR b_text <> ''
 """)
 def t24_changed_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each turn holds in place of the one before it, between what they share at both ends."""
-    spans = following_turns(spark, sf_dir).select("conv_id", "turn", changed_spans(F.col("before"), F.col("text")).alias("s"))
-    return spans.where("s IS NOT NULL").select("conv_id", "turn", "s.a_text", "s.b_text")
+    spans = F.array_compact(F.array(changed_spans(F.col("before"), F.col("text"))))
+    # Exploded, so that the columns are read of what was computed once.
+    return following_turns(spark, sf_dir).select("conv_id", "turn", F.explode(spans).alias("s")).select("conv_id", "turn", "s.a_text", "s.b_text")
 
 
 def _count_sql(text: str, pattern: str) -> str:

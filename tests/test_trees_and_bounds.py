@@ -219,3 +219,11 @@ def test_unified_diffs():
     a, b = "".join(f"{n}\n" for n in range(40)), "".join(f"{n}\n" for n in range(40) if n not in (5, 9, 30)) + "end"
     assert D.unified_diff(a, b, "l", "r") == "".join(difflib.unified_diff(a.splitlines(keepends=True), b.splitlines(keepends=True), "l", "r"))
     assert D.unified_diff(a, a, "l", "r") == "" and D.unified_diff("", "x", "l", "r") == "--- l\n+++ r\n@@ -0,0 +1 @@\n+x"
+
+
+def test_spans_are_computed_once(spark, sf_dir):
+    """The two common ends are sought once a row, in texts that are reversed once, however many columns are read of the result."""
+    from tessera import catalog
+
+    plan = catalog.QUERIES["t24_changed_spans"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") == 2 and plan.count("reverse(") == 2
