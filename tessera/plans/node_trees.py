@@ -14,54 +14,60 @@ from pyspark.sql import functions as F
 
 from tessera.registry import query
 from tessera.sources.tables import table
-from tessera.storage import stored
+from tessera.storage import written
 
 MAX_DEPTH = 1000
 
 
-def _parts(json: Column, field: str) -> Column:
-    """The elements of an array field that are objects, as JSON; none if it is no array."""
-    each = F.from_json(F.get_json_object(json, f"$.{field}"), "array<string>")
-    return F.filter(each, lambda e: F.ltrim(e).startswith("{"))
+#: What is read of a node, in one reading; an array's elements stay JSON.
+_NODE = "id string, type string, children array<string>, annotations struct<redhat: array<string>>"
+
+
+def _objects(elements: Column) -> Column:
+    """The elements that are objects, in order."""
+    return F.filter(elements, lambda e: F.ltrim(e).startswith("{"))
 
 
 def walk(trees: DataFrame, key: str, json: str) -> DataFrame:
-    """key, path (places from 0, from the body down) and node (JSON) of every node of ``trees``.
+    """key, path (places from 0, from the body down), id, type and findings (how many are noted on it) of every node of ``trees``.
 
     Elements that are no objects are no nodes and take a place of their own
     kind only. Trees that are null, no JSON or without a body have no nodes.
+    A node's JSON is read once, at its level, which is written with what the
+    next one reads; columns that are not asked for are not read again.
     """
-    level = stored(trees.select(key, F.posexplode(_parts(F.col(json), "body")).alias("place", "node")).select(key, F.array("place").alias("path"), "node"))
-    found = level
+    body = _objects(F.from_json(json, "body array<string>")["body"])
+    nodes = trees.select(key, F.posexplode(body).alias("place", "node")).select(key, F.array("place").alias("path"), "node")
+    found = None
     for _ in range(MAX_DEPTH):
-        below = level.select(key, "path", F.posexplode(_parts(F.col("node"), "children")).alias("place", "node"))
-        level = stored(below.select(key, F.array_append("path", F.col("place")).alias("path"), "node"))
-        if level.isEmpty():
+        findings = F.greatest(F.coalesce(F.size("n.annotations.redhat"), F.lit(0)), F.lit(0)).alias("findings")
+        # Exploded, so that each node is read once and not once a column.
+        read = nodes.select(key, "path", F.explode(F.array(F.from_json("node", _NODE))).alias("n"))
+        level = written(read.select(key, "path", "n.id", "n.type", findings, _objects(F.col("n.children")).alias("children")))
+        told = level.drop("children")
+        found = told if found is None else found.unionByName(told)
+        below = level.where(F.size("children") > 0)
+        if below.isEmpty():
             return found
-        found = found.unionByName(level)
+        nodes = below.select(key, "path", F.posexplode("children").alias("place", "node")).select(key, F.array_append("path", F.col("place")).alias("path"), "node")
     raise RuntimeError(f"trees deeper than {MAX_DEPTH}")
 
 
-def _text(field: str) -> Column:
-    return F.get_json_object("node", f"$.{field}")
-
-
 def all_nodes(walked: DataFrame, key: str) -> DataFrame:
     """Every node, sections too: key, path (joined by points; sorting paths gives the order of the document), depth, id, type."""
-    return walked.select(key, F.array_join(F.transform("path", lambda p: p.cast("string")), ".").alias("path"), F.size("path").alias("depth"), _text("id").alias("id"), _text("type").alias("type"))
+    return walked.select(key, F.array_join(F.transform("path", lambda p: p.cast("string")), ".").alias("path"), F.size("path").alias("depth"), "id", "type")
 
 
 def node_counts(trees: DataFrame, walked: DataFrame, key: str) -> DataFrame:
     """How many nodes each tree has, whatever their depth, and findings noted on them."""
-    findings = F.coalesce(F.size(F.from_json(F.get_json_object("node", "$.annotations.redhat"), "array<string>")), F.lit(0))
-    counts = walked.groupBy(key).agg(F.count("*").alias("nodes"), F.sum(F.greatest(findings, F.lit(0)).cast("long")).alias("findings"))
+    counts = walked.groupBy(key).agg(F.count("*").alias("nodes"), F.sum(F.col("findings").cast("long")).alias("findings"))
     return trees.select(key).join(counts, key, "left").fillna(0, ["nodes", "findings"])
 
 
 def block_nodes(walked: DataFrame, key: str) -> DataFrame:
     """The blocks of a document, its sections' own children that have an id: key, section and place in it, id, type."""
-    named = walked.where((F.size("path") == 2) & (F.coalesce(_text("id"), F.lit("")) != ""))
-    return named.select(key, F.col("path")[0].alias("section"), F.col("path")[1].alias("place"), _text("id").alias("id"), _text("type").alias("type"))
+    named = walked.where((F.size("path") == 2) & (F.coalesce("id", F.lit("")) != ""))
+    return named.select(key, F.col("path")[0].alias("section"), F.col("path")[1].alias("place"), "id", "type")
 
 
 def customer_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,7 +103,7 @@ def n4_all_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_NODES + "SELECT document_id, count(*) AS nodes, count(CASE WHEN depth = 3 THEN 1 END) AS findings FROM n GROUP BY 1")
 def n5_node_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes and findings of customers' trees."""
-    trees = stored(customer_trees(spark, sf_dir))
+    trees = written(customer_trees(spark, sf_dir))
     return node_counts(trees, walk(trees, "document_id", "tree"), "document_id")
 
 

@@ -227,3 +227,13 @@ def test_spans_are_computed_once(spark, sf_dir):
 
     plan = catalog.QUERIES["t24_changed_spans"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("aggregate(") == 2 and plan.count("reverse(") == 2
+
+
+def test_a_node_is_read_once(spark):
+    """What queries ask of a node comes from the reading of its level: no JSON is left to be parsed after the walk."""
+    frame = spark.createDataFrame([(1, '{"body": [{"id": "a", "children": [{"id": 7, "type": null, "annotations": {"redhat": 3}}]}, 5, {"children": {}}]}')], "k long, tree string")
+    walked = T.walk(frame, "k", "tree")
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in (T.all_nodes(walked, "k"), T.node_counts(frame, walked, "k"), T.block_nodes(walked, "k"))]
+    assert not [p for p in plans if "json" in p.lower()]
+    assert {(r.path, r.id, r.type) for r in T.all_nodes(walked, "k").collect()} == {("0", "a", None), ("0.0", "7", None), ("1", None, None)}
+    assert [(r.nodes, r.findings) for r in T.node_counts(frame, walked, "k").collect()] == [(3, 0)]
