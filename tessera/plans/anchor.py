@@ -9,12 +9,15 @@ fetched for chosen ones only.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import sql
 from tessera.functions.text import content_words, plain_numbers, sentences
-from tessera.plans.matching import MIN_OVERLAP, best_of, fitting_pairs, gained_pairs, missed_sentences
+from tessera.functions.units import plain_units, units_of
+from tessera.plans.matching import MIN_OVERLAP, best_of, few_claims, fitting_pairs, gained_pairs, missed_sentences, pairs_of_texts
 from tessera.registry import query
 from tessera.sources.tables import table
 from tessera.storage import stored, written
@@ -65,6 +68,16 @@ def ranked(words: Column, common: list[str]) -> Column:
     return F.array_sort(F.transform(words, marked))
 
 
+def by_rarity(common: list[str]) -> Callable[[set[str]], list[str]]:
+    """:func:`ranked` for the words that Python reads."""
+    marked = {word: f"{next(len(COMMON) - n for n, size in enumerate(COMMON) if place < size)}{word}" for place, word in enumerate(common)}
+
+    def rank(words: set[str]) -> list[str]:
+        return sorted([marked.get(w) or "0" + w for w in words])
+
+    return rank
+
+
 def source_parts(sources: DataFrame, key: str, text: str, common: list[str]) -> DataFrame:
     """source and units, the ranked words and the numbers of its eligible sentences in order; written, since it is read several times."""
     each = sources.select(F.col(key).alias("source"), F.posexplode(sentences(F.col(text))).alias("at", "sentence"))
@@ -74,10 +87,18 @@ def source_parts(sources: DataFrame, key: str, text: str, common: list[str]) ->
 
 
 def fitting_windows(claims: DataFrame, sources: DataFrame, key: str, text: str) -> DataFrame:
-    """All windows in the sentences of sources that reach the floor for a claim, as ``fitting_pairs`` gives them."""
+    """All windows in the sentences of sources that reach the floor for a claim, as ``fitting_pairs`` gives them.
+
+    Few claims meet a text's windows as it is read; for many its sentences are
+    gathered and written, as they are read several times.
+    """
     common = common_words(claims)
     asked = claims.select("claim_id", ranked(F.col("words"), common).alias("words"), "numbers")
-    return fitting_pairs(asked, source_parts(sources, key, text, common))
+    few = few_claims(asked)
+    if few is None:
+        return fitting_pairs(asked, source_parts(sources, key, text, common))
+    rows = sources.select(F.col(key).alias("source"), F.col(text).alias("text"))
+    return pairs_of_texts(asked, few, rows, units_of(plain_units, by_rarity(common)))
 
 
 def anchors(claims: DataFrame, sources: DataFrame, key: str, text: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.units import UNITS, evidence_units, units_of, whole_unit
 from tessera.plans import matching
-from tessera.plans.anchor import COMMON, MIN_WORDS, NEAR_MISS_CHARS, NEAR_MISSES, QUOTE_CHARS
+from tessera.plans.anchor import COMMON, MIN_WORDS, NEAR_MISS_CHARS, NEAR_MISSES, QUOTE_CHARS, by_rarity
 from tessera.plans.matching import MIN_OVERLAP
 from tessera.registry import query
 from tessera.sources.tables import table
@@ -30,16 +30,6 @@ MAX_BROADCAST_ROWS = 200_000
 _RARE = "0"
 
 
-def _by_rarity(common: list[str]) -> Callable[[set[str]], list[str]]:
-    """Orders words: the rare first, then those of the most frequent classes, each behind its class's digit."""
-    marked = {word: f"{next(len(COMMON) - n for n, size in enumerate(COMMON) if place < size)}{word}" for place, word in enumerate(common)}
-
-    def rank(words: set[str]) -> list[str]:
-        return sorted([marked.get(w) or _RARE + w for w in words])
-
-    return rank
-
-
 def _units(rows: DataFrame, key: str, text: str, read: Callable, rank: Callable = sorted) -> DataFrame:
     kind = rows.schema[key].dataType.simpleString()
     return rows.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(units_of(read, rank), f"key {kind}, units {UNITS}")
@@ -58,7 +48,7 @@ def claim_units(rows: DataFrame, key: str, text: str) -> tuple[DataFrame, list[s
 
 
 def _ranked(words: Column, common: list[str]) -> Column:
-    """:func:`_by_rarity` as an expression, for the few words of claims."""
+    """:func:`by_rarity` as an expression, for the few words of claims."""
     if not common:
         return F.transform(words, lambda w: F.concat(F.lit(_RARE), w))
     classes = F.create_map(*[F.lit(x) for place, word in enumerate(common) for x in (word, str(next(len(COMMON) - n for n, size in enumerate(COMMON) if place < size)))])
@@ -67,7 +57,7 @@ def _ranked(words: Column, common: list[str]) -> Column:
 
 def source_units(sources: DataFrame, key: str, text: str, common: list[str]) -> DataFrame:
     """source and units, the sentences of each source that can be evidence, words in the order of rarity; written, as it is read several times."""
-    return written(_units(sources, key, text, evidence_units, _by_rarity(common)).select(F.col("key").alias("source"), "units").where(F.size("units") > 0))
+    return written(_units(sources, key, text, evidence_units, by_rarity(common)).select(F.col("key").alias("source"), "units").where(F.size("units") > 0))
 
 
 def fitting_windows(claims: DataFrame, sources: DataFrame, key: str, text: str, common: list[str]) -> DataFrame:
@@ -81,7 +71,7 @@ def fitting_windows(claims: DataFrame, sources: DataFrame, key: str, text: str,
     if few is None:
         return matching.fitting_pairs(claims, source_units(sources, key, text, common), MAX_BROADCAST_ROWS)
     rows = sources.select(F.col(key).alias("source"), F.col(text).alias("text"))
-    return matching.pairs_of_texts(claims, few, rows, units_of(evidence_units, _by_rarity(common)))
+    return matching.pairs_of_texts(claims, few, rows, units_of(evidence_units, by_rarity(common)))
 
 
 def provenance_of(claims: DataFrame, sources: DataFrame, key: str, text: str, common: list[str], best: DataFrame) -> DataFrame:

@@ -43,3 +43,27 @@ def test_one_search_without_joins(name, spark, sf_dir, monkeypatch):
     monkeypatch.setattr(matching, "_windows_of", lambda claims: searches.append(1) or search(claims))
     monkeypatch.setattr(matching, "candidate_pairs", None)
     assert catalog.QUERIES[name](spark, sf_dir).count() > 0 and len(searches) == 1
+
+
+def test_sentences_read_in_batches_and_in_sql_are_the_same(spark, sf_dir):
+    """What tasks read of a text to anchor claims are the rows that the expressions give, whose SQL the queries are checked against."""
+    from pyspark.sql import functions as F
+
+    from tessera.functions.units import plain_units
+    from tessera.plans.anchor import by_rarity, ranked, source_sentences
+    from tessera.sources.tables import table
+
+    odd = [None, "", "  \x0bAlpha beta gamma DELTA.Next one two three four\n\n1,234.50 or 7,, and 3. of \x1cİstanbul Straße ﬁve six\x85seven K2 9.", "no. words! here? 12", "ÄÖÜ äöü abc def ghi jkl 5.5.5 1.,2"]
+    texts = dict(enumerate(odd)) | {1000 + r.doc_id: r.text for r in table(spark, sf_dir, "documents").collect()}
+    frame = spark.createDataFrame(list(texts.items()), "id long, text string")
+    common = ["beta", "three", "claim"] + [f"w{n}" for n in range(20)] + ["gamma"]
+    want = {(r.source, r.position): (r.sentence, r.w, set(r.numbers)) for r in source_sentences(frame, "id", "text").withColumn("w", ranked(F.col("words"), common)).collect()}
+    rank = by_rarity(common)
+    assert {(k, n): (s, rank(w), m) for k, t in texts.items() for n, (s, _, w, m) in enumerate(plain_units(t or ""))} == want and len(want) > 100
+
+
+def test_anchors_write_no_sentences(spark, sf_dir, monkeypatch):
+    from tessera.plans import anchor
+
+    monkeypatch.setattr(anchor, "written", None)
+    assert catalog.QUERIES["v1_anchor"](spark, sf_dir).count() > 0
