@@ -69,7 +69,9 @@ _BLANK = r"[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{2
 
 
 def stripped(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^{_BLANK}+|{_BLANK}+\z", "")
+    # Looked for only where one of the ends is blank: the pattern is tried at every place of the text.
+    ends = F.concat(F.substring(text, 1, 1), F.substring(text, -1, 1))
+    return F.when(ends.rlike(_BLANK), F.regexp_replace(text, rf"^{_BLANK}+|{_BLANK}+\z", "")).otherwise(text)
 
 
 def collapsed(text: Column) -> Column:

@@ -15,6 +15,8 @@ from tessera.sources.tables import table
 from tessera.storage import bounded, stored, written
 
 LEAST_ANCHORED = 0.5
+#: So many sentences are tried first for each opening word.
+TRIED = 16
 
 #: First words of a question, and words that name the sources.
 QUESTION_WORDS = "what which how why when where who whose does do did is are was were can could should would will may might".split()
@@ -47,10 +49,15 @@ def without_ask(prompt: Column, ask: Column) -> Column:
     return F.when(own != "", F.replace(prompt, own, F.repeat(F.lit(" "), F.length(own)))).otherwise(prompt)
 
 
+def _plain_parts(text: Column) -> Column:
+    """The words of :func:`normal_tokens`, empty ones among them. The text is folded as a whole, so a final sigma is told from others by no word's end."""
+    kept = F.regexp_replace(F.translate(folded(text), "ς", "σ"), r"(?U)[\w&&[^\p{L}\p{N}]]+", "")
+    return F.split(kept, r"(?U)[^\w]+")
+
+
 def normal_tokens(text: Column) -> Column:
     """Letters and digits of the words, case folded, in order."""
-    plain = F.transform(F.split(text, r"(?U)[^\w]+"), lambda t: F.regexp_replace(folded(t), r"[^\p{L}\p{N}]", ""))
-    return F.filter(plain, lambda t: t != "")
+    return F.filter(_plain_parts(text), lambda t: t != "")
 
 
 def asks_sources(sentence: Column) -> Column:
@@ -61,16 +68,31 @@ def asks_sources(sentence: Column) -> Column:
 def ungrounded_openings(drafts: DataFrame, sources: DataFrame, text: str) -> DataFrame:
     """key and token of drafts that open on a word which no source sentence that may be evidence has; null for a draft without words.
 
-    The sources' words are not gathered: the few opening words are sought in them.
+    The sources' words are not gathered: the few opening words are sought in
+    them. A word needs one sentence that may be evidence, so the structure of
+    ``TRIED`` of its sentences is looked at first, and of all only for words
+    that none of these carries.
     """
     first = F.get(F.split(collapsed(F.col("text")), r"(?<=[.!?])\s+"), F.lit(0))
     opened = written(drafts.select("key", F.get(normal_tokens(F.col("text")), F.lit(0)).alias("token"), asks_sources(first).alias("asks")).where(~F.coalesce("asks", F.lit(False))))
     sentences = sources.select(F.explode(F.split(F.coalesce(text, F.lit("")), r"(?U)(?<=[.!?])\s+")).alias("s")).where("s <> ''")
-    told = sentences.select("s", F.explode(F.array_distinct(normal_tokens(F.col("s")))).alias("token"))
-    asked = bounded(opened.select("token").where("token IS NOT NULL").distinct(), MAX_BROADCAST_ROWS)
-    # The structure of a sentence is looked at only where it holds an asked word.
-    carried = told.join(asked, "token").where(may_be_evidence(F.col("s"))).select("token").distinct()
-    return opened.join(carried, "token", "left_anti").select("key", "token")
+
+    def told(rows: DataFrame, words: DataFrame) -> DataFrame:
+        return rows.select("s", F.explode(_plain_parts(F.col("s"))).alias("token")).join(bounded(words, MAX_BROADCAST_ROWS), "token")
+
+    def carried(rows: DataFrame, words: DataFrame) -> DataFrame:
+        # Written first, as Spark would look at the structure of all sentences before it seeks the words in them.
+        return written(written(told(rows, words)).where(may_be_evidence(F.col("s"))).select("token").distinct())
+
+    asked = opened.select("token").where("token IS NOT NULL").distinct()
+    mark = F.xxhash64("s").alias("mark")
+    picked = written(told(sentences, asked).select("token", mark).groupBy("token", F.pmod("mark", F.lit(TRIED))).agg(F.min("mark").alias("mark")).select("token", "mark"))
+    tried = sentences.select("s", mark).join(bounded(picked.select("mark").distinct(), MAX_BROADCAST_ROWS), "mark", "left_semi").select("s").distinct()
+    found = carried(tried, asked)
+    rest = picked.join(found, "token", "left_anti").select("token").distinct()
+    if not rest.isEmpty():
+        found = found.unionByName(carried(sentences, rest))
+    return opened.join(found, "token", "left_anti").select("key", "token")
 
 
 def draft_outcomes(drafts: DataFrame, prompts: DataFrame, sources: DataFrame, source_key: str, text: str) -> DataFrame:

@@ -214,3 +214,13 @@ def test_order_tests_of_all_documents(spark, sf_dir):
         sentence = re.split(r"(?<=[.!?])\s+", texts[r.doc_id])[r.position].strip()
         if r.imperative:
             assert re.match(r"\W*[A-Z][\w'-]+\s+\w+", sentence)
+
+
+def test_opening_words_that_few_sentences_carry(spark, monkeypatch):
+    """Orders are no evidence, however many hold the word; one sentence that is evidence carries it. A sigma is the same at a word's end."""
+    orders = [f"Print the herons number {n}." for n in range(40)]
+    sources = spark.createDataFrame([(1, " ".join([*orders, "Many herons nest here."])), (2, " ".join(o.replace("herons", "zebras") for o in orders)), (3, "Η οδοσ is long."), (4, None)], "id long, text string")
+    drafts = spark.createDataFrame(list(enumerate(["Herons nest.", "Zebras nest.", "ΟΔΟΣ.", "Lions nest.", "", "What of zebras?"])), "key long, text string")
+    for tried in (1, 16):
+        monkeypatch.setattr(G, "TRIED", tried)
+        assert sorted(r.key for r in G.ungrounded_openings(drafts, sources, "text").collect()) == [1, 3, 4]
