@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+
+from tessera.functions.units import PIECE_CHARS, pieces
 
 #: The shortest run that counts, and the pieces whose hashes are sampled.
 RUN = 40
@@ -99,3 +102,35 @@ def shared_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = pa.array([n for n, f in enumerate(found) if f is not None], pa.int64())
         columns = [pa.array([f[k] for f in found if f is not None], pa.int64()) for k in range(3)]
         yield pa.RecordBatch.from_arrays([batch.column(0).take(kept), batch.column(1).take(kept), *columns], names=["key", "other", "first", "length", "place"])
+
+
+def runs_with(drafts: pa.Table) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For ``mapInArrow``: rows (other, text) as rows (key, other, window, length, run), one for each of the drafts (key, text) that shares a run.
+
+    White space of the texts is collapsed as they are read; a text is sampled
+    once and compared with the drafts that have a mark of it.
+    """
+    own = drafts.column(1).to_pylist()
+    samples = [sampled(d) for d in own]
+    marks = np.concatenate([*samples, np.zeros(0, dtype=np.uint64)])
+    order = np.argsort(marks, kind="stable")
+    holders = np.repeat(np.arange(len(own)), [len(s) for s in samples])[order]
+    marks = marks[order]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (piece for whole in batches for piece in pieces(whole, pc.utf8_length(whole.column(1)).to_pylist(), PIECE_CHARS)):
+            found = []
+            for row, text in enumerate(batch.column(1)):
+                other = " ".join((text.as_py() or "").split())
+                theirs = sampled(other)
+                first, last = np.searchsorted(marks, theirs), np.searchsorted(marks, theirs, side="right")
+                for draft in sorted({holders[n] for a, b in zip(first[last > first].tolist(), last[last > first].tolist(), strict=True) for n in range(a, b)}):
+                    if shared := shared_run(own[draft], other):
+                        start, length, place = shared
+                        found.append((draft, row, other[start : start + RUN], length, other[place : place + length]))
+            draft, row, window, length, longest = zip(*found, strict=True) if found else ([],) * 5
+            columns = [drafts.column(0).combine_chunks().take(pa.array(draft, pa.int64())), batch.column(0).take(pa.array(row, pa.int64()))]
+            columns += [pa.array(window, pa.string()), pa.array(length, pa.int64()), pa.array(longest, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "other", "window", "length", "run"])
+
+    return run

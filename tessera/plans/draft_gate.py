@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.orders import collapsed, may_be_evidence, order_flags
 from tessera.functions.text import folded
-from tessera.functions.runs import RUN, sample_texts, shared_runs
+from tessera.functions.runs import RUN, runs_with, sample_texts, shared_runs
 from tessera.plans.matching import MAX_BROADCAST_ROWS, best_of
 from tessera.plans.provenance import claim_units, fitting_windows, paged_documents
 from tessera.registry import query
@@ -15,6 +15,9 @@ from tessera.sources.tables import table
 from tessera.storage import bounded, stored, written
 
 LEAST_ANCHORED = 0.5
+#: So many drafts and characters of them are sent to every task at most.
+MAX_DRAFTS = 10_000
+MAX_DRAFT_CHARS = 4_000_000
 #: So many sentences are tried first for each opening word.
 TRIED = 16
 
@@ -26,21 +29,28 @@ SOURCE_WORDS = ["sources?", "source material", "source document", "uploaded docu
 def echoes(drafts: DataFrame, texts: DataFrame) -> DataFrame:
     """key, other, window, length and run of each draft and protected text that share ``RUN`` characters or more.
 
-    drafts: key and text; texts: other and text; both with white space
-    collapsed. The window is the text's first ``RUN`` characters that the
-    draft has too, the run the longest one shared, the first of equal ones.
-    Both are sampled by winnowing, and only those with a mark in common are
-    compared, in full. A text is marked once by each hash, so repeated
-    passages bring a pair together once. Null and shorter texts share nothing.
+    drafts: key and text, with white space collapsed; texts: other and text,
+    whose white space is collapsed here. The window is the text's first ``RUN``
+    characters that the draft has too, the run the longest one shared, the
+    first of equal ones. Both are sampled by winnowing, and only those with a
+    mark in common are compared, in full. Few drafts are sent to every task and
+    meet the texts as these are read; for many, marks are joined, and a text is
+    marked once by each hash, so repeated passages bring a pair together once.
+    Null and shorter texts share nothing.
     """
     kinds = [df.schema[c].dataType.simpleString() for df, c in ((drafts, "key"), (texts, "other"))]
+    count, chars = drafts.agg(F.count("*"), F.sum(F.length("text"))).first()
+    if count <= MAX_DRAFTS and (chars or 0) <= MAX_DRAFT_CHARS:
+        few = drafts.select("key", F.coalesce("text", F.lit("")).alias("text")).toArrow()
+        return texts.select("other", "text").mapInArrow(runs_with(few), f"key {kinds[0]}, other {kinds[1]}, window string, length long, run string")
+    texts = texts.select("other", collapsed(F.col("text")).alias("text"))
     own = drafts.select("key", "text").mapInArrow(sample_texts, f"key {kinds[0]}, mark long")
-    theirs = texts.select("other", "text").mapInArrow(sample_texts, f"key {kinds[1]}, mark long").withColumnRenamed("key", "other")
+    theirs = texts.mapInArrow(sample_texts, f"key {kinds[1]}, mark long").withColumnRenamed("key", "other")
     pairs = theirs.join(bounded(written(own), MAX_BROADCAST_ROWS), "mark").select("key", "other").distinct()
-    both = pairs.join(texts.select("other", "text"), "other").join(drafts.select("key", F.col("text").alias("draft")), "key")
+    both = pairs.join(texts, "other").join(drafts.select("key", F.col("text").alias("draft")), "key")
     found = both.select("key", "other", "draft", "text").mapInArrow(shared_runs, f"key {kinds[0]}, other {kinds[1]}, first long, length long, place long")
     at = lambda start, size: F.substring("text", F.col(start).cast("int") + 1, size)
-    return found.join(texts.select("other", "text"), "other").select("key", "other", at("first", F.lit(RUN)).alias("window"), "length", at("place", F.col("length").cast("int")).alias("run"))
+    return found.join(texts, "other").select("key", "other", at("first", F.lit(RUN)).alias("window"), "length", at("place", F.col("length").cast("int")).alias("run"))
 
 
 def without_ask(prompt: Column, ask: Column) -> Column:
@@ -105,7 +115,7 @@ def draft_outcomes(drafts: DataFrame, prompts: DataFrame, sources: DataFrame, so
     marked as in ``paged_documents``.
     """
     plain = written(drafts.select("key", collapsed(F.col("text")).alias("text")))
-    disclosed = echoes(plain, prompts.select("other", collapsed(F.col("text")).alias("text"))).select("key").distinct().withColumn("disclosed", F.lit(True))
+    disclosed = echoes(plain, prompts).select("key").distinct().withColumn("disclosed", F.lit(True))
     paragraphs = drafts.select("key", F.posexplode(F.split("text", "\n")).alias("line", "paragraph"))
     named = paragraphs.select(F.concat_ws("-", "key", "line").alias("id"), "key", "paragraph")
     claims, common = claim_units(named, "id", "paragraph")
@@ -128,7 +138,7 @@ def draft_outcomes(drafts: DataFrame, prompts: DataFrame, sources: DataFrame, so
 def v7_echoes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each benchmark passage shares word for word with each document."""
     drafts = written(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("key"), collapsed(F.col("text")).alias("text")))
-    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("other"), collapsed(F.col("text")).alias("text"))
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("other"), "text")
     return echoes(drafts, texts).withColumnsRenamed({"key": "item_id", "other": "doc_id"})
 
 

@@ -224,3 +224,15 @@ def test_opening_words_that_few_sentences_carry(spark, monkeypatch):
     for tried in (1, 16):
         monkeypatch.setattr(G, "TRIED", tried)
         assert sorted(r.key for r in G.ungrounded_openings(drafts, sources, "text").collect()) == [1, 3, 4]
+
+
+def test_few_and_many_drafts_find_the_same_runs(spark, monkeypatch):
+    passage = "Herons nest along the  northern canal\nevery spring and é😀 winter"
+    texts = spark.createDataFrame([(1, f"A {passage} B"), (2, "none"), (3, None), (4, f"{passage} {passage}"), (5, passage[:30])], "other long, text string")
+    drafts = spark.createDataFrame(list(enumerate([" ".join(f"So: {passage}.".split()), "", None, " ".join(passage.split())])), "key long, text string")
+    found = []
+    for most in (G.MAX_DRAFTS, 0):
+        monkeypatch.setattr(G, "MAX_DRAFTS", most)
+        found.append(sorted(map(tuple, G.echoes(drafts, texts).collect())))
+    assert found[0] == found[1] and [r[:2] for r in found[0]] == [(0, 1), (0, 4), (3, 1), (3, 4)]
+    assert found[0][2][2:] == (" ".join(passage.split())[:RUN], len(" ".join(passage.split())), " ".join(passage.split()))
