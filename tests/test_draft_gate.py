@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from test_provenance import plain_provenance, plain_tokens
 
 from tessera import catalog
-from tessera.functions.orders import collapsed, flagged_phrases, may_be_evidence, order_flags
+from tessera.functions.orders import collapsed, flagged_phrases, may_be_evidence, order_flags, stripped
 from tessera.functions.runs import RUN, sampled, shared_run
 from tessera.plans import draft_gate as G
 from tessera.plans.provenance import paged_documents
@@ -236,3 +236,12 @@ def test_few_and_many_drafts_find_the_same_runs(spark, monkeypatch):
         found.append(sorted(map(tuple, G.echoes(drafts, texts).collect())))
     assert found[0] == found[1] and [r[:2] for r in found[0]] == [(0, 1), (0, 4), (3, 1), (3, 4)]
     assert found[0][2][2:] == (" ".join(passage.split())[:RUN], len(" ".join(passage.split())), " ".join(passage.split()))
+
+
+def test_only_blank_ends_are_stripped(spark):
+    blanks = [" ", "\t", "\n", "\x1c", "\x85", "\xa0", "\u2003", "\u3000"]
+    texts = ["", "a", "a b", "é", None, "".join(blanks), *[b + "a b" for b in blanks], *["a\nb" + b for b in blanks], *[b + b + "😀 é" + b for b in blanks]]
+    got = spark.createDataFrame(list(enumerate(texts)), "n int, t string").select("n", stripped(F.col("t")).alias("s")).collect()
+    assert {r.n: r.s for r in got} == {n: t and t.strip() for n, t in enumerate(texts)}
+    # Long sentences are many, and most have no blank at their ends: no pattern goes through those.
+    assert str(stripped(F.col("t"))).startswith("Column<'CASE WHEN")
