@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as X
 from tessera.registry import query
 from tessera.sources.tables import table
-from tessera.storage import stored
+from tessera.storage import written
 
 
 def source_conflicts(sources: DataFrame, project: str, key: str, text) -> DataFrame:
@@ -96,20 +96,23 @@ def v16_document_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ancestors(links: DataFrame) -> DataFrame:
     """All ancestors of each node of ``links`` (node, parent), with the depth at which each is met first.
 
-    Pairs found meet each other, so after each round they reach twice as far,
-    and a cycle ends with every pair of it found. A recursive query would stop
-    at its row limit.
+    Pairs of the greatest depth so far meet all pairs, so each round reaches
+    twice as far: of a shortest path of more than ``reach`` links the first
+    ``reach`` are a shortest path too, and the rest is one that is known. So
+    each pair is met once for each shortest path's node at that depth, not at
+    every depth, and a cycle ends as nothing new is found. A recursive query
+    would stop at its row limit.
     """
-    found = stored(links.select("node", F.col("parent").alias("ancestor"), F.lit(1).alias("depth")).where("ancestor IS NOT NULL").distinct())
-    known = found.count()
+    found = written(links.select("node", F.col("parent").alias("ancestor"), F.lit(1).alias("depth")).where("ancestor IS NOT NULL").distinct())
+    reach = 1
     while True:
-        onward = found.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("further"), F.col("depth").alias("more"))
-        longer = found.join(onward, "ancestor").select("node", F.col("further").alias("ancestor"), (F.col("depth") + F.col("more")).alias("depth"))
-        after = stored(found.unionByName(longer).groupBy("node", "ancestor").agg(F.min("depth").alias("depth")))
-        now = after.agg(F.count("*"), F.sum("depth")).first()
-        if tuple(now) == (known, found.agg(F.sum("depth")).first()[0]):
-            return after
-        found, known = after, now[0]
+        last = found.where(F.col("depth") == reach).select("node", F.col("ancestor").alias("via"))
+        onward = found.select(F.col("node").alias("via"), "ancestor", (F.col("depth") + reach).alias("depth"))
+        longer = last.join(onward, "via").groupBy("node", "ancestor").agg(F.min("depth").alias("depth"))
+        fresh = written(longer.join(found, ["node", "ancestor"], "left_anti"))
+        if fresh.isEmpty():
+            return found
+        found, reach = found.unionByName(fresh), 2 * reach
 
 
 LINEAGE_SQL = """

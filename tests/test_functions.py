@@ -1,14 +1,17 @@
 """Rules of single functions on small rows."""
 
 import decimal
+import random
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from tessera import storage
 from tessera.functions import text as X
 from tessera.operators.analytics import running_mean
 from tessera.operators.windows import merge_short, running_totals, sentence_windows, source_budget, source_carry
+from tessera.plans import conflicts
 from tessera.plans.anchor import anchors, claims_of
 from tessera.plans.conflicts import ancestors
 from tessera.plans.evidence import excerpts, judge
@@ -158,3 +161,28 @@ def test_readers(spark, tmp_path):
     (tmp_path / "cases.json").write_text('{"cases": [{"id": 1, "task": "t"}, {"id": 2, "task": "u"}]}')
     assert [r.text for r in read_texts(spark, [str(tmp_path)], "*.txt").collect()] == ["café"]
     assert sorted(r.id for r in read_cases(spark, str(tmp_path / "cases.json")).collect()) == [1, 2]
+
+
+def test_each_ancestor_is_written_once(spark, monkeypatch):
+    """Random links with shorter ways and cycles, against a search from each node; no round writes again what is known."""
+    some = random.Random(8)
+    links = sorted({(some.randint(0, 40), some.randint(0, 40)) for _ in range(70)}) + [(n, n + 1) for n in range(100, 137)]
+    parents = {}
+    for node, parent in links:
+        parents.setdefault(node, set()).add(parent)
+    want = {}
+    for node in parents:
+        edge, depth = {node}, 0
+        while edge := {p for n in edge for p in parents.get(n, ())} - {a for n, a in want if n == node}:
+            depth += 1
+            want |= {(node, a): depth for a in edge}
+    sizes = []
+
+    def counted(df):
+        kept = storage.written(df)
+        sizes.append(kept.count())
+        return kept
+
+    monkeypatch.setattr(conflicts, "written", counted)
+    rows = ancestors(spark.createDataFrame([*links, (50, None)], "node long, parent long")).collect()
+    assert len(rows) == len(want) == sum(sizes) and {(r.node, r.ancestor): r.depth for r in rows} == want
