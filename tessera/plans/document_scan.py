@@ -23,6 +23,8 @@ LOCK_TOKEN = r"\[🔒 #\d+\]"
 MAGNITUDES = {"k": 1e3, "thousand": 1e3, "m": 1e6, "million": 1e6, "b": 1e9, "bn": 1e9, "billion": 1e9, "t": 1e12, "trillion": 1e12}
 SEVERE = ["hallucin", "unsupported", "contradict"]
 SNIPPET = 120
+#: A task puts the issues of about so many nodes in order.
+NODES_A_TASK = 250_000
 
 _RANKS = ["high", "medium", "low"]
 
@@ -79,23 +81,29 @@ def _contradiction(value: Column) -> Column:
     return F.concat(F.lit("Metric '"), F.col("key"), F.lit("'="), shown(value), F.lit(" contradicts locked == "), shown(F.col("locked")))
 
 
-def ledger_issues(nodes: DataFrame, ledger: DataFrame) -> DataFrame:
+def dealt(rows: DataFrame, parts: int, *keys: str) -> DataFrame:
+    """Rows by document, or by the keys, in so many parts. Grouping and joins take no more memory then than a part needs; before a shuffle a task would sort all that it reads."""
+    return rows.repartition(parts, *(keys or ("document_id",)))
+
+
+def ledger_issues(nodes: DataFrame, ledger: DataFrame, parts: int) -> DataFrame:
     """The first metric of the whole document that contradicts its ledger, each node's first one, and violations noted on nodes.
 
     Metrics are read from the texts put together, since one may span two nodes.
     Of a key that a node states twice the last value counts; a node is asked
     for the keys that it refers to, in its order.
     """
-    locks = ledger.select("document_id", F.trim("key").alias("key"), F.col("value").alias("locked"))
-    full = nodes.where(F.trim("text") != "").groupBy("document_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "text"))), lambda n: n["text"]), "\n\n").alias("text"))
+    keys = ["document_id", "key"]
+    locks = dealt(ledger.select("document_id", F.trim("key").alias("key"), F.col("value").alias("locked")), parts, *keys)
+    full = dealt(nodes.where(F.trim("text") != "").select("document_id", "position", "text"), parts).groupBy("document_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "text"))), lambda n: n["text"]), "\n\n").alias("text"))
     told = full.select("document_id", F.posexplode(metrics(F.col("text"))).alias("at", "m")).select("document_id", "at", "m.*")
-    wrong = told.join(locks, ["document_id", "key"]).where("value <> locked")
-    first = wrong.groupBy("document_id").agg(F.min_by(F.struct("key", "value", "locked"), "at").alias("w")).select("document_id", "w.*")
+    wrong = dealt(told, parts, *keys).join(locks, keys).where("value <> locked")
+    first = dealt(wrong, parts).groupBy("document_id").agg(F.min_by(F.struct("key", "value", "locked"), "at").alias("w")).select("document_id", "w.*")
 
     stated = nodes.where("node_id <> ''").select("document_id", "node_id", "position", "entities", F.posexplode(metrics(F.col("text"))).alias("at", "m"))
-    last = stated.groupBy("document_id", "node_id", "position", "entities", F.col("m.key").alias("key")).agg(F.max_by("m.value", "at").alias("value"))
-    asked = last.withColumn("asked", F.array_position("entities", F.col("key"))).where("asked > 0").join(locks, ["document_id", "key"]).where("value <> locked")
-    node = asked.groupBy("document_id", "node_id", "position").agg(F.min_by(F.struct("key", "value", "locked"), "asked").alias("w")).select("document_id", "node_id", "position", "w.*")
+    last = dealt(stated, parts).groupBy("document_id", "node_id", "position", "entities", F.col("m.key").alias("key")).agg(F.max_by("m.value", "at").alias("value"))
+    asked = dealt(last.withColumn("asked", F.array_position("entities", F.col("key"))).where("asked > 0"), parts, *keys).join(locks, keys).where("value <> locked")
+    node = dealt(asked, parts).groupBy("document_id", "node_id", "position").agg(F.min_by(F.struct("key", "value", "locked"), "asked").alias("w")).select("document_id", "node_id", "position", "w.*")
 
     noted = nodes.select("document_id", "node_id", "position", F.posexplode("z3").alias("i", "n")).where("n.status = 'violation'")
     message = F.coalesce(F.when(F.col("n.message") != "", F.col("n.message")), F.lit("Z3 constraint violation"))
@@ -118,7 +126,7 @@ def _locked() -> Column:
     return F.col("pills") | F.col("text").rlike(LOCK_TOKEN)
 
 
-def number_issues(nodes: DataFrame, ledger: DataFrame) -> DataFrame:
+def number_issues(nodes: DataFrame, ledger: DataFrame, parts: int) -> DataFrame:
     """Amounts that no lock verifies, the largest of a node named, and amounts above a baseline of the ledger."""
     stated = nodes.select("document_id", "node_id", "position", "cited", _locked().alias("locked"), dollar_claims(F.col("text")).alias("claims")).where("size(claims) > 0")
     largest = F.array_max(F.transform("claims", lambda c, i: F.struct(c["value"].alias("value"), (-i).alias("place"), c["words"].alias("words"))))["words"]
@@ -127,7 +135,7 @@ def number_issues(nodes: DataFrame, ledger: DataFrame) -> DataFrame:
     free = stated.where(~F.col("locked"))
     bare = _issues(free, 3, F.when(F.col("cited"), "medium").otherwise("high"), "Unverified Number", F.when(F.col("cited"), unbound).otherwise(missing), node=F.col("node_id"), place=F.col("position"), order=F.lit(-1))
     amounts = stated.select("document_id", "node_id", "position", F.posexplode("claims").alias("i", "c"))
-    above = amounts.join(ledger.select("document_id", "key", F.col("value").alias("baseline"), "place"), "document_id").where("c.value > baseline")
+    above = dealt(amounts, parts).join(dealt(ledger.select("document_id", "key", F.col("value").alias("baseline"), "place"), parts), "document_id").where("c.value > baseline")
     text = F.concat(F.lit("Aggregate liability limit exceeds "), label(F.col("key")), F.lit(" by $"), F.format_number(F.col("c.value") - F.col("baseline"), 0), F.lit("."))
     return bare.unionByName(_issues(above, 3, F.lit("high"), "Unverified Number", text, node=F.col("node_id"), place=F.col("position"), order=F.col("place") * (1 << 31) + F.col("i")))
 
@@ -149,8 +157,9 @@ def scan_documents(nodes: DataFrame, ledger: DataFrame) -> DataFrame:
     """
     known = ledger.where(F.col("value").isNotNull())
     plain = nodes.withColumn("text", F.coalesce("text", F.lit(""))).fillna(False, ["cited", "pills"])
-    found = ledger_issues(plain, known).unionByName(finding_issues(plain)).unionByName(number_issues(plain, known)).unionByName(citation_issues(plain))
-    once = found.groupBy("document_id", "category", "description", "node_id").agg(F.min("at").alias("at"), F.min_by("severity", "at").alias("severity"))
+    parts = nodes.count() // NODES_A_TASK + 1
+    found = ledger_issues(plain, known, parts).unionByName(finding_issues(plain)).unionByName(number_issues(plain, known, parts)).unionByName(citation_issues(plain))
+    once = dealt(found, parts).groupBy("document_id", "category", "description", "node_id").agg(F.min("at").alias("at"), F.min_by("severity", "at").alias("severity"))
     numbered = lambda n: F.concat(F.lit("issue-"), F.when(n < 100, F.lpad(n.cast("string"), 2, "0")).otherwise(n.cast("string")))
     met = numbered(F.row_number().over(Window.partitionBy("document_id").orderBy("at", "description")))
     rank = F.array_position(F.array(*[F.lit(r) for r in _RANKS]), F.col("severity"))

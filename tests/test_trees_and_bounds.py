@@ -237,3 +237,11 @@ def test_a_node_is_read_once(spark):
     assert not [p for p in plans if "json" in p.lower()]
     assert {(r.path, r.id, r.type) for r in T.all_nodes(walked, "k").collect()} == {("0", "a", None), ("0.0", "7", None), ("1", None, None)}
     assert [(r.nodes, r.findings) for r in T.node_counts(frame, walked, "k").collect()] == [(3, 0)]
+
+
+def test_scans_in_many_parts(spark, sf_dir, monkeypatch):
+    """However few nodes a task gets, documents and their locks meet and are numbered as a whole."""
+    whole = sorted(map(str, S.scan_documents(*S.order_documents(spark, sf_dir)).collect()))
+    monkeypatch.setattr(S, "NODES_A_TASK", 400)
+    found = S.scan_documents(*S.order_documents(spark, sf_dir))
+    assert found.rdd.getNumPartitions() > 4 and sorted(map(str, found.collect())) == whole
