@@ -21,7 +21,12 @@ ENDS = ["done", "failed", "skipped"]
 #: State is dropped so long after a job's last move, in milliseconds.
 FORGOTTEN_MS = 90 * 24 * 3600 * 1000
 
+#: So many groups share a stream's jobs. What Spark does in Python for each group costs as much as hundreds of moves.
+SHARDS = 4096
+
 _JOB = "status string, history string, refused long, created_us long, started_us long, finished_us long, duration_ms long"
+_FIELDS = [field.split()[0] for field in _JOB.split(", ")]
+_SHARD = f"jobs array<struct<job_id string, {_JOB}, due_ms long>>"
 
 
 def _move(job: list, stage: str | None, at: int) -> None:
@@ -46,22 +51,30 @@ def _joined(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
 
 
 def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
+    """A shard's jobs after a batch; each has its own time to be dropped, and the shard's timeout is the first of them."""
+    now = state.getCurrentWatermarkMs()
+    jobs = {job_id: list(job) for job_id, *job in state.get[0]} if state.exists else {}
+    touched = {}
+    if not state.hasTimedOut:
+        moves = _joined(batches).sort_values(["at", "move_id"])
+        for job_id, stage, at in zip(moves["job_id"], moves["stage"], map(int, moves["at"]), strict=True):
+            if job_id not in touched:
+                touched[job_id] = jobs.setdefault(job_id, [None, "", 0, None, None, None, None, 0])
+            job = touched[job_id]
+            _move(job, stage, at)
+            job[-1] = max(at // 1000 + FORGOTTEN_MS, now + 1)
+    live = [(job_id, *job) for job_id, job in jobs.items() if job_id in touched or job[-1] >= now]
+    if live:
+        state.update((live,))
+        state.setTimeoutTimestamp(max(min(job[-1] for job in live), now + 1))
+    else:
         state.remove()
-        return
-    moves = _joined(batches).sort_values(["at", "move_id"])
-    job = list(state.get) if state.exists else [None, "", 0, None, None, None, None]
-    for stage, at in zip(moves["stage"], moves["at"], strict=True):
-        _move(job, stage, int(at))
-    state.update(tuple(job))
-    due = int(moves["at"].max()) // 1000 + FORGOTTEN_MS
-    state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-    names = [field.split()[0] for field in _JOB.split(", ")]
-    row = {"job_id": key[0], **dict(zip(names, job, strict=True))}
-    yield pd.DataFrame([row]).astype({n: "Int64" for n in names if n.endswith(("_us", "_ms")) or n == "refused"})
-
-
-def job_states(moves: DataFrame) -> DataFrame:
+    if touched:
+        rows = pd.DataFrame([(job_id, *job[:-1]) for job_id, job in touched.items()], columns=["job_id", *_FIELDS], dtype=object)
+        yield rows.astype({n: "Int64" for n in _FIELDS if n.endswith(("_us", "_ms")) or n == "refused"})
+
+
+def job_states(moves: DataFrame, shards: int | None = None) -> DataFrame:
     """Jobs as they stand after each batch of a stream of moves (job_id, stage, move_id, ts).
 
     A job is created by ``queued`` and goes through any of ``STAGES`` until one
@@ -74,9 +87,15 @@ def job_states(moves: DataFrame) -> DataFrame:
 
     Every job that a batch touches is put out whole, so the last row of each
     job is how it stands.
+
+    The state is kept by shards, ``SHARDS`` of them by default, so the number
+    of groups doesn't grow with that of jobs. A batch writes the shards that it
+    touches anew; more of them hold fewer jobs each. A stream must go on with as
+    many as it began with.
     """
-    seen = moves.withWatermark("ts", "1 hour").select("job_id", "stage", "move_id", F.unix_micros("ts").alias("at"), "ts")
-    return seen.groupBy("job_id").applyInPandasWithState(_advance, f"job_id string, {_JOB}", _JOB, "update", GroupStateTimeout.EventTimeTimeout)
+    shard = F.pmod(F.xxhash64("job_id"), F.lit(shards or SHARDS)).alias("shard")
+    seen = moves.withWatermark("ts", "1 hour").select(shard, "job_id", "stage", "move_id", F.unix_micros("ts").alias("at"), "ts")
+    return seen.groupBy("shard").applyInPandasWithState(_advance, f"job_id string, {_JOB}", _SHARD, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def _week_job(ts: Column) -> Column:
@@ -107,8 +126,7 @@ FROM (SELECT job_id, count(*) AS n FROM m GROUP BY 1) LEFT JOIN jobs USING (job_
 def r4_job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Jobs after all moves of the stream."""
     states = drained(job_states(job_moves(event_stream(spark, sf_dir))), "update")
-    columns = [field.split()[0] for field in _JOB.split(", ")]
-    last = states.groupBy("job_id").agg(F.max_by(F.struct(*columns), "batch").alias("s"))
+    last = states.groupBy("job_id").agg(F.max_by(F.struct(*_FIELDS), "batch").alias("s"))
     return last.select("job_id", "s.*")
 
 

@@ -70,6 +70,26 @@ def test_jobs_are_forgotten(spark, tmp_path):
     assert last["b"]["status"] == "done" and last["a"]["status"] is None and last["a"]["refused"] == 1
 
 
+def test_jobs_share_groups(spark, tmp_path, monkeypatch):
+    """Jobs of a shard move, and are forgotten, each by itself; there are no more groups than shards."""
+    monkeypatch.setattr(states, "SHARDS", 3, raising=False)
+    some = random.Random(8)
+    moves = [(f"j{some.randint(0, 199)}", some.choice([*states.STAGES[:5], "queued", "done", "paused", None]), n, at(n)) for n in range(2000)]
+    day = 60 * 24
+    later = [(f"j{n}", "queued", 3000 + n, at(60 * day + n)) for n in range(0, 200, 2)]
+    last = [("new", "queued", 4000, at(120 * day))]
+    again = [(f"j{n}", "done", 5000 + n, at(120 * day + 1 + n)) for n in range(200)]
+    out = run_batches(spark, tmp_path, [moves[:1200], moves[1200:], later, last, again], MOVES, states.job_states, "update")
+    got = {r["job_id"]: (r["status"], r["history"], r["refused"], r["started_us"], r["finished_us"]) for batch in out for r in batch}
+    # After 120 days only the jobs that moved on the sixtieth are known.
+    gone = {f"j{n}" for n in range(1, 200, 2)}
+    assert got == plain_jobs([m for m in moves if m[0] not in gone] + later + last + again)
+    assert all(len({r["job_id"] for r in batch}) == len(batch) for batch in out)
+    assert [len(batch) for batch in out if batch][2:] == [100, 1, 200]
+    groups = spark.read.format("statestore").load(f"{tmp_path}/state").count()
+    assert groups <= 3
+
+
 def test_cache_entries_expire(spark, tmp_path):
     day = 60 * 24
     requests = [
