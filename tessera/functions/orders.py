@@ -53,16 +53,28 @@ def _one(words: list[str]) -> str:
 _READER = rf"the\s+{_one(READERS)}"
 _ADDRESSED = [rf"note\s+to\s+{_READER}", rf"to\s+{_READER}", r"dear\s+\w+", *LABELS, rf"(?:the\s+)?{_one(READERS)}"]
 #: A word where a verb stands: no function word, heading noun, nominalisation, participle or plural.
-_VERB_PLACE = rf"^\W*(?!(?i:{_one(FUNCTION_WORDS)})\b)(?!(?i:{_one(HEADING_NOUNS)})\b)(?!(?i:\w+{_one(NOUN_ENDINGS)}\b))(?!(?i:\w+(?:ing|ed)\b))(?!(?i:[a-z]{{2,}}(?<![sui])s\b))"
+_VERB_PLACE = rf"(?!(?i:{_one(FUNCTION_WORDS)})\b)(?!(?i:{_one(HEADING_NOUNS)})\b)(?!(?i:\w+{_one(NOUN_ENDINGS)}\b))(?!(?i:\w+(?:ing|ed)\b))(?!(?i:[a-z]{{2,}}(?<![sui])s\b))"
 
+_READER_ACTS = rf"(?:{_one(SECOND_PERSON)}|{_READER})\s+{_one(DUTIES)}"
+_DELIVERABLE = rf"your\s+{_one(DELIVERABLES)}"
+_POINTING = rf"the\s+{_one(NEARBY)}|(?:the|these|those|all)\s+{_one(BEFORE)}\s+{_one(PASSAGES)}|{_one(POINTERS)}"
+
+
+def _anywhere(letters: str, *patterns: str) -> str:
+    """Any of ``patterns`` between words. The letters that they begin with, to which no others fold, are looked for before Unicode's word boundary."""
+    return rf"(?=[{letters.upper()}{letters}])(?i)\b{_one(list(patterns))}\b"
+
+
+#: What is quick to tell is sought first and changes no answer: the mark that an address ends on, an imperative's object.
 _PATTERNS = {
-    "addressed": rf"(?i)^\W*(?:\w+[\s-]+){{0,2}}{_one(_ADDRESSED)}\s*[:,!]",
-    "reader_acts": rf"(?i)\b(?:{_one(SECOND_PERSON)}|{_READER})\s+{_one(DUTIES)}\b",
-    "deliverable": rf"(?i)\byour\s+{_one(DELIVERABLES)}\b",
-    "pointing": rf"(?i)\b(?:the\s+{_one(NEARBY)}|(?:the|these|those|all)\s+{_one(BEFORE)}\s+{_one(PASSAGES)}|{_one(POINTERS)})\b",
-    "verb_opens": rf"{_VERB_PLACE}[A-Za-z][\w'-]*",
+    "addressed": rf"^(?=[^:,!]*[:,!])(?i)\W*(?:\w+[\s-]+){{0,2}}{_one(_ADDRESSED)}\s*[:,!]",
+    "reader_acts": _anywhere("yt", _READER_ACTS),
+    "deliverable": _anywhere("y", _DELIVERABLE),
+    "pointing": _anywhere("ta", _POINTING),
+    "verb_opens": rf"^\W*{_VERB_PLACE}[A-Za-z][\w'-]*",
     "listed": r"(?i)^\W*[A-Za-z][\w'-]*\s+(?:and|or|nor|but)\b",
-    "imperative": rf"{_VERB_PLACE}(?:[A-Z][a-z][\w'-]*|[A-Z]{{2,}})\s+(?i:{_one(DETERMINERS)})\b",
+    "imperative": rf"^\W*(?=(?:[A-Z][a-z][\w'-]*+|[A-Z]{{2,}})\s+(?i:{_one(DETERMINERS)})\b){_VERB_PLACE}",
+    "may_order": _anywhere("yta", _READER_ACTS, _DELIVERABLE, _POINTING),
 }
 #: What ``str.strip`` and ``\s`` mean in every script.
 _BLANK = r"[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -91,17 +103,29 @@ def flagged_phrases(text: Column) -> Column:
 def order_flags(sentence: Column) -> dict[str, Column]:
     """Five tests of a sentence's structure, any of which makes it an order: address at the head, the reader under a duty,
     the reader's own deliverable, a verb that opens and points at the text, the shape of an imperative with its object."""
-    s = stripped(sentence)
-    has = {name: s.rlike(f"(?U){pattern}") for name, pattern in _PATTERNS.items()}
+    return stripped_order_flags(stripped(sentence))
+
+
+def _has(s: Column, name: str) -> Column:
+    return s.rlike(f"(?U){_PATTERNS[name]}")
+
+
+def stripped_order_flags(s: Column) -> dict[str, Column]:
+    """:func:`order_flags` of what is stripped already. As each test strips its sentence anew, a table of sentences is better stripped first."""
     return {
-        "addressed": has["addressed"],
-        "reader_acts": has["reader_acts"],
-        "deliverable": has["deliverable"],
-        "pointing": has["pointing"] & has["verb_opens"] & ~has["listed"],
-        "imperative": has["imperative"],
+        "addressed": _has(s, "addressed"),
+        "reader_acts": _has(s, "reader_acts"),
+        "deliverable": _has(s, "deliverable"),
+        "pointing": _has(s, "pointing") & _has(s, "verb_opens") & ~_has(s, "listed"),
+        "imperative": _has(s, "imperative"),
     }
 
 
+def may_order(s: Column) -> Column:
+    """Whether a stripped sentence can meet any of :func:`order_flags`: those that stand anywhere in it are sought in one pass."""
+    return _has(s, "addressed") | _has(s, "imperative") | _has(s, "may_order")
+
+
 def orders_reader(sentence: Column) -> Column:
     """Whether any of :func:`order_flags` holds; false for a blank sentence."""
     flags = list(order_flags(sentence).values())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.orders import collapsed, may_be_evidence, order_flags
+from tessera.functions.orders import collapsed, may_be_evidence, may_order, stripped, stripped_order_flags
 from tessera.functions.text import folded
 from tessera.functions.runs import RUN, runs_with, sample_texts, shared_runs
 from tessera.plans.matching import MAX_BROADCAST_ROWS, best_of
@@ -162,6 +162,7 @@ def v7_draft_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def t25_order_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five tests of each sentence of every document that meets one."""
-    sentences = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", r"(?U)(?<=[.!?])\s+")).alias("position", "s"))
-    flagged = sentences.select("doc_id", "position", *[flag.alias(name) for name, flag in order_flags(F.col("s")).items()])
+    parts = F.transform(F.split("text", r"(?U)(?<=[.!?])\s+"), stripped)
+    sentences = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(parts).alias("position", "s")).where(may_order(F.col("s")))
+    flagged = sentences.select("doc_id", "position", *[flag.alias(name) for name, flag in stripped_order_flags(F.col("s")).items()])
     return flagged.where("addressed OR reader_acts OR deliverable OR pointing OR imperative")
